@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tamis.llm import mixing
+from tamis.llm import mixing, packing
 from tamis.llm.common import materialize
 
 
@@ -19,6 +19,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.fair_queue(light, size="words").select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 MIXING_SQL = r"""
 WITH RECURSIVE sized AS (
   SELECT doc_id, source, text, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size, md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS k FROM documents),
@@ -37,5 +41,5 @@ SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
   CAST(least(size, greatest(0, floor(target) - before)) + least(size, greatest(0, floor(target) - source_size - before)) AS BIGINT) AS taken FROM queued
 """
 
-QUERIES = {"op10_mixing": op10_mixing}
+QUERIES = {"op1_packing": op1_packing, "op10_mixing": op10_mixing}
 ORACLES = {"op10_mixing": MIXING_SQL}
