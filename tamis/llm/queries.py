@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tamis.llm import minhash, mixing, packing
+from tamis.llm import minhash, mixing, packing, substrings
 from tamis.llm.common import materialize
 
 
@@ -27,6 +27,10 @@ def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), words=2, percent=80)
 
 
+def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), length=13)
+
+
 MIXING_SQL = r"""
 WITH RECURSIVE sized AS (
   SELECT doc_id, source, text, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size, md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS k FROM documents),
@@ -45,5 +49,5 @@ SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
   CAST(least(size, greatest(0, floor(target) - before)) + least(size, greatest(0, floor(target) - source_size - before)) AS BIGINT) AS taken FROM queued
 """
 
-QUERIES = {"op1_packing": op1_packing, "op2_minhash": op2_minhash, "op10_mixing": op10_mixing}
+QUERIES = {"op1_packing": op1_packing, "op2_minhash": op2_minhash, "op3_substrings": op3_substrings, "op10_mixing": op10_mixing}
 ORACLES = {"op10_mixing": MIXING_SQL}
