@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from tamis.llm import minhash, mixing, packing, substrings
+from tamis.llm import minhash, mixing, packing, pii, quality, substrings
 from tamis.llm.common import materialize
 
 
@@ -31,6 +30,14 @@ def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), length=13)
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_documents(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
 MIXING_SQL = r"""
 WITH RECURSIVE sized AS (
   SELECT doc_id, source, text, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size, md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS k FROM documents),
@@ -49,5 +56,5 @@ SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
   CAST(least(size, greatest(0, floor(target) - before)) + least(size, greatest(0, floor(target) - source_size - before)) AS BIGINT) AS taken FROM queued
 """
 
-QUERIES = {"op1_packing": op1_packing, "op2_minhash": op2_minhash, "op3_substrings": op3_substrings, "op10_mixing": op10_mixing}
+QUERIES = {"op1_packing": op1_packing, "op2_minhash": op2_minhash, "op3_substrings": op3_substrings, "op5_pii": op5_pii, "op9_quality": op9_quality, "op10_mixing": op10_mixing}
 ORACLES = {"op10_mixing": MIXING_SQL}
