@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tamis.llm import minhash, mixing, packing, pii, quality, substrings
+from tamis.llm import embeddings, html, minhash, mixing, packing, pii, quality, substrings
 from tamis.llm.common import materialize
 
 
@@ -30,6 +30,14 @@ def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), length=13)
 
 
+def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
+def op6_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_vectors(table(spark, sf_dir, "embeddings"), threshold=0.93)
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
@@ -56,5 +64,5 @@ SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
   CAST(least(size, greatest(0, floor(target) - before)) + least(size, greatest(0, floor(target) - source_size - before)) AS BIGINT) AS taken FROM queued
 """
 
-QUERIES = {"op1_packing": op1_packing, "op2_minhash": op2_minhash, "op3_substrings": op3_substrings, "op5_pii": op5_pii, "op9_quality": op9_quality, "op10_mixing": op10_mixing}
+QUERIES = {"op1_packing": op1_packing, "op2_minhash": op2_minhash, "op3_substrings": op3_substrings, "op4_html": op4_html, "op5_pii": op5_pii, "op6_embeddings": op6_embeddings, "op9_quality": op9_quality, "op10_mixing": op10_mixing}
 ORACLES = {"op10_mixing": MIXING_SQL}
