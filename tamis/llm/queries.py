@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tamis.llm import embeddings, html, minhash, mixing, packing, pii, quality, substrings
+from tamis.llm import embeddings, html, matroska, minhash, mixing, packing, pii, quality, substrings, toxicity
 from tamis.llm.common import materialize
 
 
@@ -42,6 +42,14 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
 
+def op7_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matroska.digests(matroska.text_media(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels").select("doc_id", "toxic"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_documents(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
@@ -64,5 +72,5 @@ SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
   CAST(least(size, greatest(0, floor(target) - before)) + least(size, greatest(0, floor(target) - source_size - before)) AS BIGINT) AS taken FROM queued
 """
 
-QUERIES = {"op1_packing": op1_packing, "op2_minhash": op2_minhash, "op3_substrings": op3_substrings, "op4_html": op4_html, "op5_pii": op5_pii, "op6_embeddings": op6_embeddings, "op9_quality": op9_quality, "op10_mixing": op10_mixing}
+QUERIES = {"op1_packing": op1_packing, "op2_minhash": op2_minhash, "op3_substrings": op3_substrings, "op4_html": op4_html, "op5_pii": op5_pii, "op6_embeddings": op6_embeddings, "op7_matroska": op7_matroska, "op8_toxicity": op8_toxicity, "op9_quality": op9_quality, "op10_mixing": op10_mixing}
 ORACLES = {"op10_mixing": MIXING_SQL}
