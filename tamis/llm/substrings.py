@@ -117,11 +117,11 @@ def remove_repeats(docs: DataFrame, length: int = 13, keep_text: bool = False, b
     of the kept words joined by one space. Null and empty texts have no words (the digest of nothing), as have texts of
     white space; rows with the same doc_id count as one document when windows are compared; a null doc_id keeps its words
     and takes none from others. Other columns aren't read; an empty table gives no rows.
-    buckets: groups of hashes and of documents, each held by one task at a time (None: 2 to each shuffle partition; rows of packed
+    buckets: groups of hashes and of documents, each held by one task at a time (None: as many as shuffle partitions; rows of packed
     arrays are at most buckets squared).
     """
     spark = docs.sparkSession
-    n = buckets or 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = docs.select(F.col("doc_id").cast("long"), column_or_null(docs, "text", "string").alias("text"))
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
