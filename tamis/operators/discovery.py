@@ -33,9 +33,9 @@ def mono_severity(signals: DataFrame, share: float = 0.80, least: int = 20) -> D
 
 
 def samples(signals: DataFrame, n: int = 3) -> DataFrame:
-    """The first n signals of each type, in order. The n least of a group are kept as it is summed up, not sorted after."""
-    firsts = signals.groupBy("signal_type").agg(F.expr(f"slice(array_sort(collect_list(signal_id)), 1, {n})").alias("samples"))
-    return firsts.select("signal_type", F.posexplode("samples").alias("pos", "signal_id"))
+    """The first n signals of each type, in order; Spark drops what can't be among them before it shuffles."""
+    ranked = signals.withColumn("pos", F.row_number().over(Window.partitionBy("signal_type").orderBy("signal_id")) - 1)
+    return ranked.where(F.col("pos") < n).select("signal_type", "pos", "signal_id")
 
 
 def draft_agents(signals: DataFrame) -> DataFrame:

@@ -26,7 +26,7 @@ def discover_dominant(spark, sf_dir):
     return discovery.dominant_types(event_signals(spark, sf_dir))
 
 
-@query("discover_mono_severity", f"{WITH} SELECT *, count / type_total AS frequency FROM (SELECT signal_type, severity, count(*) AS count, (sum(count(*)) OVER (PARTITION BY signal_type))::BIGINT AS type_total FROM signals GROUP BY ALL) WHERE type_total >= 20 AND count / type_total > 0.8")
+@query("discover_mono_severity", f"{WITH} SELECT *, count / type_total AS frequency FROM (SELECT *, (sum(count) OVER (PARTITION BY signal_type))::BIGINT AS type_total FROM (SELECT signal_type, severity, count(*) AS count FROM signals GROUP BY ALL)) WHERE type_total >= 20 AND count / type_total > 0.8")
 def discover_mono_severity(spark, sf_dir):
     return discovery.mono_severity(event_signals(spark, sf_dir))
 
