@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 
 from tamis.llm.common import U64, Run, column_or_null, window_hashes, word_runs
 
+#: So many hashes a task gathers before it deals them out.
+PACKED_HASHES = 1 << 20
 PACKED = "bucket int, hashes binary, docs binary"
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string"
 
@@ -125,16 +127,19 @@ def remove_repeats(docs: DataFrame, length: int = 13, keep_text: bool = False, b
     texts = docs.select(F.col("doc_id").cast("long"), column_or_null(docs, "text", "string").alias("text"))
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        h, d = [], []
         for batch in batches:
             ids, known = batch.column(0).fill_null(0).to_numpy(), batch.column(0).is_valid().to_numpy(zero_copy_only=False)
-            h, d = [], []
             for run in word_runs(batch.column(1)):
                 _, text, least = windows(run, length)
                 new = np.flatnonzero(np.concatenate(([True], (least[1:] != least[:-1]) | (text[1:] != text[:-1])))) if len(least) else np.empty(0, np.int64)
                 new = new[known[run.lo + text[new]]]
                 h.append(least[new])
                 d.append(ids[run.lo + text[new]])
-            yield packed(h, d, "hashes", n)
+            if sum(map(len, h)) >= PACKED_HASHES:
+                yield packed(h, d, "hashes", n)
+                h, d = [], []
+        yield packed(h, d, "hashes", n)
 
     def extended(left: pa.Table, right: pa.Table) -> pa.Table:
         wanted, h, d = _by_document(right), [], []
