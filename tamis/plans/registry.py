@@ -6,7 +6,7 @@ import importlib
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-MODULES = ("sieve", "learning", "recollection", "insight", "domains", "serving")
+MODULES = ("sieve", "learning", "recollection", "insight", "domains", "serving", "streams")
 
 
 def query(name: str, sql: str | None = None):
