@@ -34,6 +34,11 @@ def shared_folder(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+def bounded_batches(spark: SparkSession, rows: int = 1_000) -> None:
+    """Rows that go to a Python worker at a time: texts can be long, and a worker holds a batch as it comes and as it goes."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Writes df to a table of its own in the shared folder and reads it back, which cuts the lineage."""
     spark = df.sparkSession

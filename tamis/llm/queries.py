@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tamis.llm import embeddings, html, matroska, minhash, mixing, packing, pii, quality, substrings, toxicity
-from tamis.llm.common import materialize
+from tamis.llm.common import bounded_batches, materialize
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
