@@ -24,7 +24,8 @@ def memories(spark: SparkSession, sf_dir: str) -> DataFrame:
     return memory.form(event_signals(spark, sf_dir), ["message"], ["source"])
 
 
-SHORT = ("memory_id", "signal_type", "severity", "occurrences", F.round("strength", 6).alias("strength"))
+def short(*more: str) -> tuple:
+    return ("memory_id", "signal_type", "severity", "occurrences", F.round("strength", 6).alias("strength"), *more)
 
 
 @query("normalize_hash", r"""WITH t AS (SELECT event_id, 'restart of web-' || substr(sha256(CAST(event_id AS VARCHAR)), 1, 8) || ' at ' || '2024-01-01T00:00:00Z' || ' id ' || substr(sha256(CAST(event_id AS VARCHAR)), 1, 8) || '-0000-4000-8000-' || substr(sha256(CAST(event_id AS VARCHAR)), 9, 12) || ' ' || event_type AS raw FROM events),
@@ -40,7 +41,7 @@ def normalize_hash(spark, sf_dir):
 
 @query("memory_formation", MEMORIES + "SELECT memory_id, signal_type, severity, occurrences, round(strength, 6) AS strength, content_hash FROM memories")
 def memory_formation(spark, sf_dir):
-    return memories(spark, sf_dir).select(*SHORT, "content_hash")
+    return memories(spark, sf_dir).select(*short("content_hash"))
 
 
 @query("archive_stats", MEMORIES + "SELECT count(*) AS size, round(avg(strength), 6) AS avg_strength, round(min(strength), 6) AS min_strength, round(max(strength), 6) AS max_strength, count(DISTINCT source) AS sources FROM memories")
@@ -68,13 +69,13 @@ def memory_evict(spark, sf_dir):
 
 @query("memory_query", MEMORIES + "SELECT memory_id, signal_type, severity, occurrences, round(strength, 6) AS strength FROM memories WHERE strength >= 0.3 AND signal_type = 'pod_crashloop' AND label = 'fraud' ORDER BY memories.strength DESC, memory_id LIMIT 100")
 def memory_query(spark, sf_dir):
-    return memory.search(memories(spark, sf_dir), "pod_crashloop", {"label": "fraud"}, 0.3).select(*SHORT)
+    return memory.search(memories(spark, sf_dir), "pod_crashloop", {"label": "fraud"}, 0.3).select(*short())
 
 
 @query("memory_export", MEMORIES + "SELECT memory_id, signal_type, severity, occurrences, round(strength, 6) AS strength FROM memories WHERE strength >= 0.2 AND modified_us >= epoch_us(TIMESTAMP '2024-01-20')")
 def memory_export(spark, sf_dir):
     since = int(spark.sql("SELECT unix_micros(timestamp'2024-01-20')").first()[0])
-    return memory.export(memories(spark, sf_dir), since, 0.2).select(*SHORT)
+    return memory.export(memories(spark, sf_dir), since, 0.2).select(*short())
 
 
 _ALIKE = "sha256(concat_ws('|', signal_type, 'message=' || message))"
