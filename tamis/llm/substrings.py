@@ -7,8 +7,9 @@ A window of `length` words can repeat only if the windows of half that length in
 2. Anchors met in two documents survive. Only full windows whose anchor survives are extended to full length.
 3. Of those, a window that starts in a document with a smaller doc_id covers words that go.
 
-Further doublings (`levels`) extend only windows that repeated, until none does; they tell how long a passage is, and
-cannot change which words a shorter window covers.
+longest_repeats goes on from there: windows that repeat at one length, and they alone, are extended to twice that length,
+until none survives. That tells how long passages are; it can't change which words a shorter window covers, so
+remove_repeats needs no more levels than its own.
 
 Hashes travel packed: arrays of (hash, document) for each bucket of hashes or of documents, so a row stands for thousands
 of windows, and a window that a third of all documents hold is one run in a sorted array. Hashes have 64 bits.
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tamis.llm.common import U64, Run, column_or_null, window_hashes, word_runs
+from tamis.llm.common import U64, Run, column_or_null, materialize, window_hashes, word_runs
 
 #: So many hashes a task gathers before it deals them out.
 PACKED_HASHES = 1 << 20
@@ -111,47 +112,93 @@ def _texts(table: pa.Table) -> Iterator[tuple[list, pa.Array]]:
         yield batch.column("doc_id").to_pylist(), batch.column("text")
 
 
-def remove_repeats(docs: DataFrame, length: int = 13, keep_text: bool = False, buckets: int | None = None) -> DataFrame:
-    """Per document of docs (doc_id, text): n_words, n_removed, kept_sha256 and, with keep_text, kept_text.
+def _texts_of(docs: DataFrame, buckets: int | None) -> tuple[DataFrame, int]:
+    n = buckets or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return docs.select(F.col("doc_id").cast("long"), column_or_null(docs, "text", "string").alias("text")), n
 
-    Words are runs of bytes other than space and 0x09-0x0D, unchanged. A word goes if a window of `length` words of its
-    document covers it whose words also start in a document with a smaller doc_id, as the input has them. kept_sha256 is
-    of the kept words joined by one space. Null and empty texts have no words (the digest of nothing), as have texts of
-    white space; rows with the same doc_id count as one document when windows are compared; a null doc_id keeps its words
-    and takes none from others. Other columns aren't read; an empty table gives no rows.
-    buckets: groups of hashes and of documents, each held by one task at a time (None: as many as shuffle partitions; rows of packed
-    arrays are at most buckets squared).
-    """
-    spark = docs.sparkSession
-    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    texts = docs.select(F.col("doc_id").cast("long"), column_or_null(docs, "text", "string").alias("text"))
 
-    def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _dealt(texts: DataFrame, n: int):
+    return texts.withColumn("bucket", F.coalesce(F.pmod("doc_id", F.lit(n)), F.lit(0)).cast("int")).groupBy("bucket")
+
+
+def _anchors(length: int, n: int):
+    """Anchors of each document, dealt by hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h, d = [], []
         for batch in batches:
             ids, known = batch.column(0).fill_null(0).to_numpy(), batch.column(0).is_valid().to_numpy(zero_copy_only=False)
-            for run in word_runs(batch.column(1)):
-                _, text, least = windows(run, length)
+            for part in word_runs(batch.column(1)):
+                _, text, least = windows(part, length)
                 new = np.flatnonzero(np.concatenate(([True], (least[1:] != least[:-1]) | (text[1:] != text[:-1])))) if len(least) else np.empty(0, np.int64)
-                new = new[known[run.lo + text[new]]]
+                new = new[known[part.lo + text[new]]]
                 h.append(least[new])
-                d.append(ids[run.lo + text[new]])
+                d.append(ids[part.lo + text[new]])
             if sum(map(len, h)) >= PACKED_HASHES:
                 yield packed(h, d, "hashes", n)
                 h, d = [], []
         yield packed(h, d, "hashes", n)
 
-    def extended(left: pa.Table, right: pa.Table) -> pa.Table:
+    return run
+
+
+def _extended(length: int, n: int, before: int | None = None):
+    """Full windows of the documents that anchors survive in (before: of which both halves, of that length, survive)."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
         wanted, h, d = _by_document(right), [], []
         for ids, column in _texts(_only(left, wanted)):
-            for run in word_runs(column):
-                own = ids[run.lo : run.hi]
-                starts, text, least = windows(run, length)
-                keep = _pairs(text, least, wanted, own)
-                h.append(window_hashes(run.hashes, length)[starts[keep]])
+            for part in word_runs(column):
+                own = ids[part.lo : part.hi]
+                starts, text, least = windows(part, length)
+                if before is None:
+                    keep = _pairs(text, least, wanted, own)
+                else:
+                    halves = window_hashes(part.hashes, before)
+                    keep = _pairs(text, halves[starts], wanted, own) & _pairs(text, halves[starts + length - before], wanted, own)
+                h.append(window_hashes(part.hashes, length)[starts[keep]])
                 d.append(np.array(own, np.int64)[text[keep]])
         return pa.Table.from_batches([packed(h, d, "hashes", n)])
 
+    return run
+
+
+def longest_repeats(docs: DataFrame, length: int = 13, buckets: int | None = None) -> DataFrame:
+    """doc_id and longest: of the window lengths length, 2 * length, 4 * length and so on, the greatest at which a window of
+    the document also stands in another one. Documents without any aren't listed; null ids and texts have none."""
+    texts, n = _texts_of(docs, buckets)
+    dealt, found, level, before = _dealt(texts, n), None, length, None
+    survivors = texts.mapInArrow(_anchors(length, n), PACKED).groupBy("bucket").applyInArrow(_repeated(n, False), PACKED)
+    while True:
+        full = dealt.cogroup(survivors.groupBy("bucket")).applyInArrow(_extended(level, n, before), PACKED)
+        survivors = materialize(full.groupBy("bucket").applyInArrow(_repeated(n, False), PACKED), f"windows-{level}")
+        here = survivors.mapInArrow(_documents, "doc_id long").distinct().withColumn("longest", F.lit(level).cast("long"))
+        if survivors.isEmpty():
+            break
+        found = here if found is None else found.unionByName(here)
+        level, before = 2 * level, level
+    return (here if found is None else found).groupBy("doc_id").agg(F.max("longest").alias("longest"))
+
+
+def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        ids = np.unique(np.frombuffer(b"".join(batch.column(2).to_pylist()), np.int64))
+        yield pa.RecordBatch.from_arrays([pa.array(ids)], ["doc_id"])
+
+
+def remove_repeats(docs: DataFrame, length: int = 13, keep_text: bool = False, buckets: int | None = None) -> DataFrame:
+    """Per document of docs (doc_id, text): n_words, n_removed, kept_sha256 and, with keep_text, kept_text.
+
+    Words are runs of bytes other than space and 0x09-0x0D, unchanged. A word goes if a window of `length` words of its
+    document covers it whose words also start in a document with a smaller doc_id, as the input has them. kept_sha256 is
+    of the kept words joined by one space. Null and empty texts have no words (the digest of nothing), as have texts of
+    white space; rows with the same doc_id count as one document when windows are compared; a null doc_id keeps its words
+    and takes none from others. Other columns aren't read; an empty table gives no rows.
+    buckets: groups of hashes and of documents, each held by one task at a time (None: as many as shuffle partitions; rows of packed
+    arrays are at most buckets squared).
+    """
+    texts, n = _texts_of(docs, buckets)
+
     def cleaned(left: pa.Table, right: pa.Table) -> pa.Table:
         gone, rows = _by_document(right), []
         for ids, column in _texts(left):
@@ -171,9 +218,9 @@ def remove_repeats(docs: DataFrame, length: int = 13, keep_text: bool = False, b
                     rows.append((i, int(b - a), removed, hashlib.sha256(text_kept).hexdigest(), text_kept.decode() if keep_text else None))
         return pa.table([pa.array(c, t) for c, t in zip(list(zip(*rows, strict=True)) or [[]] * 5, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"])
 
-    dealt = texts.withColumn("bucket", F.coalesce(F.pmod("doc_id", F.lit(n)), F.lit(0)).cast("int")).groupBy("bucket")
-    repeated = texts.mapInArrow(anchors, PACKED).groupBy("bucket").applyInArrow(_repeated(n, False), PACKED)
-    full = dealt.cogroup(repeated.groupBy("bucket")).applyInArrow(extended, PACKED)
+    dealt = _dealt(texts, n)
+    repeated = texts.mapInArrow(_anchors(length, n), PACKED).groupBy("bucket").applyInArrow(_repeated(n, False), PACKED)
+    full = dealt.cogroup(repeated.groupBy("bucket")).applyInArrow(_extended(length, n), PACKED)
     later = full.groupBy("bucket").applyInArrow(_repeated(n, True), PACKED)
     out = dealt.cogroup(later.groupBy("bucket")).applyInArrow(cleaned, RESULT)
     return out if keep_text else out.drop("kept_text")
