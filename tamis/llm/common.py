@@ -25,12 +25,17 @@ RUN_BYTES = 1 << 20
 # ---------------------------------------------------------------- shared folder
 
 
+_unset: dict[str, str] = {}  # folders of applications that name none
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the cluster names in spark.checkpoint.dir; a temporary one only where it is unset."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
-        named = f"file://{tempfile.mkdtemp(prefix='tamis-')}"
-        spark.conf.set("spark.checkpoint.dir", named)
+        app = spark.sparkContext.applicationId
+        if app not in _unset:
+            _unset[app] = f"file://{tempfile.mkdtemp(prefix='tamis-')}"
+        named = _unset[app]
     return named.rstrip("/")
 
 
