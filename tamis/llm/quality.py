@@ -134,11 +134,14 @@ def features(run: Run, stats: np.ndarray, bits: int) -> Iterator[tuple[np.ndarra
 
 def fit_logistic(rows: list[tuple[np.ndarray, np.ndarray]], target: np.ndarray, size: int, rounds: int = 200, rate: float = 0.1, ridge: float = 1e-4, weight: np.ndarray | None = None) -> tuple[np.ndarray, float]:
     """Weights and intercept of a logistic model over sparse rows with soft targets, by Adam over all rows at a time."""
-    ids, values = np.concatenate([r[0] for r in rows]), np.concatenate([r[1] for r in rows]).astype(float)
-    row = np.repeat(np.arange(len(rows)), [len(r[0]) for r in rows])
+    ids, values = np.concatenate([r[0] for r in rows]), np.concatenate([r[1] for r in rows]).astype(np.float32)
+    row = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r[0]) for r in rows])
     weight = np.ones(len(rows)) if weight is None else weight
     weight = weight / weight.sum()
-    used, ids = np.unique(ids, return_inverse=True)
+    seen = np.zeros(size, bool)
+    seen[ids] = True
+    used = np.flatnonzero(seen)
+    ids = (np.cumsum(seen, dtype=np.int32) - 1)[ids]
     w, b = np.zeros(len(used) + 1), 0.0
     m, v = np.zeros(len(w)), np.zeros(len(w))
     for t in range(1, rounds + 1):

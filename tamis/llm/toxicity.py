@@ -73,7 +73,7 @@ def _present(texts: list[str], sizes: tuple[int, ...], bits: int, wanted: np.nda
     return both >> bits, both & ((1 << bits) - 1)
 
 
-def learn(labelled: DataFrame, sizes: tuple[int, ...] = (3, 4, 5, 6), bits: int = 20, features: int = 16_384, evidence: float = 14.0, tasks: int = 16) -> Model:
+def learn(labelled: DataFrame, sizes: tuple[int, ...] = (3, 4, 5, 6), bits: int = 20, features: int = 4_096, evidence: float = 14.0, tasks: int = 16) -> Model:
     """A model of labelled (text, toxic 0 or 1), a bounded sample. features: the n-grams with the highest log-likelihood
     ratio of label and presence, of those where it is at least `evidence`."""
     labelled = labelled.select(column_or_null(labelled, "text", "string").alias("text"), F.col("toxic").cast("int").alias("toxic")).repartition(tasks)
@@ -135,7 +135,7 @@ def scores(texts: list[str | None], model: Model) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(out, -30, 30)))
 
 
-def score_documents(docs: DataFrame, labels: DataFrame, folds: int = 5, sample: int = 20_000, threshold: float = 0.5, **how) -> DataFrame:
+def score_documents(docs: DataFrame, labels: DataFrame, folds: int = 5, sample: int = 10_000, threshold: float = 0.5, **how) -> DataFrame:
     """Per row of docs (doc_id, text): doc_id, held_out, score (0 to 1), predicted.
 
     A row is held out where crc32 of its doc_id as text is divisible by `folds`; labels (doc_id, toxic) of others are learned
