@@ -43,7 +43,7 @@ def word_count(docs: DataFrame):
     return F.coalesce(F.regexp_count(column_or_null(docs, "text", "string"), F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def fair_queue(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), share: float = 1.5, passes: int = 2, seed: str = "mix", slice_rows: int = 20_000, size: str | None = None) -> DataFrame:
+def fair_queue(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), share: float = 1.5, passes: int = 2, seed: str = "mix", slice_rows: int = 2_000, size: str | None = None) -> DataFrame:
     """Columns of docs (doc_id, text, source and others), and for each document what the mix takes of it.
 
     size: words of the text (null: 0), or the column that `size` names. source_size, target: of its source. taken: words served, repeats counted; at most
