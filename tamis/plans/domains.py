@@ -65,6 +65,13 @@ _CLAIM = {"event_type": _pick("k", "claim_filed", "claim_filed", "policy_change"
 _RETAIL = {"event_type": _pick("k", "pos_sale", "pos_return"), "amount": "value", "label": _pick("user_id", "shrinkage", "", "operational", "compliance", "", "")}
 _TELECOM = {"event_type": _pick("k", "outage", "alarm", "kpi"), "severity_level": _pick("user_id", "critical", "major", "customer", "normal", "compliance", "normal"), "affected_subscribers": "CAST(value * 100 AS INT)", "metric_value": "value", "threshold": "CAST(k AS DOUBLE)"}
 
+_JOBS = {"kind": _pick("k", "job", "task", "activity"), "status": _pick("user_id", "error", "canceled", "warning", "runner_on_skipped", "delete", "update", ""), "failed": "event_id % 5 = 0", "name": _pick("event_id", "[Team A] prod deploy", "crit backup", "nightly", "[ops] sync"), "object1": _pick("k", "credential", "job template", "inventory")}
+_APPS = {"health_status": _pick("k", "Degraded", "Healthy", "Progressing", "Healthy"), "sync_status": _pick("user_id", "Synced", "OutOfSync", "Synced"), "op_phase": _pick("event_id", "Failed", "Succeeded", "Succeeded", "Succeeded")}
+_POOLS = {"available": "k % 4", "min_available": "CAST(user_id % 3 AS INT)"}
+_JOBS_SQL = """SELECT event_id, CASE WHEN kind = 'job' AND status <> '' THEN 'job_' || status WHEN kind = 'job' THEN 'job_unknown' WHEN kind = 'task' THEN 'task_' || status ELSE lower(replace('config_' || status || '_' || object1, ' ', '_')) END AS signal_type,
+CASE WHEN kind = 'job' AND failed AND (contains(lower(name), 'prod') OR contains(lower(name), 'crit')) THEN 'critical' WHEN kind = 'job' AND (failed OR status = 'error') THEN 'high' WHEN kind = 'job' AND status = 'canceled' THEN 'medium' WHEN kind = 'task' AND failed THEN 'high' WHEN kind = 'task' AND status = 'warning' THEN 'medium' WHEN kind = 'task' AND status = 'runner_on_skipped' THEN 'low' WHEN kind = 'activity' AND status = 'delete' AND object1 IN ('credential', 'inventory', 'project') THEN 'high' WHEN kind = 'activity' AND status = 'update' AND object1 IN ('credential', 'inventory') THEN 'medium' ELSE 'info' END AS severity FROM m"""
+_APPS_SQL = "SELECT event_id, CASE WHEN health_status = 'Degraded' THEN 'app_degraded' WHEN sync_status = 'OutOfSync' THEN 'app_outofsync' WHEN op_phase = 'Failed' THEN 'sync_failed' WHEN health_status = 'Healthy' THEN 'app_synced' ELSE 'app_' || lower(health_status) END AS signal_type, CASE WHEN health_status = 'Degraded' THEN 'high' WHEN sync_status = 'OutOfSync' THEN 'medium' WHEN op_phase = 'Failed' THEN 'high' WHEN health_status = 'Healthy' THEN 'info' ELSE 'low' END AS severity FROM m"
+_POOLS_SQL = "SELECT event_id, CASE WHEN min_available > 0 AND available = 0 THEN 'pool_exhausted' WHEN min_available > 0 AND available <= 1 THEN 'pool_low' ELSE 'pool_healthy' END AS signal_type, CASE WHEN min_available > 0 AND available = 0 THEN 'critical' WHEN min_available > 0 AND available <= 1 THEN 'high' ELSE 'info' END AS severity FROM m"
 _K8S_SQL = """SELECT event_id, CASE WHEN type = 'pod' AND (reason = 'CrashLoopBackOff' OR restarts > 5) THEN 'pod_crashloop' WHEN type = 'pod' AND phase = 'Pending' THEN 'pod_pending' WHEN type = 'pod' AND phase <> '' THEN 'pod_' || lower(phase) WHEN type = 'pod' THEN 'pod_unknown' WHEN type = 'event' AND reason <> '' THEN 'event_' || lower(reason) WHEN type = 'event' THEN 'event_unknown' WHEN type = 'node' AND ready <> 'True' THEN 'node_notready' WHEN type = 'node' AND memory_pressure = 'True' THEN 'node_memory_pressure' WHEN type = 'node' AND disk_pressure = 'True' THEN 'node_disk_pressure' WHEN type = 'node' THEN 'node_healthy' ELSE type || '_unknown' END AS signal_type,
 CASE WHEN type = 'event' THEN 'medium' WHEN type = 'pod' AND restarts > 10 THEN 'high' WHEN type = 'pod' AND restarts > 3 THEN 'medium' WHEN type = 'pod' AND phase = 'Pending' THEN 'low' WHEN type = 'node' AND ready <> 'True' THEN 'critical' WHEN type = 'node' AND memory_pressure = 'True' THEN 'high' ELSE 'info' END AS severity FROM m"""
 _HEALTH_SQL = "SELECT event_id, CASE severity_flag WHEN 'critical' THEN 'critical_' WHEN 'compliance' THEN 'compliance_' WHEN 'operational' THEN 'ops_' ELSE '' END || event_type AS signal_type, CASE severity_flag WHEN 'critical' THEN 'critical' WHEN 'compliance' THEN 'high' WHEN 'operational' THEN 'medium' ELSE 'info' END AS severity FROM m"
@@ -81,7 +88,7 @@ def _mapped(mapping, columns: dict[str, str]):
     return run
 
 
-for _name, _mapping, _columns, _sql in (("k8s_mapping", mappings.kubernetes, _K8S, _K8S_SQL), ("healthcare_mapping", mappings.healthcare, _HEALTH, _HEALTH_SQL), ("insurance_mapping", mappings.insurance, _CLAIM, _CLAIM_SQL), ("retail_mapping", mappings.retail, _RETAIL, _RETAIL_SQL), ("telecom_mapping", mappings.telecom, _TELECOM, _TELECOM_SQL)):
+for _name, _mapping, _columns, _sql in (("k8s_mapping", mappings.kubernetes, _K8S, _K8S_SQL), ("healthcare_mapping", mappings.healthcare, _HEALTH, _HEALTH_SQL), ("insurance_mapping", mappings.insurance, _CLAIM, _CLAIM_SQL), ("retail_mapping", mappings.retail, _RETAIL, _RETAIL_SQL), ("telecom_mapping", mappings.telecom, _TELECOM, _TELECOM_SQL), ("automation_mapping", mappings.automation, _JOBS, _JOBS_SQL), ("deployment_mapping", mappings.deployments, _APPS, _APPS_SQL), ("pool_mapping", mappings.pools, _POOLS, _POOLS_SQL)):
     # integers from doubles: both dialects must cut, not round
     _cut = {n: s.replace("CAST(value / 10 AS INT)", "CAST(floor(value / 10) AS INT)").replace("CAST(value * 100 AS INT)", "CAST(floor(value * 100) AS INT)") for n, s in _columns.items()}
     query(_name, f"{RECORDS}, m AS (SELECT event_id, " + ", ".join(f"{s} AS {n}" for n, s in _cut.items()) + f" FROM r) {_sql}")(_mapped(_mapping, _cut))

@@ -81,3 +81,46 @@ def telecom(rows: DataFrame) -> DataFrame:
     types = _cases(((kind == "outage") & (people > 10000), "major_outage"), (kind == "outage", "minor_outage"), otherwise=kind)
     severity = _cases(((level == "critical") | (people > 10000), "critical"), (level.isin("major", "compliance"), "high"), (level == "customer", "medium"), ((F.col("threshold") > 0) & (F.col("metric_value") > F.col("threshold") * 0.8), "low"))
     return _map(rows, types, severity)
+
+
+def automation(rows: DataFrame) -> DataFrame:
+    """Jobs (kind job), their tasks and changes to the configuration, with the namespace that a name has in brackets."""
+    kind, failed = F.col("kind"), F.coalesce("failed", F.lit(False))
+    job, task, change = kind == "job", kind == "task", kind == "activity"
+    name, status = F.lower(F.coalesce("name", F.lit(""))), F.coalesce("status", F.lit(""))
+    types = _cases((job & (status != ""), F.concat(F.lit("job_"), status)), (job, "job_unknown"), (task, F.concat(F.lit("task_"), status)), otherwise=F.lower(F.regexp_replace(F.concat(F.lit("config_"), status, F.lit("_"), F.coalesce("object1", F.lit(""))), " ", "_")))
+    severity = _cases(
+        (job & failed & (F.contains(name, F.lit("prod")) | F.contains(name, F.lit("crit"))), "critical"), (job & (failed | (status == "error")), "high"), (job & (status == "canceled"), "medium"),
+        (task & failed, "high"), (task & (status == "warning"), "medium"), (task & (status == "runner_on_skipped"), "low"),
+        (change & (status == "delete") & F.col("object1").isin("credential", "inventory", "project"), "high"), (change & (status == "update") & F.col("object1").isin("credential", "inventory"), "medium"),
+    )
+    bracket = F.regexp_extract("name", r"^\[([^\]]+)\]", 1)
+    space = F.when(change, "config").when(bracket != "", F.regexp_replace(F.lower(bracket), " ", "-")).otherwise("general")
+    return _map(rows, types, severity).withColumn("namespace", space)
+
+
+def alerts(rows: DataFrame) -> DataFrame:
+    """Alerts by the severity that they bring."""
+    level = F.col("severity")
+    return rows.withColumn("severity", _cases((level == "critical", "critical"), (level == "warning", "medium"), (level == "info", "low")))
+
+
+def deployments(rows: DataFrame) -> DataFrame:
+    """Applications by health, sync and the last operation, the gravest first."""
+    health, sync = F.coalesce("health_status", F.lit("")), F.coalesce("sync_status", F.lit(""))
+    broken, drifted, failed, fine = health == "Degraded", sync == "OutOfSync", F.col("op_phase") == "Failed", (health == "Healthy") & (sync == "Synced")
+    types = _cases((broken, "app_degraded"), (drifted, "app_outofsync"), (failed, "sync_failed"), (fine, "app_synced"), otherwise=F.concat(F.lit("app_"), F.lower(health)))
+    return _map(rows, types, _cases((broken, "high"), (drifted, "medium"), (failed, "high"), (fine, "info"), otherwise="low"))
+
+
+def pools(rows: DataFrame) -> DataFrame:
+    """Pools by what they have available against what they should have."""
+    wanted, there = F.col("min_available") > 0, F.col("available")
+    return _map(rows, _cases((wanted & (there == 0), "pool_exhausted"), (wanted & (there <= 1), "pool_low"), otherwise="pool_healthy"), _cases((wanted & (there == 0), "critical"), (wanted & (there <= 1), "high")))
+
+
+def claims(rows: DataFrame) -> DataFrame:
+    """Claims whose state isn't the desired one; others make no signal."""
+    now, want = F.coalesce("current_state", F.lit("")), F.coalesce("desired_state", F.lit(""))
+    off = rows.where((now != "") & (want != "") & (now != want))
+    return _map(off, F.concat(F.lit("claim_"), F.replace(now, F.lit("-"), F.lit("_"))), _cases(((want == "started") & now.isin("provision-failed", "stop-error"), "high"), otherwise="medium"))
