@@ -22,6 +22,8 @@ class Agent:
     name: str
     stage: int
     decide: Callable[[DataFrame, Column], Column]
+    #: Whether it decides on each signal by itself; then it is worked out once, below the windows of others.
+    stateless: bool = False
 
 
 def decision(outcome: str, classification: Column | str | None = None, confidence: float = 1.0) -> Column:
@@ -63,7 +65,7 @@ def trend(fields: tuple[str, ...] = ("cpu_percent", "latency_ms"), entity: str =
 
 def priming(types: tuple[str, ...]) -> Agent:
     """Escalates signals of types for which a window of attention is open."""
-    return Agent("priming_escalator", 0, lambda s, active: F.when(active & F.col("signal_type").isin(*types), decision("escalate")))
+    return Agent("priming_escalator", 0, lambda s, active: F.when(active & F.col("signal_type").isin(*types), decision("escalate")), True)
 
 
 def deduplicate() -> Agent:
@@ -82,7 +84,7 @@ def transient() -> Agent:
         mine = F.col("signal_type").isin(*schema.TRANSIENT_TYPES) & F.col("severity").isin(*schema.SUPPRESSIBLE)
         return F.when(active & mine & ~F.col("content_text").rlike(schema.NEVER_SUPPRESS), decision("suppress"))
 
-    return Agent("transient_suppressor", 1, decide)
+    return Agent("transient_suppressor", 1, decide, True)
 
 
 def severity_gate() -> Agent:
@@ -90,7 +92,7 @@ def severity_gate() -> Agent:
         mine = active & (F.col("severity") == "info") & ~_bypass()
         return F.when(mine & F.col("content_text").rlike(schema.ESCALATE), decision("escalate")).when(mine, decision("drop"))
 
-    return Agent("severity_gate", 1, decide)
+    return Agent("severity_gate", 1, decide, True)
 
 
 def pattern_class() -> Column:
@@ -102,7 +104,7 @@ def pattern_class() -> Column:
 
 
 def pattern_classifier() -> Agent:
-    return Agent("pattern_classifier", 2, lambda s, active: F.when(active & pattern_class().isNotNull(), decision("classify", pattern_class(), 0.85)))
+    return Agent("pattern_classifier", 2, lambda s, active: F.when(active & pattern_class().isNotNull(), decision("classify", pattern_class(), 0.85)), True)
 
 
 def threshold_class(columns: list[str]) -> Column:
@@ -119,7 +121,7 @@ def threshold_classifier() -> Agent:
         kind = threshold_class(signals.columns)
         return F.when(active & kind.endswith("_critical"), decision("escalate", kind, 0.95)).when(active & kind.endswith("_warning"), decision("classify", kind, 0.90))
 
-    return Agent("threshold_classifier", 2, decide)
+    return Agent("threshold_classifier", 2, decide, True)
 
 
 def _instance(*columns: str) -> Column:

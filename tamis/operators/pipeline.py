@@ -23,11 +23,23 @@ def annotate(signals: DataFrame, agents: list[Agent] | None = None) -> DataFrame
 
     An agent that can't be planned is left out (what it would have decided fails open) and logged.
     """
-    df = signals.withColumn("removed", F.lit(False)).withColumn("escalated", F.lit(False))
+    df, ready = signals, []
     for agent in sorted(agents if agents is not None else built_in(), key=lambda a: a.stage):
+        if agent.stateless:  # before any window: above one it is a column, not an expression that flags repeat
+            try:
+                planned = df.withColumn(f"raw_{agent.name}", agent.decide(df, F.lit(True)))
+                planned.schema  # noqa: B018  plans it
+                df = planned
+            except Exception:
+                log.exception("agent %s left out", agent.name)
+                continue
+        ready.append(agent)
+    df = df.withColumn("removed", F.lit(False)).withColumn("escalated", F.lit(False))
+    for agent in ready:
         name = f"d_{agent.name}"
         try:
-            planned = df.withColumn(name, agent.decide(df, ~F.col("removed")))
+            active = ~F.col("removed")
+            planned = df.withColumn(name, F.when(active, F.col(f"raw_{agent.name}")) if agent.stateless else agent.decide(df, active))
             planned.schema  # noqa: B018  plans it
         except Exception:
             log.exception("agent %s left out", agent.name)
@@ -35,6 +47,7 @@ def annotate(signals: DataFrame, agents: list[Agent] | None = None) -> DataFrame
         outcome = F.col(name)["outcome"]
         goes = F.coalesce((outcome.isin(*REMOVING) | ((outcome == "classify") & (F.col("severity") == "info"))) & ~F.col("escalated"), F.lit(False))
         df = planned.withColumn(f"removed_{name}", goes & ~F.col("removed")).withColumn("removed", F.col("removed") | goes).withColumn("escalated", F.col("escalated") | F.coalesce(outcome == "escalate", F.lit(False)))
+    df = df.drop(*(f"raw_{a.name}" for a in ready))
     return df.withColumn("survives", ~F.col("removed") & ((F.col("severity") != "info") | F.col("escalated")))
 
 
