@@ -44,9 +44,11 @@ def annotate(signals: DataFrame, agents: list[Agent] | None = None) -> DataFrame
         except Exception:
             log.exception("agent %s left out", agent.name)
             continue
-        outcome = F.col(name)["outcome"]
-        goes = F.coalesce((outcome.isin(*REMOVING) | ((outcome == "classify") & (F.col("severity") == "info"))) & ~F.col("escalated"), F.lit(False))
-        df = planned.withColumn(f"removed_{name}", goes & ~F.col("removed")).withColumn("removed", F.col("removed") | goes).withColumn("escalated", F.col("escalated") | F.coalesce(outcome == "escalate", F.lit(False)))
+        # from what the agent says regardless of flags: each flag then names the ones before it once
+        outcome = F.col(f"raw_{agent.name}" if agent.stateless else name)["outcome"]
+        goes = F.coalesce(outcome.isin(*REMOVING) | ((outcome == "classify") & (F.col("severity") == "info")), F.lit(False)) & ~F.col("escalated")
+        rises = F.coalesce(outcome == "escalate", F.lit(False)) & active
+        df = planned.withColumns({f"removed_{name}": goes & active, "removed": F.col("removed") | goes, "escalated": F.col("escalated") | rises})
     df = df.drop(*(f"raw_{a.name}" for a in ready))
     return df.withColumn("survives", ~F.col("removed") & ((F.col("severity") != "info") | F.col("escalated")))
 
