@@ -55,7 +55,9 @@ def unpacked(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
 def windows(run: Run, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of each full window within a text of the run: its first word, its text and its anchor's hash."""
     half, n = (length - 1) // 2 or 1, len(run.hashes)
-    starts, text = np.arange(max(0, n - length + 1)), run.word_text()[: max(0, n - length + 1)]
+    if n < length:  # no full window; the minimum below would be taken of too few
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, U64)
+    starts, text = np.arange(n - length + 1), run.word_text()[: n - length + 1]
     least = window_hashes(run.hashes, half)
     reach, width = length - half + 1, 1
     while width < reach:  # the minimum of ever wider stretches

@@ -6,12 +6,14 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 pytest.importorskip("tamis.llm.common")
 
 from tamis.llm import embeddings, html, matroska, minhash, mixing, packing, pii, quality, substrings, toxicity  # noqa: E402
+from tamis.llm.common import window_hashes, word_runs  # noqa: E402
 from tamis.llm.tokens import encoder  # noqa: E402
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -184,6 +186,25 @@ def test_removal_edge_cases(docs, empty):
     assert substrings.remove_repeats(empty).count() == 0
 
 
+@pytest.mark.parametrize("length", [1, 2, 4, 13, 26, 52])
+def test_windows_of_runs_of_any_length(length):
+    half = (length - 1) // 2 or 1
+    for n in range(3 * length + 1):
+        for texts in ([" ".join(f"w{k}" for k in range(n))], [" ".join(f"w{k}" for k in range(n)), "a b", None]):
+            (run,) = word_runs(pa.array(texts, pa.string()))
+            starts, text, least = substrings.windows(run, length)
+            inner = window_hashes(run.hashes, half)
+            want = [(s, t) for t in range(len(texts)) for s in range(run.first[t], run.first[t + 1] - length + 1)]
+            assert list(zip(starts.tolist(), text.tolist(), strict=True)) == want
+            assert least.tolist() == [inner[s : s + length - half + 1].min() for s, _ in want]
+
+
+def test_removal_of_one_short_document(spark):
+    rows = [(1, " ".join(f"w{k}" for k in range(11)))]
+    got = substrings.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert [(r.doc_id, r.n_words, r.n_removed) for r in got] == [(1, 11, 0)]
+
+
 # ---------------------------------------------------------------- html
 
 
