@@ -2,7 +2,9 @@
 
 Each pass orders the vectors of a label by one long string of hash bits, the signs of random projections, and compares each
 vector with the ones that follow it in a bounded window. Passes use other projections; their verified pairs are united.
-Equal vectors become one class before that, so that copies don't fill the windows.
+Equal vectors become one class before that, so that copies don't fill the windows. A pair is split by every bit that it
+differs in before the window reaches over what is left, so a label with more vectors gets more passes (passes_for): about
+the 0.18th power of its size at a cosine of 0.93. A label that fits in a window is compared whole.
 
 Components of the pairs found are families. A family larger than a window holds links that no window has met, so links are
 counted over whole families, block against block: exact within a family whatever its size, and no pair leaves its task.
@@ -10,6 +12,7 @@ counted over whole families, block against block: exact within a family whatever
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,14 +25,33 @@ from tamis.llm.common import components, materialize
 
 
 def projections(passes: int, bits: int, dims: int, seed: int) -> np.ndarray:
+    """The first passes are the same however many there are."""
     return np.random.default_rng(seed).standard_normal((passes, bits, dims))
 
 
+def passes_for(n: int, threshold: float, window: int, recall: float) -> int:
+    """Passes after which a pair whose cosine is the threshold has met with probability `recall`, among n vectors that
+    hash bits halve evenly.
+
+    The pair agrees in its first d bits and differs in the next with probability p * (1 - p) ** d. Then it lies in the two
+    halves of a run of n / 2 ** d vectors, and its distance is the sum of two uniform ones of half that run.
+    """
+    if n <= window + 1:
+        return 1
+    p, met, agree, half = math.acos(max(-1.0, min(1.0, threshold))) / math.pi, 0.0, 1.0, n / 2
+    while window < 2 * half:
+        reach = window / half
+        met += agree * p * (1 - (2 - reach) ** 2 / 2 if reach > 1 else reach**2 / 2)
+        agree, half = agree * (1 - p), half / 2
+    met += agree
+    return 1 if met >= recall else math.ceil(math.log(1 - recall) / math.log(1 - met))
+
+
 def _matrix(column: pa.Array, dims: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.float64).reshape(-1, dims)
 
 
-def near_vectors(vectors: DataFrame, threshold: float = 0.93, passes: int = 6, bits: int = 48, window: int = 16, segment: int = 2_000, block: int = 1_024, seed: int = 6) -> DataFrame:
+def near_vectors(vectors: DataFrame, threshold: float = 0.93, recall: float = 0.95, bits: int = 48, window: int = 512, segment: int = 4_000, block: int = 1_024, broadcast_rows: int = 50_000, seed: int = 6) -> DataFrame:
     """Per row of vectors (vec_id, embedding, label): n_links, component_id, kept.
 
     Vectors link when their labels are equal and not null, they have as many components, and their cosine in double
@@ -37,7 +59,9 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, passes: int = 6, b
     nothing. n_links: other vectors linked directly, copies counted; component_id: the smallest vec_id reachable; kept: it
     is the own one. Rows of one vec_id count as vectors of their own when links are counted. A null vec_id links with
     nothing. Other columns aren't read; an empty table gives no rows.
-    segment: vectors sorted by a task at a time, with the window's width of the next segment's.
+    recall: share of isolated pairs at the threshold itself that are to be met (nearer ones are met more often), which sets
+    the passes of each label. segment: vectors sorted by a task at a time, with the window's width of the next segment's.
+    broadcast_rows: sizes of up to so many labels are broadcast, more are joined.
     """
     rows = vectors.select(F.col("vec_id").cast("long"), F.col("label").cast("string").alias("label"), F.col("embedding").cast("array<double>").alias("v"))
     sound = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & (F.size("v") > 0) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(float("inf")))) & F.exists("v", lambda x: x != 0)
@@ -48,7 +72,10 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, passes: int = 6, b
     classes = kinds.where("alike is not null").groupBy("alike").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
     members = materialize(kinds.join(classes, "alike", "left"), "classes")
     heads = members.where("vec_id = rep").dropDuplicates(["vec_id", "alike"]).select("rep", "copies", "alike", F.col("label").alias("_label"), "v")
-    heads = materialize(heads.mapInArrow(_hashed(passes, bits, seed), "rep long, copies long, space string, v binary, hashes array<binary>"), "hashes")
+    sizes = materialize(members.where("vec_id = rep").select("alike", F.col("label").alias("_label")).distinct().groupBy("_label").agg(F.count("*").alias("_size")), "sizes")
+    few = sizes.limit(broadcast_rows + 1).count() <= broadcast_rows
+    heads = heads.join(F.broadcast(sizes) if few else sizes, "_label").select("rep", "copies", "_size", "_label", "v")
+    heads = materialize(heads.mapInArrow(_hashed(threshold, window, recall, bits, seed), "rep long, copies long, space string, v binary, hashes array<binary>"), "hashes")
 
     keyed = heads.select("rep", "space", "v", F.posexplode("hashes").alias("pass", "hash"))
     found = _window_pairs(keyed, threshold, window, segment)
@@ -67,21 +94,25 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, passes: int = 6, b
     return out.select("vec_id", n.cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
 
 
-def _hashed(passes: int, bits: int, seed: int):
-    """Unit vectors as bytes and a string of sign bits for each pass; vectors of other lengths are another space."""
+def _hashed(threshold: float, window: int, recall: float, bits: int, seed: int):
+    """Unit vectors as bytes and a string of sign bits for each pass of their label; vectors of other lengths are another
+    space."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        planes: dict[int, np.ndarray] = {}
+        planes: dict[tuple[int, int], np.ndarray] = {}
+        passes: dict[int, int] = {}
         for batch in batches:
             out: list[list] = [[], [], [], [], []]
             vectors = [np.array(x, float) for x in batch.column(4).to_pylist()]
-            for n in {len(x) for x in vectors}:
-                at = [k for k, x in enumerate(vectors) if len(x) == n]
+            own = [passes[x] if x in passes else passes.setdefault(x, passes_for(x, threshold, window, recall)) for x in batch.column(2).to_pylist()]
+            for n, count in {(len(x), c) for x, c in zip(vectors, own, strict=True)}:
+                at = [k for k, x in enumerate(vectors) if (len(x), own[k]) == (n, count)]
                 m = np.stack([vectors[k] for k in at])
                 m /= np.abs(m).max(1, keepdims=True)
                 m /= np.linalg.norm(m, axis=1, keepdims=True)
-                p = planes.setdefault(n, projections(passes, bits, n, seed).reshape(-1, n))
-                signs = np.packbits((m @ p.T > 0).reshape(len(at), passes, bits), axis=2)
+                if (n, count) not in planes:
+                    planes[n, count] = projections(count, bits, n, seed).reshape(-1, n)
+                signs = np.packbits((m @ planes[n, count].T > 0).reshape(len(at), count, bits), axis=2)
                 for k, v, s in zip(at, m, signs, strict=True):
                     label = batch.column(3)[k].as_py()
                     for to, x in zip(out, (batch.column(0)[k].as_py(), batch.column(1)[k].as_py(), f"{n}:{label}", v.tobytes(), [b.tobytes() for b in s]), strict=True):
@@ -92,7 +123,7 @@ def _hashed(passes: int, bits: int, seed: int):
 
 
 def _window_pairs(keyed: DataFrame, threshold: float, window: int, segment: int) -> DataFrame:
-    """Verified pairs (a, b) among each vector's `window` successors in its pass's order.
+    """Pairs (a, b) that join all that verified pairs join: those among each vector's `window` successors in its pass's order.
 
     A pass's order is cut into segments of bounded size by ranks within slices of the leading hash bits; each segment's last
     vectors also go to the next one.
@@ -109,16 +140,28 @@ def _window_pairs(keyed: DataFrame, threshold: float, window: int, segment: int)
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("r")
         m = np.stack([np.frombuffer(x, np.float64) for x in rows["v"]])
-        ids, out = rows["rep"].to_numpy(), []
-        for step in range(1, min(window, len(m) - 1) + 1):
-            hit = np.flatnonzero(np.einsum("ij,ij->i", m[step:], m[:-step]) >= threshold)
-            out.append(np.stack([ids[hit + step], ids[hit]], 1))
-        pairs = np.concatenate(out) if out else np.empty((0, 2), np.int64)
-        return pd.DataFrame({"a": pairs.max(1) if len(pairs) else [], "b": pairs.min(1) if len(pairs) else []}, dtype="int64").drop_duplicates()
+        ids, root = rows["rep"].to_numpy(), np.arange(len(m))
+        for at in range(0, len(m), window):  # a stretch of the window's width against itself and the next one
+            x, y = np.nonzero(m[at : at + window] @ m[at : at + 2 * window].T >= threshold)
+            _unite(root, x[x < y] + at, y[x < y] + at)
+        far = np.flatnonzero(root != np.arange(len(m)))
+        one, two = ids[far], ids[root[far]]
+        return pd.DataFrame({"a": np.maximum(one, two), "b": np.minimum(one, two)}, dtype="int64")
 
     return dealt.groupBy("space", "pass", "segment").applyInPandas(run, "a long, b long")
 
 
+def _unite(root: np.ndarray, x: np.ndarray, y: np.ndarray) -> None:
+    """Joins the sets of x and y, pair by pair; root: of each place the least one of its set."""
+    while len(x):
+        a, b = root[x], root[y]
+        apart = a != b
+        x, y, a, b = x[apart], y[apart], a[apart], b[apart]
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while (up := root[root]).tobytes() != root.tobytes():
+            root[:] = up
+
+
 def _count(threshold: float):
     """Links between two blocks of a family, or within one; a copy counts as a vector."""
 

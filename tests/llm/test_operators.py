@@ -305,6 +305,31 @@ def test_vectors_like_all_pairs(spark):
     assert embeddings.near_vectors(df.limit(0)).count() == 0
 
 
+def planted_pairs(n, pairs, cosine, seed=1):
+    """n unit vectors that lie apart, of which 2k and 2k + 1 have the cosine, for each k < pairs."""
+    rng = np.random.default_rng(seed)
+    m = rng.standard_normal((n, 64))
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    one, two = m[0 : 2 * pairs : 2], m[1 : 2 * pairs : 2]
+    two -= (one * two).sum(1, keepdims=True) * one
+    m[1 : 2 * pairs : 2] = cosine * one + np.sqrt(1 - cosine**2) * two / np.linalg.norm(two, axis=1, keepdims=True)
+    return m
+
+
+def test_links_at_the_threshold_are_met_in_a_large_label(spark):
+    n, pairs = 20_000, 1_000
+    table = pa.table({"vec_id": np.arange(n), "embedding": planted_pairs(n, pairs, 0.9301).tolist(), "label": np.zeros(n, np.int32)})
+    found = embeddings.near_vectors(spark.createDataFrame(table), 0.93).where("n_links > 0").collect()
+    assert all((r.n_links, r.component_id) == (1, r.vec_id // 2 * 2) for r in found)
+    assert len(found) >= 0.9 * 2 * pairs
+
+
+def test_passes_grow_with_the_label():
+    passes = [embeddings.passes_for(n, 0.93, 512, 0.95) for n in (2, 513, 10_000, 10**5, 10**6, 10**9)]
+    assert passes[:2] == [1, 1] and passes == sorted(passes) and passes[-1] > passes[2]
+    assert embeddings.passes_for(10**6, 0.8, 512, 0.95) > passes[4]
+
+
 # ---------------------------------------------------------------- media
 
 
