@@ -11,6 +11,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -71,6 +72,18 @@ _CUES = {"token": "secret", "secret": "secret", "password": "secret", "apikey":
 MOST = 40  # tokens of an entity
 MARGIN = 3.0  # how much likelier, as a logarithm, an entity must be than what the field would say without it
 LABELS = ("", *KINDS)
+#: How accounts begin; groups of such a one may be letters only.
+_ACCOUNT = re.compile("[A-Z]{2}[0-9]{2}(?![a-z])")
+_GROUP = re.compile("[A-Z]{1,4}")
+_NUMBERED = re.compile(r"\S*[0-9@]\S*(?:(?<=(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2})(?: [A-Z0-9]{1,4}(?![A-Za-z0-9])){2,8}\S*)?(?: \S*[0-9@]\S*)*")
+#: Entities without a digit: access keys, quoted values of secrets, and of tokens and keys where they change case often.
+_BARE = re.compile(
+    r"(?<![A-Za-z0-9])(?P<key>(?:AKIA|ASIA)[A-Z]{16})(?![A-Za-z0-9])|(?<![A-Za-z])(?i:password|secret)[\"']?[^\S\n]*[:=][^\S\n]*(?P<q>[\"'])(?P<secret>[^\s\"'0-9@]{8,})(?P=q)"
+    r"|(?<![A-Za-z])(?i:token|apikey|key)[\"']?[^\S\n]*[:=][^\S\n]*(?P<r>[\"'])(?P<token>(?=(?:[^\s\"']*?[a-z][A-Z]){3})[^\s\"'0-9@]{16,})(?P=r)"
+)
+_BARE_SIGNS = ("akia", "asia", "password", "secret", "token", "key")
+#: Countries' account numbers after the check digits: a letters, n digits, c either.
+ACCOUNTS = {"GB": "4a14n", "IE": "4a14n", "NL": "4a10n", "BG": "4a6n8c", "LV": "4a13c", "MT": "4a5n18c", "RO": "4a16c", "DE": "18n", "FR": "10n11c2n", "ES": "20n", "CH": "5n12c", "IT": "1a10n12c", "BE": "12n", "NO": "11n"}
 
 
 def _shape(text: str) -> str:
@@ -78,6 +91,26 @@ def _shape(text: str) -> str:
     return re.sub(r"([9aA])\1{2,}", r"\1+", re.sub("[A-Z]", "A", re.sub("[a-z]", "a", re.sub("[0-9]", "9", text))))
 
 
+def _checked(account: str) -> bool:
+    """Whether an account's check digits fit (modulo 97)."""
+    return int("".join(str(int(c, 36)) for c in account[4:] + account[:4])) % 97 == 1
+
+
+def _account_like(text: str, ends: bool) -> bool:
+    """Whether groups of capitals in a text, or at its end, can be an account's."""
+    return not ends and len(_DIGIT.findall(text)) >= 8 or re.fullmatch("[A-Z]{2}[0-9]{2}[A-Z0-9 ]{10,36}", text) is not None and _checked(text.replace(" ", ""))
+
+
+def _bare(text: str) -> dict[int, int]:
+    """Where the entities without a digit begin and end."""
+    return {m.start(k): m.end(k) for m in _BARE.finditer(text) for k in ("key", "secret", "token") if m[k]} if _hints(text) else {}
+
+
+def _hints(text: str) -> bool:
+    low = text.lower()
+    return any(x in low for x in _BARE_SIGNS)
+
+
 def _segment_features(text: str, before: str, cue: str, after: str) -> list[str]:
     digits = _DIGIT.findall(text)
     n, count = len(text), len(digits)
@@ -96,8 +129,10 @@ def _segment_features(text: str, before: str, cue: str, after: str) -> list[str]
         out.append(f"run{text.isupper()}{bool(re.fullmatch('[0-9a-f]+', text))}{0 < count < n}{cue == 'secret'}")
     if text[0] == "+" and count == n - 1 - sum(text.count(c) for c in " ().-"):
         out.append(f"call{9 <= count <= 15}{text[-1].isdigit()}")
-    if re.fullmatch("[A-Z]{2}[0-9]{2}[A-Z0-9 ]{10,30}", text):
-        out.append("bank")
+    if re.fullmatch("[A-Z]{2}[0-9]{2}[A-Z0-9 ]{10,36}", text):
+        out += ["bank", f"bank{_checked(text.replace(' ', ''))}"]
+    if not count and "@" not in text:
+        out.append(f"bare{bool(re.fullmatch('A[KS]IA[A-Z]{16}', text))}{cue == 'secret'}")
     return out
 
 
@@ -119,30 +154,41 @@ class Field:
 
     def candidates(self, site: str, grow: bool = False) -> tuple[list[tuple[int, int]], list[tuple[int, int, list[int]]]]:
         """Tokens of a site, and (first token, end token, features) of each candidate segment: single tokens, and up to
-        MOST tokens that neither begin nor end with white space, with a digit or @ in each of their words."""
-        tokens = [m.span() for m in _TOKEN.finditer(site)]
+        MOST tokens that neither begin nor end with white space, with a digit or @ in each of their words. Short groups of
+        capitals count as such words in what begins as an account, if its check digits fit or if 8 digits are in it and
+        none of them is its end; entities without a digit are candidates as they are."""
+        tokens, bare = [m.span() for m in _TOKEN.finditer(site)], _bare(site)
         out, cue = [], ""
         for i, (a, b) in enumerate(tokens):
             first = site[a]
             out.append((i, i + 1, self._ids(["o", f"o{_shape(first)}"], grow)))
             word = site[a:b].lower()
             before = site[a - 1] if a else "^"
+            if a in bare:
+                j = next(k for k in range(i, len(tokens)) if tokens[k][1] == bare[a]) + 1
+                out.append((i, j, self._ids(_segment_features(site[a : bare[a]], before, cue, site[bare[a] : bare[a] + 1] or "$"), grow)))
+                cue = _CUES.get(word, cue)
+                continue
             if not (first.isalnum() or first == "+"):
                 continue
             # a token inside of a run can't begin an entity
             if before.isalnum() or before in "_%":
                 cue = _CUES.get(word, cue)
                 continue
-            marked = False
+            marked, account, start, capitals = False, _ACCOUNT.match(site, a), a, False
             for j in range(i + 1, min(len(tokens), i + MOST) + 1):
                 last = site[tokens[j - 1][0] : tokens[j - 1][1]]
                 if last.isspace():
                     if not marked:
                         break  # a word without a digit or @ is no part of an entity of several words
-                    marked = False
+                    marked, start = False, tokens[j - 1][1]
                     continue
                 marked = marked or last[0].isdigit() or last == "@"
+                ends = bool(account and start == tokens[j - 1][0] and _GROUP.fullmatch(last))
+                marked, capitals = marked or ends, capitals or ends
                 after = site[tokens[j][0]] if j < len(tokens) else "$"
+                if capitals and not _account_like(site[a : tokens[j - 1][1]], ends):
+                    continue
                 if marked and (last[-1].isalnum()) and not after.isalnum():
                     out.append((i, j, self._ids(_segment_features(site[a : tokens[j - 1][1]], before, cue, after), grow)))
             cue = _CUES.get(word, cue)
@@ -236,6 +282,18 @@ def example(draw: random.Random) -> tuple[str, list[tuple[str, int, int]]]:
         """Several short words with digits in them."""
         return " ".join(f"{word(1, 3)}{digits(draw.randint(1, 5))}{word(0, 2)}{digits(draw.randint(0, 2))}" for _ in range(draw.randint(1, 8)))
 
+    def account() -> str:
+        country, letters = draw.choice(sorted(ACCOUNTS)), "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+        own = "".join(draw.choice({"a": letters, "n": "0123456789", "c": "0123456789" + letters}[k]) for n, k in re.findall("([0-9]+)([anc])", ACCOUNTS[country]) for _ in range(int(n)))
+        whole = next(f"{country}{k:02d}{own}" for k in range(2, 99) if _checked(f"{country}{k:02d}{own}"))
+        return whole if draw.random() < 0.4 else " ".join(whole[k : k + 4] for k in range(0, len(whole), 4))
+
+    def unnumbered() -> tuple[str, str, str]:
+        """A secret without a digit."""
+        if draw.random() < 0.5:
+            return draw.choice(['secret = "', 'password: "', 'password = "']), "-".join(word(3, 7) for _ in range(draw.randint(2, 4))) if draw.random() < 0.5 else word(8, 16), '"'
+        return draw.choice(['token = "', 'secret = "', 'password: "', 'key = "']), "aBcDeF" + "".join(draw.choice("abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ") for _ in range(draw.randint(10, 34))), '"'
+
     def make(kind: str) -> tuple[str, str, str]:
         if kind == "email":
             return "", f"{word()}{draw.choice(['', '.', '_', '-'])}{draw.choice(['', digits(2), word()])}".strip("._-") + f"@{word()}{digits(draw.randint(0, 1))}.{draw.choice(['com', 'org', 'example.com', 'co.uk', 'net'])}", ""
@@ -245,6 +303,10 @@ def example(draw: random.Random) -> tuple[str, list[tuple[str, int, int]]]:
             return "", card(), ""
         if kind == "phone":
             return draw.choice(["", "", "phone ", "tel: "]), draw.choice([f"+{draw.randint(1, 99)} ({digits(3)}) {digits(3)}-{digits(4)}", f"+{draw.randint(1, 99)} {digits(3)} {digits(3)} {digits(4)}", f"+{digits(11)}", f"+{draw.randint(1, 99)}-{digits(3)}-{digits(3)}-{digits(4)}"]), ""
+        if kind == "key" and draw.random() < 0.3:
+            return "", draw.choice(["AKIA", "ASIA"]) + "".join(draw.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ") for _ in range(16)), ""
+        if kind == "secret" and draw.random() < 0.3:
+            return unnumbered()
         if kind == "key":
             return "", draw.choice(["AKIA", "ASIA"]) + "".join(draw.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567") for _ in range(15)) + draw.choice("234567"), ""
         if kind == "secret":
@@ -252,7 +314,7 @@ def example(draw: random.Random) -> tuple[str, list[tuple[str, int, int]]]:
             return draw.choice(['token = "', 'secret = "', 'password: "', 'key = "']), value, '"'
         if kind == "national_id":
             return draw.choice(["", "ssn "]), f"{digits(3)}-{digits(2)}-{digits(4)}", ""
-        return draw.choice(["", "iban "]), draw.choice(["DE", "FR", "ES", "GB"]) + digits(2) + draw.choice([digits(18), " ".join(digits(4) for _ in range(4))]), ""
+        return draw.choice(["", "iban "]), draw.choice(["DE", "FR", "ES", "GB"]) + digits(2) + draw.choice([digits(18), " ".join(digits(4) for _ in range(4))]) if draw.random() < 0.3 else account(), ""
 
     def nothing() -> str:
         return draw.choice([digits(draw.randint(1, 4)), digits(draw.randint(5, 12)), f"{draw.randint(1, 12)}.{digits(2)}", f"{digits(4)}-{digits(2)}-{digits(2)}", f"{digits(2)}:{digits(2)}", f"{word()}{digits(1)}", f"{digits(3)}.{digits(3)}.{draw.randint(256, 999)}.{digits(2)}", f"v{digits(1)}.{digits(1)}.{digits(1)}", not_card(), not_card(), f"@{word()}", f"{digits(3)}-{digits(4)}", word() + digits(3) + word(), f"Version {digits(1)}.0", f"({digits(4)})", coded(), coded()])
@@ -284,13 +346,16 @@ def trained(examples: int = 900, rounds: int = 4, seed: int = 5) -> Field:
 
 def sites(text: str) -> Iterator[tuple[int, str]]:
     """Stretches of a text where an entity could be."""
-    if _DIGIT.search(text) or "@" in text:
-        for m in re.finditer(r"\S*[0-9@]\S*(?: \S*[0-9@]\S*)*", text):
-            start = text.rfind("\n", 0, m.start()) + 1
-            start = max(start, m.start() - 24)
-            while start < m.start() and start and text[start - 1].isalnum():
-                start += 1
-            yield start, text[start : m.end()]
+    found = [m.span() for m in _NUMBERED.finditer(text)] if _DIGIT.search(text) or "@" in text else []
+    if _hints(text):
+        more = [m.span() for m in _BARE.finditer(text)]
+        firsts = [a for a, _ in found]
+        found = sorted([*found, *((a, b) for a, b in more if not ((k := bisect_right(firsts, a)) and b <= found[k - 1][1]))])
+    for a, b in found:
+        start = max(text.rfind("\n", 0, a) + 1, a - 24)
+        while start < a and start and text[start - 1].isalnum():
+            start += 1
+        yield start, text[start:b]
 
 
 def all_spans(text: str, field: Field) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
@@ -308,8 +373,6 @@ def all_spans(text: str, field: Field) -> tuple[list[tuple[str, int, int]], list
 
 
 def _place(spans: list[tuple[int, int]], at: int) -> int:
-    from bisect import bisect_left
-
     return bisect_left(spans, (at, -1))
 
 
