@@ -22,6 +22,8 @@ _ATTRIBUTE = re.compile(r"""([^\s=/"'<>]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe xmp noembed noframes svg math canvas object audio video".split())
 BLOCK = frozenset("address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead title tr ul".split())
+#: Elements that are often content of their own where they repeat: inline ones, cells, items and headings.
+PARTS = frozenset("td th tr li dt dd caption legend option optgroup summary h1 h2 h3 h4 h5 h6".split())
 #: Elements without content, and what classes, ids and roles of such elements are called.
 DROPPED = frozenset("head nav footer aside form button select dialog menu fieldset label datalist".split())
 NAMES = frozenset("ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login sidebar menu nav navbar navigation breadcrumb breadcrumbs footer masthead comment comments disqus respond replies share sharing social related recommended widget pagination pager toolbar skip".split())
@@ -128,31 +130,33 @@ def _hash(tag: str, text: str) -> int:
     return int.from_bytes(hashlib.blake2b(f"{tag}\0{text}".encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
 
 
-def _subtrees(pieces: list[str], elements: list, roots: list) -> Iterator[tuple[int, int, int]]:
-    """Hash, first and end piece of the subtrees with text that don't hold a root."""
+def _subtrees(pieces: list[str], elements: list, roots: list) -> Iterator[tuple[int, int, int, bool]]:
+    """Hash, first and end piece of the subtrees with text that don't hold a root, and whether they are parts."""
     outer = {(a, b) for a, b in roots}
     for start, end, tag in elements:
         if tag in ("html", "body", "article", "main") or any(start <= a and b <= end for a, b in outer):
             continue
         if text := _text(pieces[start:end]):
-            yield _hash(tag, text), start, end
+            yield _hash(tag, text), start, end, tag in PARTS or tag not in BLOCK
 
 
 def main_text(html: str, template: set[int] = frozenset()) -> str:
     """Text of the articles (else mains, else the page) without subtrees of the template."""
     pieces, elements, roots = parse(html)
     if template:
-        for h, start, end in list(_subtrees(pieces, elements, roots)):
+        for h, start, end, _ in list(_subtrees(pieces, elements, roots)):
             if h in template:
                 pieces[start:end] = [" "] * (end - start)
     return _text([x for a, b in sorted(roots) for x in [" ", *pieces[a:b]]] if roots else pieces)
 
 
-def extract(pages: DataFrame, min_pages: int = 10, share: float = 0.5, broadcast_rows: int = 50_000) -> DataFrame:
+def extract(pages: DataFrame, min_pages: int = 10, share: float = 0.5, least_pages: int = 3, least_share: float = 0.1, broadcast_rows: int = 50_000) -> DataFrame:
     """Per page of pages (page_id, url, html): page_id, url, text, n_chars.
 
-    A subtree is template where it stands on at least `min_pages` different pages of its host and on at least `share` of
-    them. Character references are decoded, white space (Unicode's) within a block is one space, blocks are joined by one
+    A block is template where it stands on at least `min_pages` different pages of its host and on at least `least_share`
+    of them, so a section's template goes too; on a smaller host, on at least `least_pages` and `share` of its pages.
+    PARTS and inline elements repeat in content as well: they are template on their own on at least `min_pages` pages and
+    `share` of them. Character references are decoded, white space (Unicode's) within a block is one space, blocks are joined by one
     space. Null and empty html give an empty text; a null url is a host of its own; repeated rows give alike rows; other
     columns aren't read; an empty table gives no rows. Broken markup is read as browsers do: implied ends, references
     without semicolon, pages that end anywhere.
@@ -167,14 +171,17 @@ def extract(pages: DataFrame, min_pages: int = 10, share: float = 0.5, broadcast
             for page, site, html in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 parsed = parse(html or "")
                 body = _hash("", _text(parsed[0]))
-                out += [(page, site, h, body) for h in {x[0] for x in _subtrees(*parsed)}]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (list(zip(*out, strict=True)) or [[]] * 4)], ["page_id", "host", "subtree", "body"])
+                out += [(page, site, h, body, part) for h, part in {(x[0], x[3]) for x in _subtrees(*parsed)}]
+            columns = zip(list(zip(*out, strict=True)) or [[]] * 5, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()), strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in columns], ["page_id", "host", "subtree", "body", "part"])
 
-    found = materialize(rows.select("page_id", F.xxhash64(host).alias("host"), "html").mapInArrow(subtrees, "page_id long, host long, subtree long, body long"), "subtrees")
+    found = materialize(rows.select("page_id", F.xxhash64(host).alias("host"), "html").mapInArrow(subtrees, "page_id long, host long, subtree long, body long, part boolean"), "subtrees")
     # counts of different pages: distinct first, so that a hot host's counts are summed where they are read
-    per = found.select("host", "subtree", "body").distinct().groupBy("host", "subtree").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
+    per = found.select("host", "subtree", "body", "part").distinct().groupBy("host", "subtree", "part").agg(F.count("*").alias("n")).where(F.col("n") >= F.when(F.col("part"), min_pages).otherwise(least_pages))
     hosts = found.select("host", "body").distinct().groupBy("host").agg(F.count("*").alias("pages"))
-    templates = per.join(hosts, "host").where(F.col("n") >= share * F.col("pages")).select("host", "subtree")
+    half = F.col("n") >= share * F.col("pages")
+    block = F.when(F.col("n") >= min_pages, F.col("n") >= least_share * F.col("pages")).otherwise(half)
+    templates = per.join(hosts, "host").where(F.when(F.col("part"), half).otherwise(block)).select("host", "subtree")
     hits = materialize(found.join(templates, ["host", "subtree"]).select("page_id", "subtree").distinct(), "templates")
     few = hits.limit(broadcast_rows + 1).count() <= broadcast_rows
     per_page = hits.groupBy("page_id").agg(F.collect_list("subtree").alias("template"))

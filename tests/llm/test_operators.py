@@ -231,6 +231,19 @@ def test_template_goes_by_host(spark):
     assert html.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_templates_of_sections_and_small_hosts(spark):
+    side = "<div><div>All about our winter courses</div><ul><li>one<li>two</ul></div>"
+    rows = [(k, f"http://big.example/{k}", f"<article><p>text number {k}</p><table><tr><td>Yes<td>{k}</table>{side if k % 20 < 7 else ''}</article>") for k in range(300)]
+    rows += [(1000 + k, f"http://small.example/{k}", f"<div><p>text number {k}</p><div>Made with care in town</div></div>") for k in range(4)]
+    rows += [(2000 + k, f"http://two.example/{k}", f"<div><p>text number {k}</p><div>Made with care in town</div></div>") for k in range(2)]
+    rows += [(3000 + k, f"http://cells.example/{k}", f"<article><p>text number {k}</p><table><tr><td>Size {k}<td>{'Large' if k % 4 == 0 else k}</table></article>") for k in range(60)]
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all("winter" not in got[k] and "one" not in got[k] and got[k].startswith(f"text number {k}") for k in range(300))
+    assert all(got[1000 + k] == f"text number {k}" for k in range(4))
+    assert got[2000] == "text number 0 Made with care in town"
+    assert got[3004] == "text number 4 Size 4 Large"
+
+
 # ---------------------------------------------------------------- personal data
 
 PLAIN = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
