@@ -27,12 +27,17 @@ PARTS = frozenset("td th tr li dt dd caption legend option optgroup summary h1 h
 #: Elements without content, and what classes, ids and roles of such elements are called.
 DROPPED = frozenset("head nav footer aside form button select dialog menu fieldset label datalist".split())
 NAMES = frozenset("ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login sidebar menu nav navbar navigation breadcrumb breadcrumbs footer masthead comment comments disqus respond replies share sharing social related recommended widget pagination pager toolbar skip".split())
+#: Within an article or main: whole classes, and ids, that say no content whatever the article is about.
+INNER_CLASSES = frozenset("ad ads advert adverts advertisement adsense adsbygoogle sponsored newsletter-signup newsletter-form cookie-banner cookie-notice cookie-consent share-buttons social-share social-buttons related-posts related-articles comments comment-list comment-form navbar sidebar breadcrumb breadcrumbs pagination pager skip-link".split())
+INNER_IDS = frozenset("comments disqus_thread respond sidebar".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 ROLES = frozenset("navigation banner contentinfo complementary search alert dialog menu menubar toolbar form".split())
 #: What an open element of these kinds is closed by, and what keeps it from being seen.
 _CLOSES = {"li": ({"li"}, {"ul", "ol"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 
 
-def _no_content(tag: str, attributes: str, in_article: bool) -> bool:
+def _no_content(tag: str, attributes: str, in_article: bool, in_root: bool) -> bool:
+    """in_root: within an article or main, where parts of names are no sign. Ids of headings are slugs of what they say."""
     if tag in DROPPED or tag == "header" and not in_article:
         return True
     if not attributes or tag in ("html", "body", "main", "article"):
@@ -40,9 +45,14 @@ def _no_content(tag: str, attributes: str, in_article: bool) -> bool:
     for name, *values in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), "".join(values).lower()
         if name in ("class", "id"):
-            words = set(re.split(r"[^a-z0-9]+", value))
-            if words & NAMES or "header" in words and not in_article:
-                return True
+            if in_root:
+                whole = set(value.split())
+                if whole & (INNER_CLASSES if name == "class" else INNER_IDS) or "header" in whole and not in_article:
+                    return True
+            elif not (tag in HEADINGS and name == "id"):
+                words = set(re.split(r"[^a-z0-9]+", value))
+                if words & NAMES or "header" in words:
+                    return True
         elif name == "role" and value in ROLES or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
             return True
     return bool(re.search(r"(?:^|\s)hidden(?:\s|/|$)", re.sub(r"\"[^\"]*\"|'[^']*'", "", attributes)))
@@ -110,7 +120,7 @@ def parse(html: str) -> tuple[list[str], list[tuple[int, int, str]], list[tuple[
         if tag in _CLOSES and (k := nearest(*_CLOSES[tag])) is not None or tag in BLOCK and (k := nearest({"p"}, {"table", "td", "th", "button", "object"})) is not None:
             close(k)
             dropped = bool(stack) and stack[-1][2]
-        dropped = dropped or _no_content(tag, attributes, inside["article"] > 0)
+        dropped = dropped or _no_content(tag, attributes, inside["article"] > 0, inside["article"] > 0 or inside["main"] > 0)
         if tag in BLOCK and not dropped:
             pieces.append(" ")
         if attributes.rstrip().endswith("/") and tag not in BLOCK:

@@ -221,6 +221,18 @@ def test_main_text(page, want):
     assert html.main_text(page or "") == want
 
 
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<article><section id='related-work'><p>a</p></section><h2 id='Social_history'>b</h2><p class='share-price'>c</p><div class='media-widget'>d</div><h3 id='navigation-systems'>e</h3></article>", "a b c d e"),
+        ("<main><div class='menu-costs'>a</div><p id='login'>b</p></main>", "a b"), ("<div><h2 id='Social_history'>a</h2><div class='site-nav'>b</div></div>", "a"),
+        ("<article><p>a</p><div class='box ad'>b</div><div id='comments'>c</div><div class='share-buttons'>d</div></article>", "a"),
+    ],
+)
+def test_names_in_articles_are_whole(page, want):
+    assert html.main_text(page) == want
+
+
 def test_template_goes_by_host(spark):
     rows = [(k, f"http://a.example/{k}", f"<div><div>Our slogan of the year</div><p>text number {k}</p></div>") for k in range(30)]
     rows += [(100 + k, "http://b.example/x", "<div><p>same page</p><p>twice</p></div>") for k in range(30)]  # copies aren't a template
