@@ -6,6 +6,7 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame, written as Parqu
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tamis.llm import minhash, mixing, packing, pii, quality
 from tamis.llm.common import bounded_batches, materialize
@@ -18,11 +19,17 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays, the one with the least doc_id."""
+    """One row of each group of near-duplicates stays, the first one by doc_id (null last). Rows go by keys of their own, so
+    repeated and null ids are rows like others."""
     bounded_batches(spark)
-    found = minhash.near_duplicates(docs.select("doc_id", "text"), words=5, percent=80)
-    copies = found.where("not kept and doc_id is not null").select("doc_id")
-    return docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
+    keyed = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    found = minhash.near_duplicates(keyed.select(F.col("_row").alias("doc_id"), "text"), words=5, percent=80)
+    found = materialize(found.select(F.col("doc_id").alias("_row"), "component_id").join(keyed.select("_row", F.col("doc_id").cast("long").alias("id")), "_row"), "members")
+    firsts = found.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "_row")).alias("first")).select("component_id", "first._row")
+    # a component is named by its least row; where the first by doc_id is another one, the two change places
+    moved = materialize(firsts.where("_row <> component_id"), "moved")
+    copies = found.where("_row <> component_id").select("_row").join(moved.select("_row"), "_row", "left_anti").unionByName(moved.select(F.col("component_id").alias("_row")))
+    return keyed.join(copies, "_row", "left_anti").select(*docs.columns)
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

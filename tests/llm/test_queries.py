@@ -87,3 +87,12 @@ def test_pipeline_stages(spark, sf):
             for r in rows:
                 by[r.doc_id] += r.length
             assert set(by) == set(before)
+
+
+def test_near_duplicates_of_repeated_and_null_ids(spark):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    a, b, c, d = (" ".join(f"{x}{k}" for k in range(30)) for x in "abcd")
+    rows = [(5, a), (5, a), (3, a), (7, b), (7, c), (2, c), (None, d), (None, d), (None, "alone in this"), (8, None), (8, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = corpus_pipeline.near_duplicates_stage(spark, docs, "").collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, [(3, a), (7, b), (2, c), (None, d), (None, "alone in this"), (8, None), (8, None)]))
