@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -44,10 +45,26 @@ def words(text):
 # ---------------------------------------------------------------- packing
 
 
+def library():
+    """The tokenizer as the library loads it, untouched."""
+    from public_tokenizers import path
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(str(path("byte_bpe_50k.json")))
+
+
+def test_ids_are_the_library_s():
+    plain = library()
+    rng = np.random.default_rng(4)
+    parts = ["hello", " world", "<|endoftext|>", "<|endof", "  ", "\n", "don't", "é", "²", "日本", "1234", "_", "'s", "\u00a0", "ª", "\x1c", "x" * 5000, "🙂"]
+    for text in ["hello <|endoftext|> world", *("".join(rng.choice(parts, int(rng.integers(1, 9)))) for _ in range(400))]:
+        assert np.frombuffer(encoder()(text), "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids, repr(text)
+
+
 def test_pieces_cover_documents_and_sequences(docs):
-    ids = {}
+    ids, plain = {}, library()
     for k, t in enumerate(TEXTS):
-        ids[k] = encoder().whole.encode(t or "", add_special_tokens=False).ids + [1]
+        ids[k] = plain.encode(t or "", add_special_tokens=False).ids + [1]
     rows = packing.pack_documents(docs, tokens=256, segments=6).collect()
     covered, sequences = defaultdict(list), defaultdict(list)
     for r in rows:
@@ -152,7 +169,7 @@ def plain_removal(rows, length):
     return out
 
 
-@pytest.mark.parametrize("length", [2, 3, 13])
+@pytest.mark.parametrize("length", [1, 2, 3, 7, 13])
 def test_removal_like_brute_force(spark, length):
     rng = np.random.default_rng(length)
     passages = [" ".join(f"p{x}" for x in rng.integers(0, 50, 40)) for _ in range(3)]
@@ -163,7 +180,7 @@ def test_removal_like_brute_force(spark, length):
             parts.insert(int(rng.integers(0, 2)), passages[k % len(passages)])
         rows.append((k, "\n".join(parts)))
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
-    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256, r.kept_text) for r in substrings.remove_repeats(df, length, keep_text=True, buckets=3).collect()}
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256, r.kept_text) for r in substrings.remove_repeats(df, length, keep_text=True, groups=3).collect()}
     assert got == plain_removal(rows, length)
 
 
@@ -171,7 +188,7 @@ def test_doubling_goes_on_until_nothing_survives(spark):
     rng = np.random.default_rng(5)
     shared = [f"p{x}" for x in rng.integers(0, 1000, 64)]
     rows = [(k, " ".join([*(f"u{k}x{i}" for i in range(9)), *shared[: 4 << k], *(f"v{k}x{i}" for i in range(9))])) for k in range(5)] + [(5, None), (6, "x " * 50)]
-    got = {r.doc_id: r.longest for r in substrings.longest_repeats(spark.createDataFrame(rows, "doc_id long, text string"), 4, buckets=3).collect()}
+    got = {r.doc_id: r.longest for r in substrings.longest_repeats(spark.createDataFrame(rows, "doc_id long, text string"), 4, groups=3).collect()}
     assert got == {0: 4, 1: 8, 2: 16, 3: 32, 4: 32}
     assert substrings.longest_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
@@ -186,17 +203,26 @@ def test_removal_edge_cases(docs, empty):
     assert substrings.remove_repeats(empty).count() == 0
 
 
-@pytest.mark.parametrize("length", [1, 2, 4, 13, 26, 52])
-def test_windows_of_runs_of_any_length(length):
-    half = (length - 1) // 2 or 1
+@pytest.mark.parametrize("length", [1, 2, 4, 6, 13, 26])
+def test_level_windows_of_runs_of_any_length(length):
+    """Against the definition: the least hash first, then the least of those that hold the level before."""
+    steps = substrings.levels(length)
+    assert steps[-1] == length and steps[0] <= max(length, 5)
     for n in range(3 * length + 1):
-        for texts in ([" ".join(f"w{k}" for k in range(n))], [" ".join(f"w{k}" for k in range(n)), "a b", None]):
+        for texts in ([" ".join(f"w{k % 7}" for k in range(n))], [" ".join(f"w{k}" for k in range(n)), "a b", None]):
             (run,) = word_runs(pa.array(texts, pa.string()))
-            starts, text, least = substrings.windows(run, length)
-            inner = window_hashes(run.hashes, half)
+            starts, text, found = substrings.level_windows(run, steps, len(steps) - 1)
             want = [(s, t) for t in range(len(texts)) for s in range(run.first[t], run.first[t + 1] - length + 1)]
             assert list(zip(starts.tolist(), text.tolist(), strict=True)) == want
-            assert least.tolist() == [inner[s : s + length - half + 1].min() for s, _ in want]
+            for row, (s, _) in enumerate(want):
+                inside = range(s, s + length - steps[0] + 1)
+                for k, width in enumerate(steps):
+                    hashes = window_hashes(run.hashes, width)
+                    if k:
+                        inside = [x for x in range(s, s + length - width + 1) if x <= at and x + width >= at + steps[k - 1]]
+                    at = min(inside, key=lambda x: (hashes[x], x))
+                    assert found[k][row] == hashes[at]
+            assert found[-1].tolist() == window_hashes(run.hashes, length)[starts].tolist()
 
 
 def test_removal_of_one_short_document(spark):
@@ -227,33 +253,92 @@ def test_main_text(page, want):
         ("<article><section id='related-work'><p>a</p></section><h2 id='Social_history'>b</h2><p class='share-price'>c</p><div class='media-widget'>d</div><h3 id='navigation-systems'>e</h3></article>", "a b c d e"),
         ("<main><div class='menu-costs'>a</div><p id='login'>b</p></main>", "a b"), ("<div><h2 id='Social_history'>a</h2><div class='site-nav'>b</div></div>", "a"),
         ("<article><p>a</p><div class='box ad'>b</div><div id='comments'>c</div><div class='share-buttons'>d</div></article>", "a"),
+        ("<p>before</p><article><p>a</p></article><div class='share-price'>b</div><div class='related-work'>c</div><div class='main-nav'>d</div>", "before a b c"),
+        ("<article>x <math><mi>y</mi> = 2</math> z</article>", "x y = 2 z"), ("<p>&lt;p stays</p>", "<p stays"), ("<p>a<nav>b<p>c</nav>d", "a d"),
+        ('<p title="a > b">c</p><p title="open>d</p>', "c d"), ("<p title='a>b' class=x>c", "c"), ("a < b and </ > c", "a < b and c"),
     ],
 )
-def test_names_in_articles_are_whole(page, want):
+def test_names_and_broken_markup(page, want):
     assert html.main_text(page) == want
 
 
-def test_template_goes_by_host(spark):
-    rows = [(k, f"http://a.example/{k}", f"<div><div>Our slogan of the year</div><p>text number {k}</p></div>") for k in range(30)]
-    rows += [(100 + k, "http://b.example/x", "<div><p>same page</p><p>twice</p></div>") for k in range(30)]  # copies aren't a template
-    rows += [(200, None, None), (201, "x", "")]
-    for limit in (50_000, 0):
-        got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string"), broadcast_rows=limit).collect()}
-        assert got[7] == "text number 7" and got[105] == "same page twice" and got[200] == "" and got[201] == "" and len(got) == len(rows)
-    assert html.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
-
-
-def test_templates_of_sections_and_small_hosts(spark):
-    side = "<div><div>All about our winter courses</div><ul><li>one<li>two</ul></div>"
-    rows = [(k, f"http://big.example/{k}", f"<article><p>text number {k}</p><table><tr><td>Yes<td>{k}</table>{side if k % 20 < 7 else ''}</article>") for k in range(300)]
-    rows += [(1000 + k, f"http://small.example/{k}", f"<div><p>text number {k}</p><div>Made with care in town</div></div>") for k in range(4)]
-    rows += [(2000 + k, f"http://two.example/{k}", f"<div><p>text number {k}</p><div>Made with care in town</div></div>") for k in range(2)]
-    rows += [(3000 + k, f"http://cells.example/{k}", f"<article><p>text number {k}</p><table><tr><td>Size {k}<td>{'Large' if k % 4 == 0 else k}</table></article>") for k in range(60)]
-    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
-    assert all("winter" not in got[k] and "one" not in got[k] and got[k].startswith(f"text number {k}") for k in range(300))
-    assert all(got[1000 + k] == f"text number {k}" for k in range(4))
-    assert got[2000] == "text number 0 Made with care in town"
-    assert got[3004] == "text number 4 Size 4 Large"
+@pytest.mark.parametrize("page", ['<a "' * 250_000, '<p class="x' * 90_000, "<a href='" + "y" * 1_000_000, "<" * 1_000_000, "&" * 1_000_000, "<!--" * 250_000, "<p>" + "word " * 200_000, "<a =" * 250_000])
+def test_hostile_pages_take_no_longer_than_others(page):
+    began = time.process_time()
+    list(html.subtrees(html.parse(page)))
+    assert time.process_time() - began < 3
+
+
+def test_deep_pages_are_linear():
+    took = []
+    for n in (20_000, 80_000):
+        began = time.process_time()
+        list(html.subtrees(html.parse("<i><div>" + "<b>x" * n + "</i>" * n)))
+        took.append(time.process_time() - began)
+    assert took[1] < 12 * took[0] + 0.5
+
+
+SITES = {
+    "a": lambda k: f"<div><div>Our slogan of the year</div><p>text number {k}</p></div>",
+    "big": lambda k: f"<article><p>text number {k}</p><table><tr><td>Yes<td>{k}</table>{SIDE if k % 20 < 7 else ''}</article>",
+    "passage": lambda k: f"<article><p>text number {k}</p>{'<p>a passage that many articles quote</p>' if k % 5 < 2 else ''}</article>",
+    "nested": lambda k: f"<div><div><div><i>Always</i> here</div> and <b>there</b></div><div>text {k}</div></div>",
+}
+SIDE = "<div><div>All about our winter courses</div><ul><li>one<li>two</ul></div>"
+
+
+def pages_table(spark):
+    rows = [(1000 * s + k, f"http://{name}.example/{k}", make(k)) for s, (name, make) in enumerate(SITES.items()) for k in range(60)]
+    rows += [(9000 + k, "http://b.example/x", "<div><p>same page</p><div>twice</div></div>") for k in range(30)]  # copies aren't a template
+    rows += [(9100 + k, f"http://small.example/{k}", f"<div><p>text number {k}</p><div>Made with care in town</div></div>") for k in range(4)]
+    rows += [(9200 + k, f"http://two.example/{k}", f"<div><p>text number {k}</p><div>Made with care in town</div></div>") for k in range(2)]
+    rows += [(9300, None, None), (9301, "x", ""), (None, "http://a.example/7", SITES["a"](7)), (9000, "http://b.example/x", "<p>another row of one id</p>"), (9302, "http://long.example/", "<p>" + "many words " * 100_000)]
+    return rows, spark.createDataFrame([(*r, "h", "t", 1, "u") for r in rows], "page_id long, url string, html string, host string, template string, page long, subtree string").repartition(5)
+
+
+def plain_subtrees(page):
+    """Serialized subtrees of a page, by tags and text, without hashes."""
+    parsed = html.parse(page or "")
+    for start, end, tag, a, b, root in parsed.elements:
+        if not root and tag not in ("html", "body") and any(t[0] == "=" for t in parsed.tokens[a:b]):
+            yield tuple(parsed.tokens[a:b]), (start, end), tag in html.PARTS or tag not in html.BLOCK
+
+
+def plain_extraction(rows):
+    seen, bodies = defaultdict(set), defaultdict(set)
+    host = {u: re.sub(r"^http://([^/]*).*", r"\1", u) if u and u.startswith("http") else "" for _, u, _ in rows}
+    for _, u, page in rows:
+        body = html.parse(page or "").text()
+        for tokens, _, part in plain_subtrees(page):
+            seen[host[u], tokens, part].add(body)
+            bodies[host[u]].add(body)
+    gone = set()
+    for (site, tokens, part), where in seen.items():
+        n, share = len(where), len(where) / len(bodies[site])
+        if n >= 10 and share >= (0.5 if part else 0.1) or not part and 3 <= n < 10 and share >= 0.5:
+            gone.add((site, tokens))
+    return [(i, u, html.parse(page or "").text([at for tokens, at, _ in plain_subtrees(page) if (host[u], tokens) in gone])) for i, u, page in rows]
+
+
+@pytest.mark.parametrize("limit", [50_000, 0])
+def test_templates_like_brute_force(spark, limit):
+    rows, pages = pages_table(spark)
+    got = html.extract(pages, broadcast_rows=limit).collect()
+    assert sorted(((r.page_id, r.url, r.text) for r in got), key=repr) == sorted(plain_extraction(rows), key=repr)
+    assert all(r.n_chars == len(r.text) for r in got)
+
+
+def test_what_templates_take_and_leave(spark):
+    _, pages = pages_table(spark)
+    got = {r.page_id: r.text for r in html.extract(pages.where("page_id is not null and coalesce(html, '') not like '%another row%'")).collect()}
+    assert got[7] == "text number 7" and got[9005] == "same page twice" and got[9300] == got[9301] == ""
+    assert got[1001] == "text number 1 1" and got[3005] == "text 5"
+    assert got[2000] == "text number 0 a passage that many articles quote"
+    assert got[9101] == "text number 1" and got[9200] == "text number 0 Made with care in town"
+    assert len(got[9302].split()) == 200_000
+    off = {r.page_id: r.text for r in html.extract(pages, min_pages=10**9, least_pages=10**9).collect()}
+    assert off[8] == "Our slogan of the year text number 8"
+    assert html.extract(pages.limit(0)).count() == 0
 
 
 # ---------------------------------------------------------------- personal data
