@@ -70,7 +70,7 @@ target AS (SELECT source, source_size, least(w * level, 2.0 * source_size)::DOUB
 queued AS (SELECT d.*, source_size, target, coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY k, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
   FROM sized d JOIN target t ON d.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
-  CAST(least(size, greatest(0, floor(target) - before)) + least(size, greatest(0, floor(target) - source_size - before)) AS BIGINT) AS taken FROM queued
+  CAST(least(size, greatest(0, floor(target + 1e-6) - before)) + least(size, greatest(0, floor(target + 1e-6) - source_size - before)) AS BIGINT) AS taken FROM queued
 """
 
 QUERIES = {"op1_packing": op1_packing, "op2_minhash": op2_minhash, "op3_substrings": op3_substrings, "op4_html": op4_html, "op5_pii": op5_pii, "op6_embeddings": op6_embeddings, "op7_matroska": op7_matroska, "op8_toxicity": op8_toxicity, "op9_quality": op9_quality, "op10_mixing": op10_mixing}
