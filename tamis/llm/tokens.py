@@ -21,20 +21,21 @@ _BYTE_CHARACTERS = {b: 256 + k for k, b in enumerate(b for b in range(256) if b
 class Encoder:
     """Whole texts to ids. A text is split as the vocabulary splits it, and each distinct piece is encoded once by the
     tokenizers library and kept; `most` pieces are kept at a time. Texts with characters on which `re` and the library
-    might differ go to the library whole."""
+    might differ, or with a special token spelled out, go to the library whole."""
 
     def __init__(self, path: str, most: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True  # a text that spells a special token is ordinary text
+        special = [re.escape(t.content) for t in self.whole.get_added_tokens_decoder().values()]
+        self.not_plain = re.compile("|".join([_NOT_PLAIN.pattern, *special]))
         self.merge = self.whole.model.tokenize  # of one piece, without splitting it
         self.most, self.known = most, {}
 
     def __call__(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
-        if _NOT_PLAIN.search(text):
+        if self.not_plain.search(text):
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         pieces = _SPLIT.findall(text)
         try:
