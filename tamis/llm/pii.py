@@ -70,12 +70,15 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 _TOKEN = re.compile(r"[A-Za-z]+|[0-9]+|[^A-Za-z0-9]")
 _CUES = {"token": "secret", "secret": "secret", "password": "secret", "apikey": "secret", "key": "secret", "ssn": "id", "iban": "bank", "phone": "call", "tel": "call", "call": "call"}
 MOST = 40  # tokens of an entity
+WORDS = 10  # words of an entity
 MARGIN = 3.0  # how much likelier, as a logarithm, an entity must be than what the field would say without it
 LABELS = ("", *KINDS)
 #: How accounts begin; groups of such a one may be letters only.
 _ACCOUNT = re.compile("[A-Z]{2}[0-9]{2}(?![a-z])")
 _GROUP = re.compile("[A-Z]{1,4}")
-_NUMBERED = re.compile(r"\S*[0-9@]\S*(?:(?<=(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2})(?: [A-Z0-9]{1,4}(?![A-Za-z0-9])){2,8}\S*)?(?: \S*[0-9@]\S*)*")
+#: Words with a digit or @ in a row. Each word is looked at once, from its start, however long it is.
+_MARKED = r"(?=[^\s0-9@]*+[0-9@])\S++"
+_NUMBERED = re.compile(rf"(?<!\S){_MARKED}(?:(?<=(?<![A-Za-z0-9])[A-Z]{{2}}[0-9]{{2}})(?: [A-Z0-9]{{1,4}}(?![A-Za-z0-9])){{2,8}}+\S*+)?(?: {_MARKED})*+")
 #: Entities without a digit: access keys, quoted values of secrets, and of tokens and keys where they change case often.
 _BARE = re.compile(
     r"(?<![A-Za-z0-9])(?P<key>(?:AKIA|ASIA)[A-Z]{16})(?![A-Za-z0-9])|(?<![A-Za-z])(?i:password|secret)[\"']?[^\S\n]*[:=][^\S\n]*(?P<q>[\"'])(?P<secret>[^\s\"'0-9@]{8,})(?P=q)"
@@ -86,9 +89,14 @@ _BARE_SIGNS = ("akia", "asia", "password", "secret", "token", "key")
 ACCOUNTS = {"GB": "4a14n", "IE": "4a14n", "NL": "4a10n", "BG": "4a6n8c", "LV": "4a13c", "MT": "4a5n18c", "RO": "4a16c", "DE": "18n", "FR": "10n11c2n", "ES": "20n", "CH": "5n12c", "IT": "1a10n12c", "BE": "12n", "NO": "11n"}
 
 
+_KINDS_OF_CHARACTER = {**dict.fromkeys(range(48, 58), "9"), **dict.fromkeys(range(65, 91), "A"), **dict.fromkeys(range(97, 123), "a")}
+_LONGER = re.compile(r"([9aA])\1{2,}")
+
+
+@lru_cache(maxsize=1 << 14)
 def _shape(text: str) -> str:
     """Digits as 9 and letters as a or A, with longer runs marked by +; other characters as they are."""
-    return re.sub(r"([9aA])\1{2,}", r"\1+", re.sub("[A-Z]", "A", re.sub("[a-z]", "a", re.sub("[0-9]", "9", text))))
+    return _LONGER.sub(r"\1+", text.translate(_KINDS_OF_CHARACTER))
 
 
 def _checked(account: str) -> bool:
@@ -176,13 +184,19 @@ class Field:
                 cue = _CUES.get(word, cue)
                 continue
             marked, account, start, capitals = False, _ACCOUNT.match(site, a), a, False
+            ats = pluses = words = 0
             for j in range(i + 1, min(len(tokens), i + MOST) + 1):
                 last = site[tokens[j - 1][0] : tokens[j - 1][1]]
                 if last.isspace():
                     if not marked:
                         break  # a word without a digit or @ is no part of an entity of several words
-                    marked, start = False, tokens[j - 1][1]
+                    marked, start, words = False, tokens[j - 1][1], words + 1
+                    if words == WORDS:
+                        break
                     continue
+                ats, pluses = ats + (last == "@"), pluses + (last == "+")
+                if ats > 1 or pluses > 1:
+                    break  # no entity holds two of them
                 marked = marked or last[0].isdigit() or last == "@"
                 ends = bool(account and start == tokens[j - 1][0] and _GROUP.fullmatch(last))
                 marked, capitals = marked or ends, capitals or ends
