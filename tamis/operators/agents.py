@@ -6,13 +6,17 @@ null for no decision. Windows are taken over active signals only. Custom agents
 
 from __future__ import annotations
 
+import functools
+import re
 from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from tamis import schema
+from tamis.operators.folds import fold
 
 DECISION = "struct<outcome:string,classification:string,confidence:double>"
 
@@ -24,6 +28,8 @@ class Agent:
     decide: Callable[[DataFrame, Column], Column]
     #: Whether it decides on each signal by itself; then it is worked out once, below the windows of others.
     stateless: bool = False
+    #: Adds columns that it needs, from all signals, before any agent decides. Columns that begin with _ go at the end.
+    prepare: Callable[[DataFrame], DataFrame] | None = None
 
 
 def decision(outcome: str, classification: Column | str | None = None, confidence: float = 1.0) -> Column:
@@ -46,19 +52,64 @@ def dedup_key(columns: list[str]) -> Column:
     return F.sha2(F.concat_ws(":", *(F.coalesce(F.col(c), F.lit("")) for c in ("signal_type", "source", "namespace", "severity", "message")), place), 256)
 
 
-def trend(fields: tuple[str, ...] = ("cpu_percent", "latency_ms"), entity: str = "source") -> Agent:
-    """Escalates the third reading of a rise or fall by 5 %, else the fourth of an oscillation."""
+def entity_key(columns: list[str]) -> Column:
+    """What a reading is about: name=value of the first of ENTITY_KEYS that its labels name, else that its content does.
+    Labels are a map, content is columns."""
+    found = []
+    if "labels" in columns:
+        found += [(k, F.try_element_at("labels", F.lit(k))) for k in schema.ENTITY_KEYS]
+    found += [(k, F.col(k).cast("string")) for k in schema.ENTITY_KEYS if k in columns]
+    named = [F.when(F.coalesce(c, F.lit("")) != "", F.concat(F.lit(f"{k}="), c)) for k, c in found]
+    return F.coalesce(*named, F.lit(None).cast("string"))
+
+
+def trend_fields(signals: DataFrame) -> list[str]:
+    """Numeric columns whose names say that they are measured, but for those that only number or describe."""
+    measured = re.compile(schema.TREND_FIELDS)
+    numeric = [f.name for f in signals.schema.fields if isinstance(f.dataType, NumericType)]
+    return [n for n in numeric if n not in schema.TREND_IGNORED and measured.search(n)]
+
+
+def trend(
+    fields: tuple[str, ...] | None = None, entity: str | None = None, readings: int = 3, seconds: float | None = None
+) -> Agent:
+    """Escalates the last of `readings` readings of a thing of which a field rises or falls throughout, by 5 % in all; else
+    the last of four, or of one more than `readings`, of which a field turns back each time.
+
+    fields: None for trend_fields. entity: a column that names the thing, None for entity_key. Signals that name none, or
+    without any of the fields, are no readings. seconds: readings older than that don't count (None: all do).
+    """
+    turns = max(readings + 1, 4)
 
     def decide(signals: DataFrame, active: Column) -> Column:
-        w = Window.partitionBy(entity).orderBy("seq")
+        names = list(fields) if fields is not None else trend_fields(signals)
+        key = F.col(entity) if entity else entity_key(signals.columns)
+        if not names:
+            return nothing()
+        some = key.isNotNull() & F.coalesce(*(F.col(n).cast("double") for n in names)).isNotNull()
+        w = Window.partitionBy(F.when(some, key).otherwise(F.concat(F.lit("-"), F.col("seq").cast("string")))).orderBy("seq")
+
+        def last(name: str, n: int) -> list[Column]:
+            """The last n values, oldest first; null where there is no such reading, or where it is too old."""
+            ages = [F.lag(name, k).over(w) if k else F.col(name) for k in range(n - 1, -1, -1)]
+            if seconds is not None:
+                fresh = lambda k: F.col("us") - F.lag("us", k).over(w) < int(seconds * 1_000_000)
+                ages = [F.when(fresh(n - 1 - k), x) if k < n - 1 else x for k, x in enumerate(ages)]
+            return ages
+
         moves, swings = F.lit(False), F.lit(False)
-        for f in fields:
-            d, c, b, a = F.col(f), F.lag(f, 1).over(w), F.lag(f, 2).over(w), F.lag(f, 3).over(w)
-            monotone = ((b < c) & (c < d)) | ((b > c) & (c > d))
-            far = F.when(b != 0, F.abs((d - b) / b) * 100 >= 5).otherwise(True)
-            moves = moves | F.coalesce(monotone & far, F.lit(False))
-            swings = swings | F.coalesce(((b - a) * (c - b) < 0) & ((c - b) * (d - c) < 0), F.lit(False))
-        return F.when(active & (moves | swings), decision("escalate", confidence=0.85))
+        for name in names:
+            v = last(name, readings)
+            pairs = list(zip(v, v[1:], strict=False))
+            rises = functools.reduce(lambda a, b: a & b, [x < y for x, y in pairs])
+            falls = functools.reduce(lambda a, b: a & b, [x > y for x, y in pairs])
+            far = F.when(v[0] != 0, F.abs((v[-1] - v[0]) / v[0]) * 100 >= 5).otherwise(True)
+            moves = moves | F.coalesce((rises | falls) & far, F.lit(False))
+            v = last(name, turns)
+            steps = [y - x for x, y in zip(v, v[1:], strict=False)]
+            turned = functools.reduce(lambda a, b: a & b, [x * y < 0 for x, y in zip(steps, steps[1:], strict=False)])
+            swings = swings | F.coalesce(turned, F.lit(False))
+        return F.when(active & some & (moves | swings), decision("escalate", confidence=0.85))
 
     return Agent("trend_detector", 0, decide)
 
@@ -68,15 +119,22 @@ def priming(types: tuple[str, ...]) -> Agent:
     return Agent("priming_escalator", 0, lambda s, active: F.when(active & F.col("signal_type").isin(*types), decision("escalate")), True)
 
 
-def deduplicate() -> Agent:
-    """Within one batch, all but the first signal of a key; labelled signals are never duplicates."""
+def deduplicate(seconds: float | None = None) -> Agent:
+    """All but the first signal of a key; labelled signals are never duplicates. seconds: within a window that opens with
+    the first one and isn't moved by those inside (None: the whole batch is one window)."""
 
     def decide(signals: DataFrame, active: Column) -> Column:
         mine = active & ~_bypass()
+        if seconds is not None:
+            return F.when(mine & ~F.coalesce("_opens", F.lit(True)), decision("dedupe"))
         w = Window.partitionBy(F.when(mine, dedup_key(signals.columns)).otherwise(F.concat(F.lit("-"), F.col("seq")))).orderBy("seq")
         return F.when(mine & (F.row_number().over(w) > 1), decision("dedupe"))
 
-    return Agent("deduplicate", 1, decide)
+    def prepare(signals: DataFrame) -> DataFrame:
+        opens = anchored(signals, dedup_key(signals.columns), seconds, ~_bypass())
+        return signals.join(opens.withColumnRenamed("anchored", "_opens"), "signal_id", "left")
+
+    return Agent("deduplicate", 1, decide, prepare=prepare if seconds is not None else None)
 
 
 def transient() -> Agent:
@@ -140,24 +198,19 @@ def repeat_flood(types: tuple[str, ...], most: int = 3, seconds: int = 300) -> A
     return Agent("repeat_flood_suppressor", 3, decide)
 
 
-def anchored(signals: DataFrame, key: Column, seconds: int, mine: Column) -> DataFrame:
+def anchored(signals: DataFrame, key: Column, seconds: float, mine: Column) -> DataFrame:
     """signal_id and anchored: whether a signal is the first of its key's window, which opens with a signal that no earlier
-    window holds and isn't moved by those inside.
+    window holds and isn't moved by those inside. A streamed fold over each key's signals in order of time."""
+    width = int(seconds * 1_000_000)
 
-    A fold over each key's sorted times; a key's times are held as numbers in one row, so keys should be fine-grained.
-    """
-    width = seconds * 1_000_000
-    rows = signals.where(mine).select("signal_id", "us", "seq", key.alias("key"))
-    times = rows.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("us", "seq", "signal_id"))).alias("t"))
-    fold = F.aggregate(
-        "t",
-        F.struct(F.lit(None).cast("long").alias("anchor"), F.array().cast("array<bigint>").alias("firsts")),
-        lambda acc, x: F.when(acc["anchor"].isNull() | (x["us"] - acc["anchor"] >= width), F.struct(x["us"].alias("anchor"), F.concat(acc["firsts"], F.array(x["signal_id"])).alias("firsts"))).otherwise(acc),
-    )
-    firsts = times.select(F.explode(fold["firsts"]).alias("signal_id")).withColumn("anchored", F.lit(True))
-    return rows.select("signal_id").join(firsts, "signal_id", "left").withColumn("anchored", F.coalesce("anchored", F.lit(False)))
+    def step(anchor: int | None, row: dict) -> tuple[int, tuple]:
+        first = anchor is None or row["us"] - anchor >= width
+        return (row["us"] if first else anchor), (first,)
+
+    rows = signals.where(mine).select("signal_id", "us", "seq", key.alias("_key"))
+    return fold(rows, "_key", ["us", "seq"], lambda: None, step, "anchored boolean").select("signal_id", "anchored")
 
 
 def built_in() -> list[Agent]:
     """In the order in which they decide."""
-    return [trend(), deduplicate(), transient(), severity_gate(), pattern_classifier(), threshold_classifier()]
+    return [trend(("cpu_percent", "latency_ms"), "source"), deduplicate(), transient(), severity_gate(), pattern_classifier(), threshold_classifier()]

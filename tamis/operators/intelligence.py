@@ -57,12 +57,12 @@ def causal_links(memories: DataFrame, edges: DataFrame) -> DataFrame:
     return memories.select("memory_id", F.col("signal_type").alias("cause")).join(F.broadcast(reachable), "cause")
 
 
-def closure(edges: DataFrame, most: int = 32) -> DataFrame:
+def closure(edges: DataFrame) -> DataFrame:
     """All (start, reached) over edges (cause, effect), by joining until nothing new is reached. A start is reached from
     itself only through a cycle. Rule graphs have some hundred edges, so lineage is short and joins are broadcast."""
     found = edges.select(F.col("cause").alias("start"), F.col("effect").alias("reached")).distinct()
     n = found.count()
-    for _ in range(most):
+    while True:
         step = found.join(F.broadcast(edges.select(F.col("cause").alias("reached"), F.col("effect").alias("next"))), "reached").select("start", F.col("next").alias("reached"))
         found = found.unionByName(step).distinct()
         before, n = n, found.count()

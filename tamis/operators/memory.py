@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tamis.operators import pipeline
 from tamis.operators.agents import Agent
+from tamis.operators.places import lowest
 from tamis.schema import SEVERITY_WEIGHTS
 
 
@@ -58,7 +59,7 @@ def evict(memories: DataFrame, capacity: int, fraction: float = 0.1) -> tuple[Da
     if n <= capacity:
         return memories, memories.limit(0)
     keep = max(0, capacity - max(1, int(capacity * fraction)))
-    gone = memories.orderBy("strength", "memory_id").limit(n - keep)
+    gone = lowest(memories, n - keep, F.floor(F.col("strength") * 4096), "strength", "memory_id")
     return memories.join(gone.select("memory_id"), "memory_id", "left_anti"), gone
 
 

@@ -21,9 +21,13 @@ REMOVING = ("suppress", "dedupe", "drop")
 def annotate(signals: DataFrame, agents: list[Agent] | None = None) -> DataFrame:
     """signals with a decision struct d_<agent> each, and removed, escalated, survives.
 
-    An agent that can't be planned is left out (what it would have decided fails open) and logged.
+    An agent that can't be planned is left out (what it would have decided fails open) and logged. One that fails on a row
+    as the plan runs fails the job: custom agents should use try_ forms where a value may not fit.
     """
     df, ready = signals, []
+    for agent in agents if agents is not None else built_in():
+        if agent.prepare is not None:
+            df = agent.prepare(df)
     for agent in sorted(agents if agents is not None else built_in(), key=lambda a: a.stage):
         if agent.stateless:  # before any window: above one it is a column, not an expression that flags repeat
             try:
@@ -49,7 +53,7 @@ def annotate(signals: DataFrame, agents: list[Agent] | None = None) -> DataFrame
         goes = F.coalesce(outcome.isin(*REMOVING) | ((outcome == "classify") & (F.col("severity") == "info")), F.lit(False)) & ~F.col("escalated")
         rises = F.coalesce(outcome == "escalate", F.lit(False)) & active
         df = planned.withColumns({f"removed_{name}": goes & active, "removed": F.col("removed") | goes, "escalated": F.col("escalated") | rises})
-    df = df.drop(*(f"raw_{a.name}" for a in ready))
+    df = df.drop(*(f"raw_{a.name}" for a in ready), *(c for c in df.columns if c.startswith("_")))
     return df.withColumn("survives", ~F.col("removed") & ((F.col("severity") != "info") | F.col("escalated")))
 
 

@@ -69,6 +69,25 @@ def vector_search(queries: DataFrame, vectors: DataFrame, k: int = 10, least: fl
     return top(scored, "query_id", "similarity", "vec_id", k)
 
 
+def alike(rows: DataFrame, least: float) -> DataFrame:
+    """Pairs (a, b, similarity) of rows (id, grams) whose Jaccard similarity is at least `least` (above 0), a before b.
+
+    Two such sets share one of the first grams of each, in the order from rare to common, when so many are taken that what
+    is left can't make up the similarity. So only rows that share a rare gram meet. Each gram stands once in a set.
+    """
+    long = rows.select("id", F.size("grams").alias("n"), F.explode("grams").alias("g"))
+    common = long.groupBy("g").agg(F.count("*").alias("f"))
+    order = Window.partitionBy("id").orderBy("f", "g")
+    ranked = long.join(common, "g").withColumn("r", F.row_number().over(order))
+    first = ranked.where(F.col("r") <= F.col("n") - F.ceil(F.lit(least) * F.col("n")) + 1).select("id", "n", "g")
+    other = first.select(F.col("id").alias("b"), F.col("n").alias("m"), "g")
+    near = first.join(other, "g").where((F.col("id") < F.col("b")) & (F.least("n", "m") >= least * F.greatest("n", "m")))
+    pairs = near.select(F.col("id").alias("a"), "b").distinct()
+    a, b = (rows.select(F.col("id").alias(k), F.col("grams").alias(f"g{k}")) for k in "ab")
+    scored = pairs.join(a, "a").join(b, "b").withColumn("similarity", jaccard(F.col("ga"), F.col("gb")))
+    return scored.where(F.col("similarity") >= least).select("a", "b", "similarity")
+
+
 def hash_embedding(text: Column, dims: int = 384) -> Column:
     """A unit vector from a chain of sha256 digests: signed little-endian 32-bit integers. Only equal texts are near."""
     digest = lambda block: F.sha2(F.concat(text, F.lit(":"), block.cast("string")), 256)

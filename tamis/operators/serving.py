@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tamis.operators.folds import fold
+from tamis.operators.places import values_at
+
 # Lanes of task types, models and answer lengths of lanes.
 LANES = {
     "classification": ("classify-short", "fraud-scoring", "dispute-classification", "claims-triage", "ticket-routing", "product-categorization", "demand-classification", "clinical-classification"),
@@ -113,19 +116,29 @@ def params_billions(text: Column) -> Column:
 
 def latency_table(samples: DataFrame, *by: str) -> DataFrame:
     """Percentiles (interpolated), spread and throughput of samples (latency_ms, output_tokens)."""
-    p = F.percentile("latency_ms", F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99)))
-    made = samples.groupBy(*by).agg(F.count("*").alias("samples"), p.alias("p"), F.min("latency_ms").alias("min_ms"), F.max("latency_ms").alias("max_ms"), F.avg("latency_ms").alias("mean"), F.stddev_samp("latency_ms").alias("sd"), F.sum("output_tokens").alias("tokens"), F.sum("latency_ms").alias("ms"))
+    shares = {"p50_ms": 0.5, "p95_ms": 0.95, "p99_ms": 0.99}
+    ms = F.col("latency_ms")
+    made = samples.groupBy(*by).agg(
+        F.count("*").alias("samples"), F.min(ms).alias("min_ms"), F.max(ms).alias("max_ms"), F.avg(ms).alias("mean"),
+        F.stddev_samp(ms).alias("sd"), F.sum("output_tokens").alias("tokens"), F.sum(ms).alias("ms"),
+    )
+    at = lambda share: (F.col("n") - 1) * share
+    places = {f"{n}_{end}": f(at(q)) for n, q in shares.items() for end, f in (("lo", F.floor), ("hi", F.ceil))}
+    found = values_at(samples, list(by), "latency_ms", places)
+    between = lambda n, q: F.col(f"{n}_lo") + (F.col(f"{n}_hi") - F.col(f"{n}_lo")) * (at(q) - F.floor(at(q)))
+    found = found.select(*by, *(F.round(between(n, q), 6).alias(n) for n, q in shares.items()))
     cov = F.when((F.col("samples") >= 2) & (F.col("mean") > 0), F.col("sd") / F.col("mean")).otherwise(0.0)
-    return made.select(*by, "samples", *(F.round(F.col("p")[k], 6).alias(n) for k, n in enumerate(("p50_ms", "p95_ms", "p99_ms"))), "min_ms", "max_ms", F.round(F.when(F.col("ms") > 0, F.col("tokens") / (F.col("ms") / 1000)).otherwise(0.0), 2).alias("tokens_per_s"), F.round(cov, 4).alias("variation"), (cov > 0.20).alias("varies"))
+    speed = F.round(F.when(F.col("ms") > 0, F.col("tokens") / (F.col("ms") / 1000)).otherwise(0.0), 2)
+    both = made.join(found, list(by), "left")
+    return both.select(
+        *by, "samples", *shares, "min_ms", "max_ms", speed.alias("tokens_per_s"), F.round(cov, 4).alias("variation"), (cov > 0.20).alias("varies")
+    )
 
 
 def nearest_rank(samples: DataFrame, by: str) -> DataFrame:
-    """The element at half and at 95 % of each group in order (not interpolated), by counting rows below: groups needn't be
-    gathered."""
-    w = Window.partitionBy(by)
-    ranked = samples.withColumn("n", F.count("*").over(w)).withColumn("r", F.row_number().over(w.orderBy("latency_ms")) - 1)
-    at = lambda share: F.max(F.when(F.col("r") == F.floor(F.col("n") * share), F.col("latency_ms")))
-    return ranked.groupBy(by).agg(F.max("n").alias("samples"), at(0.5).alias("median_ms"), at(0.95).alias("p95_ms"))
+    """The element at half and at 95 % of each group in order (not interpolated)."""
+    places = {"median_ms": F.floor(F.col("n") * 0.5), "p95_ms": F.floor(F.col("n") * 0.95)}
+    return values_at(samples, [by], "latency_ms", places).withColumnRenamed("n", "samples")
 
 
 def majority(votes: DataFrame, by: str) -> DataFrame:
@@ -149,17 +162,21 @@ def pressure_grade(readings: DataFrame) -> DataFrame:
 
 
 def hysteresis(graded: DataFrame, by: str, models: int = 6, shed_us: int = 30_000_000, restore_us: int = 120_000_000) -> DataFrame:
-    """Models loaded after each group's readings (us, action): one is shed or restored at a time, not sooner than the given
-    times after the last one. A fold over each group's readings in order; groups are machines, each with bounded history."""
-    ordered = graded.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("us", "seq", "action"))).alias("t"))
-    start = F.struct(F.lit(models).alias("loaded"), F.lit(None).cast("long").alias("shed_at"), F.lit(None).cast("long").alias("restored_at"), F.lit(0).alias("sheds"), F.lit(0).alias("restores"))
-
-    def step(s: Column, x: Column) -> Column:
-        shed = x["action"].startswith("shed") & (s["loaded"] > 0) & (s["shed_at"].isNull() | (x["us"] - s["shed_at"] >= shed_us))
-        restore = (x["action"] == "restore") & (s["loaded"] < models) & (s["restored_at"].isNull() | (x["us"] - s["restored_at"] >= restore_us))
-        return F.struct((s["loaded"] - F.when(shed, 1).otherwise(0) + F.when(restore, 1).otherwise(0)).alias("loaded"), F.when(shed, x["us"]).otherwise(s["shed_at"]).alias("shed_at"), F.when(restore, x["us"]).otherwise(s["restored_at"]).alias("restored_at"), (s["sheds"] + F.when(shed, 1).otherwise(0)).alias("sheds"), (s["restores"] + F.when(restore, 1).otherwise(0)).alias("restores"))
-
-    return ordered.select(by, F.aggregate("t", start, step).alias("s")).select(by, "s.loaded", "s.sheds", "s.restores")
+    """Models loaded after each group's readings (us, seq, action): one is shed or restored at a time, not sooner than the
+    given times after the last one. A streamed fold over each group's readings in order."""
+
+    def step(s: tuple, row: dict) -> tuple[tuple, tuple]:
+        loaded, shed_at, back_at, sheds, restores = s
+        us, action = row["us"], row["action"] or ""
+        if action.startswith("shed") and loaded > 0 and (shed_at is None or us - shed_at >= shed_us):
+            loaded, shed_at, sheds = loaded - 1, us, sheds + 1
+        elif action == "restore" and loaded < models and (back_at is None or us - back_at >= restore_us):
+            loaded, back_at, restores = loaded + 1, us, restores + 1
+        return (loaded, shed_at, back_at, sheds, restores), (loaded, sheds, restores)
+
+    rows = fold(graded.select(by, "us", "seq", "action"), by, ["us", "seq"], lambda: (models, None, None, 0, 0), step, "loaded int, sheds int, restores int")
+    last = F.max_by(F.struct("loaded", "sheds", "restores"), F.struct("us", "seq")).alias("s")
+    return rows.groupBy(by).agg(last).select(by, "s.loaded", "s.sheds", "s.restores")
 
 
 def allocate(models: DataFrame, by: str, budget: float) -> DataFrame:

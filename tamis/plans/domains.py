@@ -28,12 +28,23 @@ def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     people = read("customer").select("c_custkey", "c_nationkey").join(read("nation").select("n_nationkey", "n_name"), F.col("c_nationkey") == F.col("n_nationkey"))
     rows = read("orders").join(people, F.col("o_custkey") == F.col("c_custkey")).withColumn("us", F.unix_micros(F.col("o_orderdate").cast("timestamp")))
     account = Window.partitionBy("o_custkey")
-    first = lambda *keys: F.row_number().over(Window.partitionBy(*keys).orderBy("o_orderdate", "o_orderkey")) == 1
-    kind = F.when(F.col("o_orderstatus") == "F", "wire_transfer").when(F.col("o_orderstatus") == "O", "cash_deposit").otherwise("card_purchase")
+    new_merchant = F.row_number().over(Window.partitionBy("o_custkey", "o_orderpriority").orderBy("o_orderdate", "o_orderkey")) == 1
+    # countries are few and their transactions many: the first of each is a grouped minimum, not a window
+    countries = rows.groupBy("n_name", "o_orderstatus").agg(F.min(F.struct("o_orderdate", "o_orderkey")).alias("_first"))
+    rows = rows.join(countries, ["n_name", "o_orderstatus"])
+    status = F.col("o_orderstatus")
+    kind = F.when(status == "F", "wire_transfer").when(status == "O", "cash_deposit").otherwise("card_purchase")
     return rows.select(
-        F.col("o_orderkey").alias("id"), (F.col("o_totalprice") / 20).alias("amount"), kind.alias("transaction_type"), F.col("n_name").alias("country"), F.col("o_orderpriority").alias("merchant"), (F.col("o_orderpriority") == "5-LOW").alias("is_recurring"),
-        F.count("*").over(account.orderBy("us").rangeBetween(-31_536_000_000_000, 0)).alias("velocity_1h"), first("o_custkey", "o_orderpriority").alias("is_first_time_merchant"), first("n_name", "o_orderstatus").alias("is_first_time_country"),
-    )
+        F.col("o_orderkey").alias("id"),
+        (F.col("o_totalprice") / 20).alias("amount"),
+        kind.alias("transaction_type"),
+        F.col("n_name").alias("country"),
+        F.col("o_orderpriority").alias("merchant"),
+        (F.col("o_orderpriority") == "5-LOW").alias("is_recurring"),
+        F.count("*").over(account.orderBy("us").rangeBetween(-31_536_000_000_000, 0)).alias("velocity_1h"),
+        new_merchant.alias("is_first_time_merchant"),
+        (F.col("_first")["o_orderkey"] == F.col("o_orderkey")).alias("is_first_time_country"),
+    )
 
 
 @query("finance_mapping", FINANCE_SQL)
@@ -41,7 +52,12 @@ def finance_mapping(spark, sf_dir):
     return mappings.finance(transactions(spark, sf_dir)).select("id", "signal_type", "severity")
 
 
-@query("finance_messages")
+@query(
+    "finance_messages",
+    TRANSACTIONS
+    + """, f AS (SELECT *, array_to_string(list_filter([CASE WHEN is_first_time_merchant THEN 'first-time merchant' END, CASE WHEN is_first_time_country THEN 'first-time country' END, CASE WHEN is_recurring THEN 'recurring' END, CASE WHEN velocity_1h >= 3 THEN 'velocity=' || velocity_1h || '/hr' END], lambda x: x IS NOT NULL), ', ') AS flags FROM typed)
+    SELECT id, '$' || format('{:,.2f}', amount) || ' at ' || merchant || ' (' || transaction_type || ') in ' || country || CASE WHEN flags <> '' THEN ' [' || flags || ']' ELSE '' END AS message FROM f""",
+)
 def finance_messages(spark, sf_dir):
     return transactions(spark, sf_dir).select("id", mappings.finance_message().alias("message"))
 

@@ -142,11 +142,11 @@ def recall_topk(spark, sf_dir):
     return recall.recall(q, m)
 
 
-@query("trigram_jaccard", f"WITH g AS (SELECT item_id, {GRAMS.format('text')} AS g FROM benchmark) SELECT a.item_id AS a, b.item_id AS b, round({JACCARD.format('a.g', 'b.g')}, 6) AS similarity FROM g a JOIN g b ON a.item_id < b.item_id")
+@query("trigram_jaccard", f"WITH g AS (SELECT item_id, {GRAMS.format('text')} AS g FROM benchmark) SELECT a.item_id AS a, b.item_id AS b, round({JACCARD.format('a.g', 'b.g')}, 6) AS similarity FROM g a JOIN g b ON a.item_id < b.item_id WHERE {JACCARD.format('a.g', 'b.g')} >= 0.3")
 def trigram_jaccard(spark, sf_dir):
-    g = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", recall.trigrams(F.col("text")).alias("g"))
-    a, b = g.select(F.col("item_id").alias("a"), F.col("g").alias("ga")), g.select(F.col("item_id").alias("b"), F.col("g").alias("gb"))
-    return a.join(b, F.col("a") < F.col("b")).select("a", "b", F.round(recall.jaccard(F.col("ga"), F.col("gb")), 6).alias("similarity"))
+    """Texts of which three trigrams in ten are common."""
+    rows = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").alias("id"), recall.trigrams(F.col("text")).alias("grams"))
+    return recall.alike(rows, 0.3).withColumn("similarity", F.round("similarity", 6))
 
 
 @query("vector_topk", "WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id % 50 = 0), s AS (SELECT query_id, vec_id, round(list_cosine_similarity(q, embedding::DOUBLE[]), 6) AS similarity FROM embeddings CROSS JOIN q) SELECT query_id, vec_id, similarity, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS rank FROM s WHERE similarity >= 0.2) WHERE rank <= 10")
@@ -156,6 +156,15 @@ def vector_topk(spark, sf_dir):
     return recall.vector_search(queries, rows, 10, 0.2)
 
 
-@query("hash_embedding")
+_WORD = "substr(sha256(text || ':' || CAST(n // 8 AS VARCHAR)), CAST(n % 8 * 8 + 1 AS BIGINT), 8)"
+
+
+@query(
+    "hash_embedding",
+    f"WITH w AS (SELECT item_id, n, {_WORD} AS w FROM benchmark, range(0, 384) AS r(n)), v AS (SELECT item_id, n, ('0x' || substr(w, 7, 2) || substr(w, 5, 2) || substr(w, 3, 2) || substr(w, 1, 2))::BIGINT AS v FROM w),"
+    " s AS (SELECT item_id, n, CASE WHEN v >= 2147483648 THEN v - 4294967296 ELSE v END / 2147483648.0::DOUBLE AS x FROM v), z AS (SELECT item_id, sqrt(sum(x * x)) AS size FROM s GROUP BY item_id)"
+    " SELECT item_id, list(round(x / size, 6) ORDER BY n) AS embedding FROM s JOIN z USING (item_id) GROUP BY item_id",
+)
 def hash_embedding(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", recall.hash_embedding(F.col("text")).alias("embedding"))
+    made = recall.hash_embedding(F.col("text"))
+    return spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", F.transform(made, lambda x: F.round(x, 6)).alias("embedding"))

@@ -46,10 +46,11 @@ def model_rank(spark, sf_dir):
     return serving.rank_models(rows, "brand").select("brand", "model", "rank", "role")
 
 
-@query("corpora_lookup", "WITH e AS (SELECT p_type AS industry, p_brand AS task, list(DISTINCT p_name ORDER BY p_name) AS models FROM part WHERE p_brand < 'Brand#15' GROUP BY ALL), basic AS (SELECT task, models FROM e WHERE industry = 'ECONOMY'), w AS (SELECT DISTINCT p_type AS industry, p_brand AS task FROM part) SELECT w.industry, w.task, list_filter(coalesce(e.models, basic.models), lambda x: x NOT IN ('red widget', ''))[1] AS model FROM w LEFT JOIN e ON e.industry = w.industry AND e.task = w.task LEFT JOIN basic ON basic.task = w.task")
+@query("corpora_lookup", "WITH e AS (SELECT p_type AS industry, p_brand AS task, list(DISTINCT p_name ORDER BY p_name) AS models FROM part GROUP BY ALL HAVING count(*) % 2 = 0), basic AS (SELECT task, models FROM e WHERE industry = 'ECONOMY'), w AS (SELECT DISTINCT p_type AS industry, p_brand AS task FROM part) SELECT w.industry, w.task, list_filter(coalesce(e.models, basic.models), lambda x: x NOT IN ('red widget', ''))[1] AS model FROM w LEFT JOIN e ON e.industry = w.industry AND e.task = w.task LEFT JOIN basic ON basic.task = w.task")
 def corpora_lookup(spark, sf_dir):
     part = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_type").alias("industry"), F.col("p_brand").alias("task"), "p_name")
-    entries = part.where("task < 'Brand#15'").groupBy("industry", "task").agg(F.array_sort(F.collect_set("p_name")).alias("models"))
+    # entries are missing where a group has an odd number of parts
+    entries = part.groupBy("industry", "task").agg(F.array_sort(F.collect_set("p_name")).alias("models"), F.count("*").alias("n")).where("n % 2 = 0").drop("n")
     return serving.lookup(part.select("industry", "task").distinct(), entries, ("red widget",), "ECONOMY")
 
 
@@ -129,7 +130,15 @@ def pressure_hysteresis(spark, sf_dir):
     return serving.hysteresis(graded(spark, sf_dir), "source")
 
 
-@query("fleet_allocate")
+@query(
+    "fleet_allocate",
+    """WITH RECURSIVE m AS (SELECT p_brand AS brand, p_name || '#' || p_partkey AS model, (p_size * 2 * 1.3::DOUBLE / 10) AS gb FROM part),
+    o AS (SELECT *, row_number() OVER (PARTITION BY brand ORDER BY gb DESC, model DESC) AS n FROM m),
+    w AS (SELECT brand, 0::BIGINT AS n, 64.0::DOUBLE AS room, '' AS model, 0::BIGINT AS replicas, 0.0::DOUBLE AS total FROM (SELECT DISTINCT brand FROM o)
+      UNION ALL SELECT o.brand, o.n, w.room - k * o.gb, o.model, k, k * o.gb FROM w JOIN o ON o.brand = w.brand AND o.n = w.n + 1,
+        LATERAL (SELECT CAST(floor(w.room / o.gb) AS BIGINT) AS fits), LATERAL (SELECT least(fits, CASE WHEN o.gb > 5 THEN 1 WHEN o.gb > 1 THEN greatest(2, least(3, greatest(1, fits))) ELSE least(8, greatest(1, fits)) END) AS k))
+    SELECT brand, model, CAST(replicas AS INT) AS replicas, round(total, 3) AS total_gb FROM w WHERE replicas > 0""",
+)
 def fleet_allocate(spark, sf_dir):
     """Parts as models, brands as fleets; memory from size."""
     models = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_brand").alias("brand"), F.concat("p_name", F.lit("#"), F.col("p_partkey").cast("string")).alias("model"), (F.col("p_size") * 2 * 1.3 / 10).alias("memory_gb"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tamis import schema
 from tamis.operators import agents, pipeline
+from tamis.operators.places import lowest
 from tamis.plans.registry import query
 from tamis.sources.adapters import SIGNALS_SQL, event_signals
 
@@ -101,7 +102,7 @@ def _alone(agent: agents.Agent):
 
 _BASE = CASCADE_SQL.split("a2 AS (")[0].rstrip().rstrip(",")
 _ALONE = {
-    "trend_escalate": (agents.trend(), "SELECT signal_id, 'escalate' AS outcome, '' AS classification FROM a1 WHERE e0"),
+    "trend_escalate": (agents.trend(("cpu_percent", "latency_ms"), "source"), "SELECT signal_id, 'escalate' AS outcome, '' AS classification FROM a1 WHERE e0"),
     "dedup_batch": (agents.deduplicate(), "SELECT signal_id, 'dedupe' AS outcome, '' AS classification FROM a1 WHERE dd"),
     "transient_suppress": (agents.transient(), f"SELECT signal_id, 'suppress' AS outcome, '' AS classification FROM a1 WHERE signal_type = 'probe_failure' AND severity IN ('info', 'low') AND NOT {_matches(schema.NEVER_SUPPRESS)}"),
     "severity_gate": (agents.severity_gate(), f"SELECT signal_id, CASE WHEN {_matches(schema.ESCALATE)} THEN 'escalate' ELSE 'drop' END AS outcome, '' AS classification FROM a1 WHERE severity = 'info' AND NOT {BYPASS}"),
@@ -140,7 +141,7 @@ def dominant_noise(spark, sf_dir):
 @query("contextual_noise", _anchored_sql("concat_ws(':', signal_type, namespace, source)", "signal_type = 'event_unhealthy' AND namespace IN ('ns_0', 'ns_1', 'ns_2', 'ns_3') AND severity IN ('info', 'low')"))
 def contextual_noise(spark, sf_dir):
     """Of types that are noise in some namespaces only, the first of a source and window passes."""
-    contexts = spark.createDataFrame([("event_unhealthy", f"ns_{k}") for k in range(4)], "signal_type string, namespace string")
+    contexts = spark.createDataFrame([("event_unhealthy", f"ns_{k}") for k in range(4)], "signal_type string, namespace string")  # learned
     signals = event_signals(spark, sf_dir).join(F.broadcast(contexts), ["signal_type", "namespace"], "left_semi")
     return agents.anchored(signals, F.concat_ws(":", "signal_type", "namespace", "source"), DAY, F.col("severity").isin(*schema.SUPPRESSIBLE))
 
@@ -165,4 +166,38 @@ def shadow_sample(spark, sf_dir):
     """A twentieth of what activated rules suppress, to be looked at again: those with the least hashes, so reruns agree."""
     noise = event_signals(spark, sf_dir).where("signal_type = 'heartbeat'").select("signal_id", F.sha2(F.concat(F.lit("shadow:"), F.col("signal_id")), 256).alias("h"))
     n = max(1, noise.count() * 5 // 100)
-    return noise.orderBy("h").limit(n).select("signal_id")
+    return lowest(noise, n, F.substring("h", 1, 3), "h").select("signal_id")
+
+
+# ---------------------------------------------------------------- trends by entity, duplicates by window
+
+_ENTITY = "CASE user_ % 4 WHEN 0 THEN 'patient_id=' || CAST(user_ // 4 AS VARCHAR) WHEN 1 THEN 'host=h' || CAST(user_ % 30 AS VARCHAR) WHEN 2 THEN 'instance=i' || CAST(user_ % 9 AS VARCHAR) END"
+_TRENDS = ("cpu_percent", "latency_ms")
+
+
+def _over(fields, form: str) -> str:
+    return " OR ".join(f"coalesce({form.format(d=f, c=f'{f}1', b=f'{f}2', a=f'{f}3')}, false)" for f in fields)
+
+
+@query(
+    "trend_entities",
+    f"""WITH {SIGNALS_SQL}, named AS (SELECT *, {_ENTITY} AS entity FROM (SELECT *, CAST(substr(source, 6) AS BIGINT) AS user_ FROM signals)),
+    lagged AS (SELECT signal_id, """
+    + ", ".join([*_TRENDS, *(f"CASE WHEN us - lag(us, {n}) OVER w < 7 * {DAY}000000 THEN lag({f}, {n}) OVER w END AS {f}{n}" for f in _TRENDS for n in (1, 2, 3))])
+    + f" FROM named WHERE entity IS NOT NULL WINDOW w AS (PARTITION BY entity ORDER BY seq)) SELECT signal_id FROM lagged WHERE ({_over(_TRENDS, _MOVES)}) OR ({_over(_TRENDS, _SWINGS)})",
+)
+def trend_entities(spark, sf_dir):
+    """Trends of whatever a signal's labels, else its content, name, over any measured field, within a week."""
+    user = F.substring("source", 6, 20).cast("long")
+    signals = event_signals(spark, sf_dir).withColumn("labels", F.when(user % 4 == 0, F.create_map(F.lit("patient_id"), F.floor(user / 4).cast("string"))))
+    signals = signals.withColumn("host", F.when(user % 4 == 1, F.concat(F.lit("h"), (user % 30).cast("string"))))
+    signals = signals.withColumn("instance", F.when(user % 4 == 2, F.concat(F.lit("i"), (user % 9).cast("string"))))
+    made = signals.withColumn("d", agents.trend(seconds=7 * DAY).decide(signals, F.lit(True)))
+    return made.where("d is not null").select("signal_id")
+
+
+@query("dedup_window", _anchored_sql("concat_ws(':', signal_type, source, namespace, severity, message)", f"NOT {BYPASS}") + " WHERE NOT first")
+def dedup_window(spark, sf_dir):
+    """Duplicates within a day that opens with the first of a key, as the cascade takes them."""
+    annotated = pipeline.annotate(event_signals(spark, sf_dir), [agents.deduplicate(DAY)])
+    return annotated.where("d_deduplicate is not null").select("signal_id", F.lit(False).alias("anchored"))

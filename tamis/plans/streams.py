@@ -18,6 +18,7 @@ def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("stream_dedup")
 def stream_dedup(spark, sf_dir):
+    """Approximate by nature: a key is held until the watermark has passed it, and the watermark follows the batches."""
     return jobs.available(jobs.deduplicated(_stream(spark, sf_dir), ["source", "signal_type"], "1 day"), "dedup").select("signal_id", "source", "signal_type")
 
 
@@ -28,7 +29,12 @@ def stream_flood(spark, sf_dir):
     return found.select(F.floor(F.unix_micros("start") / 86_400_000_000).alias("day"), "signal_type", "source", "namespace", "n")
 
 
-@query("stream_sessions")
+@query(
+    "stream_sessions",
+    f"""WITH {SIGNALS_SQL}, g AS (SELECT *, coalesce(us - lag(us) OVER (PARTITION BY source ORDER BY us) >= 6 * 3600000000, true)::INT AS opens FROM signals),
+    s AS (SELECT *, sum(opens) OVER (PARTITION BY source ORDER BY us ROWS UNBOUNDED PRECEDING) AS k FROM g)
+    SELECT source, count(*) AS members, CAST(count(DISTINCT signal_type) AS INT) AS types FROM s GROUP BY source, k HAVING max(us) + 6 * 3600000000 <= (SELECT max(us) FROM signals) - 3600000000""",
+)
 def stream_sessions(spark, sf_dir):
     return jobs.available(jobs.sessions(_stream(spark, sf_dir), "6 hours", "1 hour", "source"), "sessions").select("source", "members", "types")
 

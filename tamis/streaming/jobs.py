@@ -23,8 +23,11 @@ _unset: dict[str, str] = {}  # folders of applications that name none
 
 
 def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only in local mode, where it is unset."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         app = spark.sparkContext.applicationId
         if app not in _unset:
             _unset[app] = f"file://{tempfile.mkdtemp(prefix='tamis-')}"
@@ -61,7 +64,7 @@ def flood_counts(stream: DataFrame, window: str, slide: str, delay: str, most: i
 
 
 def sessions(stream: DataFrame, gap: str, delay: str, *by: str) -> DataFrame:
-    found = stream.withWatermark("ts", delay).groupBy(F.session_window("ts", gap), *by).agg(F.count("*").alias("members"), F.approx_count_distinct("signal_type").alias("types"))
+    found = stream.withWatermark("ts", delay).groupBy(F.session_window("ts", gap), *by).agg(F.count("*").alias("members"), F.size(F.collect_set("signal_type")).alias("types"))
     return found.select(F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), *by, "members", "types")
 
 
@@ -88,24 +91,34 @@ def anchored(stream: DataFrame, keys: list[str], seconds: int, delay: str) -> Da
     return stream.withWatermark("ts", delay).groupBy(*keys).applyInPandasWithState(step, out, "anchor long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def remember(stream: DataFrame, normalized: list[str], kept: list[str]) -> DataFrame:
-    """Memories of a stream: each batch's are formed and merged into a table by content hash. A batch writes a new version of
-    the table, named by its number, so one that is run again writes the same."""
+def remember(stream: DataFrame, normalized: list[str], kept: list[str], path: str | None = None) -> DataFrame:
+    """Memories of a stream: each batch's are formed and merged into a table by content hash.
+
+    A batch writes version v<number> of the table under path, from version number - 1, so one that is run again writes the
+    same, and a job that starts again at the same path goes on where it stopped (None: a path of its own). Before the first
+    batch there is no version, and the table is empty.
+    """
     spark = stream.sparkSession
-    path = f"{shared_folder(spark)}/streams/memories-{uuid.uuid4().hex}"
-    versions: list[int] = []
+    path = path or f"{shared_folder(spark)}/streams/memories-{uuid.uuid4().hex}"
+    empty = memory.form(spark.createDataFrame([], stream.schema), normalized, kept)
 
     def merge(batch: DataFrame, number: int) -> None:
         new = memory.form(batch, normalized, kept)
-        if versions:
-            old = batch.sparkSession.read.parquet(f"{path}/v{versions[-1]}")
+        if number:
+            old = batch.sparkSession.read.schema(empty.schema).parquet(f"{path}/v{number - 1}")
             both = old.unionByName(new)
-            first = F.min_by(F.struct(*(c for c in both.columns if c not in ("content_hash", "occurrences", "modified_us", "strength"))), "memory_id").alias("f")
-            merged = both.groupBy("content_hash").agg(first, F.sum("occurrences").alias("occurrences"), F.max("modified_us").alias("modified_us"))
-            new = merged.select("content_hash", "f.*", "occurrences", "modified_us")
-            new = new.withColumn("strength", memory.reinforced(memory.weight(), F.col("occurrences") - 1)).select(*both.columns)
+            whole = ("content_hash", "occurrences", "modified_us", "strength")
+            first = F.min_by(F.struct(*(c for c in both.columns if c not in whole)), "memory_id").alias("f")
+            sums = [F.sum("occurrences").alias("occurrences"), F.max("modified_us").alias("modified_us")]
+            merged = both.groupBy("content_hash").agg(first, *sums).select("content_hash", "f.*", "occurrences", "modified_us")
+            new = merged.withColumn("strength", memory.reinforced(memory.weight(), F.col("occurrences") - 1)).select(*both.columns)
         new.write.mode("overwrite").parquet(f"{path}/v{number}")
-        versions.append(number)
 
-    stream.writeStream.foreachBatch(merge).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{path}/v{versions[-1]}")
+    job = stream.writeStream.foreachBatch(merge).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True)
+    job.start().awaitTermination()
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "[0-9]*")
+    commits = files.load(f"{path}/checkpoint").where(F.contains("path", F.lit("/commits/")))
+    number = commits.select(F.max(F.element_at(F.split("path", "/"), -1).cast("long"))).first()[0]
+    if number is None:
+        return empty
+    return spark.read.schema(empty.schema).parquet(f"{path}/v{number}")
