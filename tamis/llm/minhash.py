@@ -118,7 +118,15 @@ def links_between(sets: list[np.ndarray], split: int, percent: int) -> list[tupl
     return found
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, collections: int = 16, rows: int = 3, block_shingles: int = 400_000) -> DataFrame:
+def near_duplicates(
+    docs: DataFrame,
+    words: int = 5,
+    percent: int = 80,
+    collections: int = 16,
+    rows: int = 3,
+    block_shingles: int = 400_000,
+    salts: int = 32,
+) -> DataFrame:
     """Per document of docs (doc_id, text): n_shingles, component_id, kept.
 
     A text is lower-cased (A-Z), its words are runs of bytes other than space and 0x09-0x0D, its set the distinct
@@ -127,19 +135,30 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, collecti
     shingles and link with nothing; repeated rows are rows of their own; a null doc_id links with nothing and has null
     component_id. Other columns aren't read; an empty table gives no rows. A pair at the threshold itself meets in some
     table with probability 0.9998, and in any case where others join its family.
+    salts: shares in which the copies of one set look up their class.
     """
     signed = materialize(signatures(docs, words, collections, rows), "signatures")
     alike = ["fp1", "fp2", "n_shingles"]
-    whole = signed.where("doc_id is not null and n_shingles > 0")
-    heads = whole.groupBy(*alike).agg(F.min("doc_id").alias("rep"))
-    members = signed.join(heads, alike, "left").withColumn("rep", F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.col("rep")).otherwise(F.col("doc_id")))
-    members = materialize(members.select("doc_id", "n_shingles", "rep", F.when(F.col("doc_id") == F.col("rep"), F.col("sig")).alias("sig")), "members")
+    sound = F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)
+    # only sets of several documents have a class to look up
+    heads = signed.where(sound).groupBy(*alike).agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("top"))
+    heads = materialize(heads.where("rep <> top").drop("top"), "heads")
+    heads = heads.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    salted = signed.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int"))
+    members = salted.join(heads, [*alike, "salt"], "left")
+    members = members.withColumn("rep", F.when(sound, F.coalesce("rep", "doc_id")).otherwise(F.col("doc_id")))
+    own = F.when(F.col("doc_id") == F.col("rep"), F.col("sig")).alias("sig")
+    members = materialize(members.select("doc_id", "n_shingles", "rep", own), "members")
     classes = members.where("doc_id = rep and n_shingles > 0")
 
     pairs = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for j in range(collections) for i in range(j)))
-    keys = F.transform(pairs, lambda p: F.xxhash64(p["i"], p["j"], F.element_at("sig", p["i"] + 1), F.element_at("sig", p["j"] + 1)))
-    keyed = classes.select("rep", F.explode(keys).alias("key"))
-    tables = keyed.groupBy("key").agg(F.min("rep").alias("b"), F.max("rep").alias("top")).where("b <> top").select("key", "b")
+    at = lambda p, k: F.element_at("sig", p[k] + 1)
+    keys = F.transform(pairs, lambda p: F.xxhash64(p["i"], p["j"], at(p, "i"), at(p, "j")))
+    # a row becomes many here, so a task should have few
+    few = classes.select("rep", "sig").repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    keyed = few.select("rep", F.explode(keys).alias("key"))
+    tables = keyed.groupBy("key").agg(F.min("rep").alias("b"), F.max("rep").alias("top")).where("b <> top")
+    tables = materialize(tables.select("key", "b"), "tables")  # a join of plain tables is one whose hot keys Spark splits
     stars = keyed.join(tables, "key").where("rep <> b").select(F.col("rep").alias("a"), "b")
     families = materialize(components(stars, "families"), "families")
 
