@@ -19,6 +19,18 @@ def normal_text(text: str | Column) -> Column:
     return F.regexp_replace(text, r"(?<=\w)-[a-z0-9]{5,10}(?=\s|$)", "")
 
 
+# Fields that say where, which make contents different.
+PRESERVED = (
+    "location", "span_id", "circuit_id", "node", "host", "region", "zone", "rack", "site", "sector", "patient_id",
+    "account_id", "circuit", "prefix", "service", "instance",
+)
+
+
+def normal_content(content: Column) -> Column:
+    """A map of texts by field, each without what changes from one event to the next, but for PRESERVED."""
+    return F.transform_values(content, lambda k, v: F.when(k.isin(*PRESERVED), v).otherwise(normal_text(v)))
+
+
 def content_hash(normalized: list[str], kept: list[str] = ()) -> Column:
     """sha256 of the type and the content; fields that say where (kept) go in unchanged."""
     parts = [F.concat(F.lit(f"{c}="), normal_text(c) if c in normalized else F.col(c).cast("string")) for c in sorted([*normalized, *kept])]
