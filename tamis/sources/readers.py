@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 TRANSACTION_FIELDS = {
@@ -113,3 +113,77 @@ def load_state(spark: SparkSession, path: str, names: list[str]) -> dict[str, Da
 def append_latest(log: DataFrame, new: DataFrame, order: str, most: int = 10_000) -> DataFrame:
     """A log with new rows, cut to the latest."""
     return log.unionByName(new).orderBy(F.desc(order)).limit(most)
+
+
+def array_slice(spark: SparkSession, path: str, offset: int, limit: int, field: str | None = None) -> DataFrame:
+    """Elements offset to offset + limit of the arrays in JSON files (an array, or an object with one under `field`), by
+    their place in their file."""
+    rows = spark.read.option("multiLine", True).json(path)
+    if field is not None:
+        placed = rows.select(F.input_file_name().alias("_file"), F.posexplode(field).alias("_pos", "_x"))
+        return placed.where((F.col("_pos") >= offset) & (F.col("_pos") < offset + limit)).select("_x.*")
+    # an array at the top is read as rows, in their order within the file
+    whole = spark.read.text(path, wholetext=True)
+    items = F.from_json("value", f"array<{rows.schema.simpleString()}>")
+    placed = whole.select(F.posexplode(items).alias("_pos", "_x"))
+    return placed.where((F.col("_pos") >= offset) & (F.col("_pos") < offset + limit)).select("_x.*")
+
+
+def front_matter(spark: SparkSession, path: str) -> DataFrame:
+    """file, fields (a map of `key: value` lines between the two --- lines at the top) and body of markdown files; files
+    without front matter have an empty map."""
+    whole = spark.read.text(path, wholetext=True).withColumn("file", F.input_file_name())
+    head = F.regexp_extract("value", r"\A---\n(?s:(.*?))\n---(?:\n|\z)", 1)
+    keys = F.regexp_extract_all(head, F.lit(r"(?m)^([A-Za-z_][\w-]*):[ \t]*(.*)$"), F.lit(1))
+    values = F.transform(F.regexp_extract_all(head, F.lit(r"(?m)^([A-Za-z_][\w-]*):[ \t]*(.*)$"), F.lit(2)), lambda v: F.trim(v))
+    first = F.filter(F.arrays_zip(keys.alias("k"), values.alias("v")), lambda x, i: F.array_position(keys, x["k"]) == i + 1)
+    body = F.regexp_replace("value", r"\A---\n(?s:.*?)\n---(?:\n|\z)", "")
+    return whole.select("file", F.map_from_entries(first).alias("fields"), body.alias("body"))
+
+
+_META = "metadata:struct<name:string,namespace:string>"
+CLUSTER_SHAPES = {
+    "pods": f"struct<{_META},status:struct<phase:string,reason:string,containerStatuses:array<struct<restartCount:int,state:struct<waiting:struct<reason:string>>>>>>",
+    "events": f"struct<{_META},reason:string,message:string,count:int>",
+    "nodes": f"struct<{_META},status:struct<conditions:array<struct<type:string,status:string>>>>",
+}
+
+
+def cluster_items(spark: SparkSession, path: str, kind: str, most_a_namespace: int | None = None) -> DataFrame:
+    """Records, as mappings.kubernetes takes them, of the items of JSON lists of pods, events or nodes.
+
+    most_a_namespace: so many at most of each namespace, the first by name (a quota of the collector; None: all).
+    """
+    whole = spark.read.text(path, wholetext=True)
+    lists = F.from_json("value", f"struct<items:array<{CLUSTER_SHAPES[kind]}>>")
+    items = whole.select(F.explode(lists["items"]).alias("i")).select("i.*")
+    none = F.lit(None).cast("string")
+    reason, message, count, phase, restarts = none, none, F.lit(None).cast("int"), none, F.lit(None).cast("int")
+    conditions = {}
+    if kind == "pods":
+        states = F.coalesce("status.containerStatuses", F.array())
+        waiting = F.transform(states, lambda s: s["state"]["waiting"]["reason"])
+        reason = F.coalesce(F.try_element_at(F.array_compact(waiting), F.lit(1)), F.col("status.reason"))
+        phase = F.col("status.phase")
+        restarts = F.aggregate(states, F.lit(0), lambda n, s: n + F.coalesce(s["restartCount"], F.lit(0)))
+    elif kind == "events":
+        reason, message, count = F.col("reason"), F.col("message"), F.coalesce("count", F.lit(1))
+    else:
+        by_type = F.map_from_entries(F.transform("status.conditions", lambda c: F.struct(c["type"], c["status"])))
+        for name, column in {"Ready": "ready", "MemoryPressure": "memory_pressure", "DiskPressure": "disk_pressure"}.items():
+            conditions[column] = F.try_element_at(by_type, F.lit(name))
+    rows = items.select(
+        F.lit(kind[:-1]).alias("type"),
+        F.col("metadata.name").alias("name"),
+        F.coalesce("metadata.namespace", F.lit("")).alias("namespace"),
+        phase.alias("phase"),
+        restarts.alias("restarts"),
+        reason.alias("reason"),
+        message.alias("message"),
+        count.alias("count"),
+        *(conditions.get(c, none).alias(c) for c in ("ready", "memory_pressure", "disk_pressure")),
+    )
+    if most_a_namespace is None:
+        return rows
+    place = F.row_number().over(Window.partitionBy("namespace").orderBy("name"))
+    return rows.withColumn("_r", place).where(F.col("_r") <= most_a_namespace).drop("_r")

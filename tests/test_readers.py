@@ -58,3 +58,41 @@ def test_claims_and_alerts(spark):
     assert [(r.signal_type, r.severity) for r in mappings.claims(df).collect()] == [("claim_provision_failed", "high"), ("claim_stopping", "medium")]
     levels = spark.createDataFrame([("warning",), ("none",), (None,), ("critical",)], "severity string")
     assert [r.severity for r in mappings.alerts(levels).collect()] == ["medium", "info", "info", "critical"]
+
+
+def test_slices_of_arrays(spark, tmp_path):
+    (tmp_path / "a.json").write_text(json.dumps([{"id": k, "name": f"n{k}"} for k in range(10)]))
+    (tmp_path / "b.json").write_text(json.dumps({"rows": [{"id": k} for k in range(10)]}))
+    assert [r.id for r in readers.array_slice(spark, str(tmp_path / "a.json"), 3, 2).collect()] == [3, 4]
+    assert [r.id for r in readers.array_slice(spark, str(tmp_path / "b.json"), 8, 5, "rows").collect()] == [8, 9]
+
+
+def test_front_matter_of_notes(spark, tmp_path):
+    (tmp_path / "a.md").write_text("---\nname: First\ntype: feedback\nname: again\n---\nBody here\n")
+    (tmp_path / "b.md").write_text("No front matter\n---\nkey: value\n")
+    rows = sorted(readers.front_matter(spark, str(tmp_path)).collect(), key=lambda r: r.file)
+    assert rows[0].fields == {"name": "First", "type": "feedback"} and rows[0].body == "Body here\n"
+    assert rows[1].fields == {} and rows[1].body.startswith("No front")
+
+
+def test_items_of_cluster_lists(spark, tmp_path):
+    pods = [{"metadata": {"name": f"p{k}", "namespace": "a" if k < 3 else "b"}, "status": {"phase": "Running", "containerStatuses": [{"restartCount": k, "state": {"waiting": {"reason": "CrashLoopBackOff"}} if k == 4 else {}}, {"restartCount": 1, "state": {}}]}} for k in range(5)]
+    (tmp_path / "pods.json").write_text(json.dumps({"items": pods}))
+    nodes = [{"metadata": {"name": "n"}, "status": {"conditions": [{"type": "Ready", "status": "False"}, {"type": "DiskPressure", "status": "True"}]}}]
+    (tmp_path / "nodes.json").write_text(json.dumps({"items": nodes}))
+    rows = {r.name: r for r in mappings.kubernetes(readers.cluster_items(spark, str(tmp_path / "pods.json"), "pods")).collect()}
+    assert rows["p4"].signal_type == "pod_crashloop" and rows["p4"].restarts == 5 and rows["p1"].signal_type == "pod_running"
+    assert readers.cluster_items(spark, str(tmp_path / "pods.json"), "pods", 2).count() == 4
+    assert [r.signal_type for r in mappings.kubernetes(readers.cluster_items(spark, str(tmp_path / "nodes.json"), "nodes")).collect()] == ["node_notready"]
+
+
+def test_run_and_replay(spark, tmp_path):
+    from tamis import cli
+
+    rows = [(k, k, f"2026-01-01T00:00:{k:02d}Z", "pod_restart" if k % 2 else "odd", "info" if k % 3 else "unheard", "s", "m") for k in range(12)]
+    spark.createDataFrame(rows, "signal_id long, seq long, ts string, signal_type string, severity string, source string, message string").write.json(str(tmp_path / "in"))
+    cli.main(["run", str(tmp_path / "in"), str(tmp_path / "out"), "--format", "json"])
+    whole = spark.read.parquet(str(tmp_path / "out/summary")).first()
+    assert whole.total == 12 and whole.remaining == spark.read.parquet(str(tmp_path / "out/survivors")).count()
+    cli.main(["replay", str(tmp_path / "in"), str(tmp_path / "out"), "--format", "json", "--slices", "3"])
+    assert sorted(r.total for r in spark.read.parquet(str(tmp_path / "out/summaries")).collect()) == [4, 4, 4]
