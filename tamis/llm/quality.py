@@ -118,18 +118,26 @@ def expectation_maximisation(pattern: np.ndarray, count: np.ndarray, labellers:
 
 
 def features(run: Run, stats: np.ndarray, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Hashed features of each text of the run: shares of its words' last two bytes, and steps of its statistics."""
+    """Hashed features of each text of the run: shares of its words and of its words' last two bytes, which no labeller
+    sees, and steps of its statistics."""
     mask = U64((1 << bits) - 1)
     last = run.data[run.ends - 1].astype(np.int64) if len(run.ends) else np.empty(0, np.int64)
-    ending = last + 256 * np.where(run.ends - run.starts > 1, run.data[np.maximum(run.ends - 2, 0)].astype(np.int64) if len(run.ends) else last, 0)
-    ending = (mix(ending.astype(U64) + U64(1 << 20)) & mask).astype(np.int64)
+    before = run.data[np.maximum(run.ends - 2, 0)].astype(np.int64) if len(run.ends) else last
+    ending = last + 256 * np.where(run.ends - run.starts > 1, before, 0)
+    ending = mix(ending.astype(U64) + U64(1 << 20)) & mask
+    # words and endings of a text in one sort: a text's features lie together
+    text = run.word_text().astype(U64) << U64(32)
+    keys, count = np.unique(np.concatenate((text | run.hashes & mask, text | ending)), return_counts=True)
+    ids = (keys & U64((1 << 32) - 1)).astype(np.int64)
+    cut = np.searchsorted(keys, np.arange(len(stats) + 1).astype(U64) << U64(32))
+    share = np.sqrt(count / np.maximum(1, np.repeat(2 * np.diff(run.first), np.diff(cut))))
     edges = np.array([0.02, 0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.75, 0.9])
-    for k in range(len(stats)):
-        ids, count = np.unique(ending[run.first[k] : run.first[k + 1]], return_counts=True)
-        step = np.searchsorted(edges, stats[k, 1:], "right")
-        enough = stats[k, 0] >= np.array([x[3] for x in LABELLERS])
-        own = (mix((np.arange(len(step)) * 16 + np.where(enough, step, 15)).astype(U64) + U64(1 << 30)) & mask).astype(np.int64)
-        yield np.concatenate((ids, own)), np.concatenate((np.sqrt(count / max(1, count.sum())), np.ones(len(own)))).astype(np.float32)
+    step = np.searchsorted(edges, stats[:, 1:], "right")
+    step[stats[:, :1] < np.array([x[3] for x in LABELLERS])] = 15
+    own = (mix((np.arange(step.shape[1]) * 16 + step).astype(U64) + U64(1 << 30)) & mask).astype(np.int64)
+    ones = np.ones(own.shape[1])
+    for k, (a, b) in enumerate(zip(cut, cut[1:], strict=False)):
+        yield np.concatenate((ids[a:b], own[k])), np.concatenate((share[a:b], ones)).astype(np.float32)
 
 
 def fit_logistic(rows: list[tuple[np.ndarray, np.ndarray]], target: np.ndarray, size: int, rounds: int = 200, rate: float = 0.1, ridge: float = 1e-4, weight: np.ndarray | None = None) -> tuple[np.ndarray, float]:
@@ -156,7 +164,7 @@ def fit_logistic(rows: list[tuple[np.ndarray, np.ndarray]], target: np.ndarray,
     return out, b
 
 
-def learn(docs: DataFrame, bits: int = 16, sample: int = 8_000) -> tuple[Callable, dict]:
+def learn(docs: DataFrame, bits: int = 18, sample: int = 8_000) -> tuple[Callable, dict]:
     """Scorer (run -> votes' patterns, scores) learned from docs (doc_id, text), and what EM estimated.
 
     Patterns of all documents are counted. The scorer learns from about `sample` documents, those with the least hashes of
@@ -200,7 +208,7 @@ def learn(docs: DataFrame, bits: int = 16, sample: int = 8_000) -> tuple[Callabl
     return score, {"prior": prior, "accuracy": accuracy, "posterior": post}
 
 
-def score_documents(docs: DataFrame, threshold: float = 0.5, bits: int = 16, sample: int = 8_000) -> DataFrame:
+def score_documents(docs: DataFrame, threshold: float = 0.5, bits: int = 18, sample: int = 8_000) -> DataFrame:
     """All columns of docs (doc_id, text and others), with quality_score (0 to 1), weak_label (the posterior of its votes)
     and keep (score at least `threshold`).
 
