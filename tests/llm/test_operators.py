@@ -587,6 +587,39 @@ def test_mixing_meets_targets(docs, empty):
     assert mixing.fair_queue(empty).count() == 0
 
 
+def test_the_queue_is_cut_where_its_own_order_says(spark):
+    """Against serving word by word, by a plain loop over the queue's events."""
+    rng = np.random.default_rng(11)
+    rows = [(k, "w " * int(rng.integers(0, 60)), f"s{int(rng.integers(0, 5)) if k % 2 else 0}") for k in range(300)]
+    rows += [(1000 + k, "w " * (900 if k == 0 else 2), "tiny") for k in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    got = {r.doc_id: r for r in mixing.fair_queue(df, slice_rows=20).collect()}
+    lines, sizes = defaultdict(list), Counter()
+    for i, t, s in rows:
+        lines[s].append((hashlib.md5(f"mix:{i}".encode()).hexdigest(), i, len(t.split())))
+        sizes[s] += len(t.split())
+    weight = {s: (3, 1, 2)[k % 3] for k, s in enumerate(sorted(lines))}
+    queue = []
+    for s, line in lines.items():
+        at = 0
+        for k in range(2):
+            for _, i, n in sorted(line):
+                queue.append(((at + n) / weight[s], at, n, s, i, k))
+                at += n
+    left, taken = 1.5 * sum(sizes.values()), Counter()
+    events = sorted({x[0] for x in queue})
+    for before, now in zip([0.0, *events], events, strict=False):
+        alive = sum(w for s, w in weight.items() if 2 * sizes[s] / w > before + 1e-9)
+        if alive * (now - before) >= left:
+            end = before + left / alive
+            break
+        left -= alive * (now - before)
+    for _, at, n, s, i, _ in queue:
+        taken[i] += max(0, min(n, int(end * weight[s] + 1e-6) - at))
+    assert {i: r.taken for i, r in got.items()} == {i: taken[i] for i, *_ in rows}
+    assert all(abs(r.target - min(end * weight[r.source], 2 * sizes[r.source])) < 1e-6 for r in got.values())
+
+
 def test_mixed_documents_hold_the_words_taken(docs):
     taken = mixing.fair_queue(docs).where("doc_id is not null").agg(F.sum("taken")).first()[0]
     mixed = mixing.documents_mix(docs).where("doc_id is not null").collect()

@@ -96,3 +96,112 @@ def test_near_duplicates_of_repeated_and_null_ids(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     got = corpus_pipeline.near_duplicates_stage(spark, docs, "").collect()
     assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, [(3, a), (7, b), (2, c), (None, d), (None, "alone in this"), (8, None), (8, None)]))
+
+
+ODD = "doc_id long, text string, lang string, source string, n_chars long, _row long, rep string, keep int, size string, component_id long"
+
+
+def odd_documents(spark):
+    """Nulls, blanks, a very long text, ties, repeated rows, and columns with names that operators use."""
+    prose = ". ".join(" ".join(f"word{k}x{i}" for i in range(9)).capitalize() for k in range(12)) + "."
+    texts = [None, "", " \n ", "Short but fine.", prose, prose, prose + " More of it.", "mail me@here.org or call +1 (555) 555-1234 please.", "x" * 200_000, "long words here " * 30_000, "%%% ### " * 50]
+    rows = [(k, t, None if k % 3 else "en", None if k % 4 == 0 else f"s{k % 2}", None, 1, "r", 0, "big", 5) for k, t in enumerate(texts)]
+    rows += [rows[3], rows[3], (None, "no id at all.", None, None, 13, 1, "r", 0, "big", 5), (None, None, None, None, None, None, None, None, None, None)]
+    return spark.createDataFrame(rows, ODD).repartition(3)
+
+
+def test_stages_on_odd_documents(spark):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    from tamis.llm.common import materialize
+
+    for docs in (odd_documents(spark), odd_documents(spark).limit(0)):
+        columns, many = docs.columns, docs.count()
+        for name, stage in corpus_pipeline.STAGES:
+            before = docs.collect()
+            docs = materialize(stage(spark, docs, ""), f"odd-{name}")
+            rows = docs.collect()
+            if name != "packing":
+                assert docs.columns == columns
+            if name == "quality":
+                assert not many or {3, 4, 7} <= {r.doc_id for r in rows} and sum(r.doc_id == 3 for r in rows) == 3
+                assert set(map(repr, rows)) <= set(map(repr, before))
+            if name == "near-duplicates":
+                ids = [r.doc_id for r in rows]
+                assert not many or ids.count(3) == 1 and ids.count(4) == 1 and 5 not in ids and 6 not in ids
+                assert sum(not (r.text or "").split() for r in rows) == sum(not (r.text or "").split() for r in before)
+            if name == "pii":
+                assert len(rows) == len(before) and not any("here.org" in (r.text or "") for r in rows)
+            if name == "mixing":
+                assert all((r.text or "").split() for r in rows) and (not many or rows)
+            if name == "packing":
+                assert sum(r.length for r in rows if r.start == 0) and all(r.length > 0 for r in rows) or not many
+            if not many:
+                assert not rows
+
+
+def test_classifiers_on_odd_documents(spark):
+    from tamis.llm import quality, toxicity
+
+    docs = odd_documents(spark)
+    scored = quality.score_documents(docs).collect()
+    assert len(scored) == docs.count() and all(0 <= r.quality_score <= 1 for r in scored)
+    assert len({r.quality_score for r in scored if r.doc_id == 3}) == 1 and len({r.quality_score for r in scored if not (r.text or "").split()}) == 1
+    labels = spark.createDataFrame([(k, k % 2) for k in range(11)] + [(3, 1), (3, None), (None, 1)], "doc_id long, toxic int")
+    made = toxicity.score_documents(docs, labels, tasks=2).collect()
+    assert len(made) == docs.count() and all(0 <= r.score <= 1 for r in made)
+    assert len({r.score for r in made if r.doc_id == 3}) == 1
+    again = {(r.doc_id, r.score) for r in toxicity.score_documents(docs.repartition(5), labels, tasks=2).collect()}
+    assert again == {(r.doc_id, r.score) for r in made}
+
+
+def test_posteriors_are_those_of_a_plain_loop():
+    """Expectation-maximisation over counted patterns against one over documents, vote by vote."""
+    import numpy as np
+    from tamis.llm import quality
+
+    rng = np.random.default_rng(2)
+    truth = rng.random(1500) < 0.7
+    votes = np.stack([np.where(rng.random(1500) < 0.3, -1, np.where(rng.random(1500) < a, truth, ~truth)) for a in (0.9, 0.8, 0.7, 0.85)], 1)
+    pattern, count = np.unique(quality.patterns(votes), return_counts=True)
+    post, rates, prior = quality.expectation_maximisation(pattern, count.astype(float), 4, rounds=40)
+    own = []
+    for v in votes.tolist():
+        bad, good = v.count(0), v.count(1)
+        own.append(0.95 if not bad else 0.05 if bad >= 2 else (good + 1) / (good + 10))
+    for _ in range(40):
+        table = [[[0.5, 0.4, 0.1] for _ in range(4)], [[0.5, 0.1, 0.4] for _ in range(4)]]
+        for p, v in zip(own, votes.tolist(), strict=True):
+            for k, x in enumerate(v):
+                table[0][k][x + 1] += 1 - p
+                table[1][k][x + 1] += p
+        table = [[[x / sum(row) for x in row] for row in side] for side in table]
+        share = (sum(own) + 1) / (len(own) + 2)
+        new = []
+        for v in votes.tolist():
+            lift = np.log(share / (1 - share)) + sum(np.log(table[1][k][x + 1] / table[0][k][x + 1]) for k, x in enumerate(v) if x >= 0)
+            new.append(1 / (1 + np.exp(-lift)))
+        if max(abs(a - b) for a, b in zip(own, new, strict=True)) < 1e-9:
+            break
+        own = new
+    assert all(abs(post[p] - q) < 1e-6 for p, q in zip(quality.patterns(votes).tolist(), own, strict=True))
+    assert abs(prior - share) < 1e-6
+
+
+def test_ratios_are_log_count_ratios(spark):
+    """Where the labels' n-grams don't meet, a weight has the sign of its log-count ratio, recomputed by hand."""
+    import numpy as np
+    from tamis.llm import toxicity
+
+    rows = [(f"clean words {k % 7}", 0) for k in range(40)] + [(f"nasty grobnik {k % 7}", 1) for k in range(40)]
+    model = toxicity.learn(spark.createDataFrame(rows, "text string, toxic int"), tasks=2)
+    counts = {0: defaultdict(int), 1: defaultdict(int)}
+    for text, y in rows:
+        found = {int(g) for grams, _ in toxicity.ngrams([text], model.sizes, model.bits) for g in grams}
+        for g in found:
+            counts[y][g] += 1
+    sizes = {y: sum(c.values()) + (1 << model.bits) for y, c in counts.items()}
+    for g in np.flatnonzero(model.weights).tolist():
+        ratio = np.log((counts[1][g] + 1) / sizes[1]) - np.log((counts[0][g] + 1) / sizes[0])
+        assert np.sign(model.weights[g]) == np.sign(ratio) or abs(model.weights[g]) < 1e-3
+    scores = toxicity.scores(["nasty grobnik", "clean words", ""], model)
+    assert scores[0] > 0.9 and scores[1] < 0.1 and np.count_nonzero(model.weights) > 10
