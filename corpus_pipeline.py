@@ -1,6 +1,10 @@
 """From raw documents to packed sequences: quality, near-duplicates, personal data, mixing, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, written as Parquet and read again as the next one's docs.
+
+All stages but the last return the columns of docs, in their order, whatever further columns there are and however they are
+named. Null and empty texts are documents like others (good, alone, without personal data, of no words, of one id), null
+sources are one source, null and repeated ids are rows like others, and an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -13,14 +17,15 @@ from tamis.llm.common import bounded_batches, materialize
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier rejects go."""
+    """Documents that the quality classifier rejects go. A text without votes, so a null or empty one too, gets the score of
+    such texts and stays where most are good; copies score alike."""
     bounded_batches(spark)
     return quality.score_documents(docs).where("keep").select(*docs.columns)
 
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near-duplicates stays, the first one by doc_id (null last). Rows go by keys of their own, so
-    repeated and null ids are rows like others."""
+    repeated and null ids are rows like others. Null and empty texts are near to nothing and stay."""
     bounded_batches(spark)
     keyed = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
     found = minhash.near_duplicates(keyed.select(F.col("_row").alias("doc_id"), "text"), words=5, percent=80)
@@ -33,18 +38,20 @@ def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data in texts is replaced by its kind."""
+    """Personal data in texts is replaced by its kind, and n_chars is the new text's. Rows stay; null texts stay null."""
     bounded_batches(spark)
     return pii.find(docs, redact=True).select(*docs.columns)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources in target weights; a document may come twice, or be cut where the budget ends."""
+    """Sources in target weights; a document may come twice, or be cut where the budget ends. Documents without words give
+    nothing to a budget of words and aren't served."""
+    bounded_batches(spark)
     return mixing.documents_mix(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of token sequences."""
+    """Pieces of token sequences; a text without tokens has the id that ends a document."""
     bounded_batches(spark)
     return packing.pack_documents(docs.select("doc_id", "text"))
 
