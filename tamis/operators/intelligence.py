@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tamis.operators.tables import written
 from tamis.sources.adapters import severity_rank
 
 
@@ -18,11 +19,11 @@ def sessions(rows: DataFrame, gap_us: int, slice_us: int = 86_400_000_000, time:
     bounds = sliced.groupBy("_slice").agg(F.max(time).alias("_last"))
     bounds = bounds.select("_slice", F.lag("_last").over(Window.orderBy("_slice")).alias("_before"))
     w = Window.partitionBy("_slice").orderBy(time, tie)
-    found = sliced.join(F.broadcast(bounds), "_slice").withColumn("_new", F.coalesce(F.col(time) - F.coalesce(F.lag(time).over(w), F.col("_before")) > gap_us, F.lit(False)).cast("long"))
+    found = sliced.join(bounds, "_slice").withColumn("_new", F.coalesce(F.col(time) - F.coalesce(F.lag(time).over(w), F.col("_before")) > gap_us, F.lit(False)).cast("long"))
     found = found.withColumn("_n", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     offsets = found.groupBy("_slice").agg(F.sum("_new").alias("_gaps"))
     offsets = offsets.select("_slice", F.coalesce(F.sum("_gaps").over(Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_offset"))
-    return found.join(F.broadcast(offsets), "_slice").withColumn("session", F.col("_n") + F.col("_offset")).drop("_slice", "_before", "_new", "_n", "_offset")
+    return found.join(offsets, "_slice").withColumn("session", F.col("_n") + F.col("_offset")).drop("_slice", "_before", "_new", "_n", "_offset")
 
 
 def session_table(clustered: DataFrame) -> DataFrame:
@@ -42,10 +43,10 @@ def propose_rules(clustered: DataFrame, edges: DataFrame, least: int = 5, suppor
     """Cause and effect for pairs of types that often share a session and have no rule yet (edges: cause, effect)."""
     counts = clustered.select("session", "signal_type").distinct().groupBy("signal_type").agg(F.count("*").alias("n"))
     pairs = pair_counts(clustered).where(F.col("together") >= least)
-    pairs = pairs.join(F.broadcast(counts.select(F.col("signal_type").alias("a"), F.col("n").alias("na"))), "a").join(F.broadcast(counts.select(F.col("signal_type").alias("b"), F.col("n").alias("nb"))), "b")
+    pairs = pairs.join(counts.select(F.col("signal_type").alias("a"), F.col("n").alias("na")), "a").join(counts.select(F.col("signal_type").alias("b"), F.col("n").alias("nb")), "b")
     pairs = pairs.withColumn("support", F.col("together") / F.least("na", "nb")).where(F.col("support") >= support)
     known = edges.select(F.least("cause", "effect").alias("a"), F.greatest("cause", "effect").alias("b")).distinct()
-    new = pairs.join(F.broadcast(known), ["a", "b"], "left_anti")
+    new = pairs.join(known, ["a", "b"], "left_anti")
     forward = F.col("a_first") >= F.col("b_first")
     return new.select(F.when(forward, F.col("a")).otherwise(F.col("b")).alias("cause"), F.when(forward, F.col("b")).otherwise(F.col("a")).alias("effect"), "together", F.round("support", 3).alias("support"), F.round(F.greatest("a_first", "b_first") / F.greatest(F.lit(1), F.col("a_first") + F.col("b_first")), 3).alias("confidence"))
 
@@ -53,29 +54,32 @@ def propose_rules(clustered: DataFrame, edges: DataFrame, least: int = 5, suppor
 def causal_links(memories: DataFrame, edges: DataFrame) -> DataFrame:
     """A row for each memory and effect of its type that has memories too."""
     present = memories.select(F.col("signal_type").alias("effect")).distinct()
-    reachable = edges.join(F.broadcast(present), "effect", "left_semi")
-    return memories.select("memory_id", F.col("signal_type").alias("cause")).join(F.broadcast(reachable), "cause")
+    reachable = edges.join(present, "effect", "left_semi")
+    return memories.select("memory_id", F.col("signal_type").alias("cause")).join(reachable, "cause")
 
 
 def closure(edges: DataFrame) -> DataFrame:
-    """All (start, reached) over edges (cause, effect), by joining until nothing new is reached. A start is reached from
-    itself only through a cycle. Rule graphs have some hundred edges, so lineage is short and joins are broadcast."""
-    found = edges.select(F.col("cause").alias("start"), F.col("effect").alias("reached")).distinct()
+    """All (start, reached) over edges (cause, effect). A start is reached from itself only through a cycle.
+
+    What is reached is joined with itself until nothing new comes, so rounds grow with the logarithm of the longest chain;
+    each round is written.
+    """
+    found = written(edges.select(F.col("cause").alias("start"), F.col("effect").alias("reached")).distinct(), "reached")
     n = found.count()
     while True:
-        step = found.join(F.broadcast(edges.select(F.col("cause").alias("reached"), F.col("effect").alias("next"))), "reached").select("start", F.col("next").alias("reached"))
-        found = found.unionByName(step).distinct()
+        further = found.select(F.col("start").alias("reached"), F.col("reached").alias("next"))
+        step = found.join(further, "reached").select("start", F.col("next").alias("reached"))
+        found = written(found.unionByName(step).distinct(), "reached")
         before, n = n, found.count()
         if n == before:
-            break
-    return found
+            return found
 
 
 def missing_causes(memories: DataFrame, edges: DataFrame) -> DataFrame:
     """Effects with memories whose cause has none."""
     present = memories.select("signal_type").distinct()
-    seen = edges.join(F.broadcast(present.select(F.col("signal_type").alias("effect"))), "effect", "left_semi")
-    return seen.join(F.broadcast(present.select(F.col("signal_type").alias("cause"))), "cause", "left_anti").select("cause", "effect")
+    seen = edges.join(present.select(F.col("signal_type").alias("effect")), "effect", "left_semi")
+    return seen.join(present.select(F.col("signal_type").alias("cause")), "cause", "left_anti").select("cause", "effect")
 
 
 def cross_domain(memories: DataFrame, a: Column, b: Column) -> DataFrame:

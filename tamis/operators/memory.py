@@ -60,9 +60,9 @@ def form(signals: DataFrame, normalized: list[str], kept: list[str] = ()) -> Dat
 
 
 def decay(memories: DataFrame, rates: DataFrame, hours: Column, default: float = 0.01) -> DataFrame:
-    """strength * exp(-rate * hours) with each type's rate (rates: signal_type, rate; few, broadcast)."""
+    """strength * exp(-rate * hours) with each type's rate (rates: signal_type, rate)."""
     rate = F.coalesce("rate", F.lit(default))
-    return memories.join(F.broadcast(rates), "signal_type", "left").withColumn("strength", F.greatest(F.col("strength") * F.exp(-rate * hours), F.lit(0.0))).drop("rate")
+    return memories.join(rates, "signal_type", "left").withColumn("strength", F.greatest(F.col("strength") * F.exp(-rate * hours), F.lit(0.0))).drop("rate")
 
 
 def evict(memories: DataFrame, capacity: int, fraction: float = 0.1) -> tuple[DataFrame, DataFrame]:

@@ -77,10 +77,10 @@ def rubric_matrix(agents: DataFrame) -> DataFrame:
 
 def evaluate_rules(readings: DataFrame, rules: DataFrame) -> DataFrame:
     """readings (signal_id, field, value as text) against rules (name, field, op, operand as text): flagged. Both as numbers
-    if both are, else as text; a missing value is no match. Rules are few and broadcast."""
+    if both are, else as text; a missing value is no match. Spark broadcasts rules by their size."""
     a, b = F.expr("try_cast(value as double)"), F.expr("try_cast(operand as double)")
     numbers = a.isNotNull() & b.isNotNull()
-    joined = readings.join(F.broadcast(rules), "field")
+    joined = readings.join(rules, "field")
     flagged = F
     for op, test in {"gt": lambda x, y: x > y, "lt": lambda x, y: x < y, "gte": lambda x, y: x >= y, "lte": lambda x, y: x <= y, "eq": lambda x, y: x == y, "ne": lambda x, y: x != y}.items():
         flagged = flagged.when(F.col("op") == op, F.when(numbers, test(a, b)).otherwise(test(F.col("value"), F.col("operand"))))
@@ -91,7 +91,7 @@ def evaluate_rules(readings: DataFrame, rules: DataFrame) -> DataFrame:
 def abnormal(readings: DataFrame, baseline: DataFrame) -> DataFrame:
     """signal_id and abnormal: whether any reading lies outside its type's range (baseline: signal_type, field, low, high)."""
     value = F.expr("try_cast(value as double)")
-    joined = readings.join(F.broadcast(baseline), ["signal_type", "field"], "left")
+    joined = readings.join(baseline, ["signal_type", "field"], "left")
     return joined.groupBy("signal_id").agg(F.coalesce(F.bool_or((value < F.col("low")) | (value > F.col("high"))), F.lit(False)).alias("abnormal"))
 
 

@@ -5,9 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Up to so many query rows are sent to every task; more are joined in blocks by Spark.
-BROADCAST_QUERIES = 20_000
-
 
 def jaccard(a: Column, b: Column) -> Column:
     """Of two arrays of distinct elements; 0 if either is empty or null."""
@@ -31,10 +28,18 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(size > 0, dot(a, b) / size).otherwise(0.0)
 
 
-def every_pair(rows: DataFrame, queries: DataFrame) -> DataFrame:
-    """Each query with each row: queries are broadcast if they are few by count, else both sides are dealt in blocks."""
-    few = queries.limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES
-    return rows.crossJoin(F.broadcast(queries) if few else queries)
+def every_pair(rows: DataFrame, queries: DataFrame, block_bytes: int = 32 << 20) -> DataFrame:
+    """Each query with each row. Queries are broadcast where they are small, by their size as JSON; else both sides are
+    dealt to blocks and each pair of blocks is joined, so neither has to fit in a task."""
+    size = queries.agg(F.sum(F.length(F.to_json(F.struct(*queries.columns))))).first()[0] or 0
+    if size <= block_bytes:
+        return rows.crossJoin(F.broadcast(queries))
+    n, m = -(-size // block_bytes), int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    part = lambda df, k: F.pmod(F.xxhash64(*df.columns), F.lit(k))
+    each = lambda k: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(k - 1).cast("long")))
+    left = rows.withColumn("_m", part(rows, m)).withColumn("_n", each(n))
+    right = queries.withColumn("_n", part(queries, n)).withColumn("_m", each(m))
+    return left.join(right, ["_n", "_m"]).drop("_n", "_m")
 
 
 def top(scored: DataFrame, by: str, score: str, tie: str, k: int) -> DataFrame:

@@ -44,7 +44,7 @@ def route(requests: DataFrame, excluded: tuple[str, ...] = ()) -> DataFrame:
     made = requests.withColumn("lane", lane(F.col("task_type"))).withColumn("tier", F.when(F.col("severity").isin("critical", "high"), "macro").otherwise("micro")).withColumn("max_tokens", _choose(F.col("lane"), LANE_TOKENS, 100))
     counts = made.groupBy("lane", "slice").agg(F.count("*").alias("_n"))
     before = counts.select("lane", "slice", F.coalesce(F.sum("_n").over(Window.partitionBy("lane").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    placed = made.withColumn("_r", F.row_number().over(Window.partitionBy("lane", "slice").orderBy("seq"))).join(F.broadcast(before), ["lane", "slice"])
+    placed = made.withColumn("_r", F.row_number().over(Window.partitionBy("lane", "slice").orderBy("seq"))).join(before, ["lane", "slice"])
     models = F
     for name, candidates in LANE_MODELS.items():
         left = [m for m in candidates if m not in excluded]
@@ -83,10 +83,10 @@ def fingerprint(observations: DataFrame, dims: list[str], decay: float = 0.95, w
 
 def classify_workload(observed: DataFrame, profiles: DataFrame, boosted: DataFrame) -> DataFrame:
     """Cosine of a fingerprint to each profile (workload, dim, key, weight); workloads in boosted get 0.1 more, 1 at most."""
-    both = profiles.join(F.broadcast(observed.select("dim", "key", F.col("weight").alias("o"))), ["dim", "key"], "left")
+    both = profiles.join(observed.select("dim", "key", F.col("weight").alias("o")), ["dim", "key"], "left")
     sums = both.groupBy("workload").agg(F.sum(F.col("weight") * F.coalesce("o", F.lit(0.0))).alias("d"), F.sum(F.col("weight") * F.col("weight")).alias("p"))
     size = observed.agg(F.sum(F.col("weight") * F.col("weight")).alias("q"))
-    made = sums.crossJoin(F.broadcast(size)).join(F.broadcast(boosted.select("workload", F.lit(0.1).alias("boost"))), "workload", "left")
+    made = sums.crossJoin(F.broadcast(size)).join(boosted.select("workload", F.lit(0.1).alias("boost")), "workload", "left")
     cos = F.when((F.col("p") > 0) & (F.col("q") > 0), F.col("d") / F.sqrt(F.col("p") * F.col("q"))).otherwise(0.0)
     return made.select("workload", F.round(F.least(F.lit(1.0), cos + F.coalesce("boost", F.lit(0.0))), 4).alias("similarity"))
 
@@ -103,7 +103,7 @@ def lookup(wanted: DataFrame, entries: DataFrame, excluded: tuple[str, ...] = ()
     """The first model that isn't excluded for (industry, task), else for (default, task). entries: industry, task, models."""
     own = wanted.join(entries, ["industry", "task"], "left")
     basic = entries.where(F.col("industry") == default).select("task", F.col("models").alias("basic_models"))
-    both = own.join(F.broadcast(basic), "task", "left").withColumn("m", F.coalesce("models", "basic_models"))
+    both = own.join(basic, "task", "left").withColumn("m", F.coalesce("models", "basic_models"))
     return both.select("industry", "task", F.expr("try_element_at(filter(m, x -> not array_contains(array(%s), x)), 1)" % ", ".join(f"'{x}'" for x in (*excluded, ""))).alias("model"))
 
 

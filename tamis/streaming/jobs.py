@@ -6,7 +6,6 @@ trigger for a service. Tables and checkpoints lie in the folder that spark.check
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -16,25 +15,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tamis.operators import memory
+from tamis.operators.tables import shared_folder
 from tamis.sources.adapters import EVENT_COLUMNS, K, content_text
 
 
-_unset: dict[str, str] = {}  # folders of applications that name none
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only in local mode, where it is unset."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        if spark.sparkContext.master.split("[")[0] != "local":
-            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
-        app = spark.sparkContext.applicationId
-        if app not in _unset:
-            _unset[app] = f"file://{tempfile.mkdtemp(prefix='tamis-')}"
-        named = _unset[app]
-    return named.rstrip("/")
-
-
 def signals(spark: SparkSession, path: str, files: int = 64) -> DataFrame:
     """The events at a path (a folder or one file) as a stream of signals; at most so many files a batch."""
     schema = spark.read.parquet(path).schema

@@ -186,3 +186,60 @@ def test_finance_rules(spark):
     rows = mappings.finance(df).withColumn("message", mappings.finance_message()).collect()
     assert [(r.signal_type, r.severity) for r in rows] == [("wire_international_first", "high"), ("cash_deposit_sub_10k", "medium"), ("recurring_charge", "medium"), ("card_standard", "info")]
     assert rows[2].message == "$1,234.50 at m (card) in X [first-time merchant, recurring, velocity=3/hr]"
+
+
+def test_long_chains_are_closed(spark):
+    from tamis.operators import intelligence
+
+    edges = spark.createDataFrame([(f"n{k}", f"n{k + 1}") for k in range(70)], "cause string, effect string")
+    assert intelligence.closure(edges).count() == 71 * 70 // 2
+
+
+def test_queries_that_are_not_small_meet_rows_in_blocks(spark):
+    from tamis.operators import recall
+
+    rows = spark.range(40).select(F.col("id").alias("row_id"))
+    queries = spark.range(30).select(F.col("id").alias("query_id"))
+    made = recall.every_pair(rows, queries, block_bytes=100)
+    assert "Cartesian" not in made._jdf.queryExecution().toString() and made.distinct().count() == made.count() == 1200
+
+
+def test_first_rows_and_places(spark):
+    from tamis.operators import places
+
+    values = [(k, (k * 37) % 101, "ab"[k % 2]) for k in range(101)]
+    df = spark.createDataFrame(values, "id long, v long, g string")
+    for n in (0, 1, 50, 101, 500):
+        assert sorted(r.v for r in places.lowest(df, n, F.floor(F.col("v") / 10), "v").collect()) == sorted(v for _, v, _ in values)[:n]
+    got = {r.g: (r.n, r.first, r.middle, r.last) for r in places.values_at(df, ["g"], "v", {"first": F.lit(0), "middle": F.floor(F.col("n") / 2), "last": F.col("n") - 1}).collect()}
+    for g in "ab":
+        own = sorted(v for _, v, x in values if x == g)
+        assert got[g] == (len(own), own[0], own[len(own) // 2], own[-1])
+    same = spark.createDataFrame([("x", 5.0)] * 9, "g string, v double")
+    assert places.values_at(same, ["g"], "v", {"m": F.floor(F.col("n") / 2)}).first().m == 5.0
+
+
+def test_folds_stream_keys_in_order(spark):
+    from tamis.operators.folds import fold
+
+    df = spark.createDataFrame([(k, "ab"[k % 2] if k % 5 else None, 100 - k) for k in range(50)], "id long, k string, at long").repartition(4)
+    rows = fold(df, "k", ["at"], lambda: 0, lambda s, r: (s + r["id"], (s,)), "before long").collect()
+    for key in (None, "a", "b"):
+        own, total = sorted((r for r in rows if r.k == key), key=lambda r: r.at), 0
+        for r in own:
+            assert r.before == total
+            total += r.id
+    assert len(rows) == 50 and fold(df.limit(0), "k", ["at"], lambda: 0, lambda s, r: (s, (s,)), "x long").count() == 0
+
+
+def test_stream_memory_starts_again_where_it_stopped(spark, tmp_path):
+    from tamis.streaming import jobs
+
+    source = tmp_path / "events"
+    part = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    part.where("event_id % 2 = 0").coalesce(1).write.parquet(str(source))
+    run = lambda: jobs.remember(jobs.signals(spark, str(source)), ["message"], ["source"], str(tmp_path / "memories"))
+    half = run().agg(F.sum("occurrences")).first()[0]
+    part.where("event_id % 2 = 1").coalesce(1).write.mode("append").parquet(str(source))
+    assert (half, run().agg(F.sum("occurrences")).first()[0]) == (part.where("event_id % 2 = 0").count(), part.count())
+    assert run().agg(F.sum("occurrences")).first()[0] == part.count()
