@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -29,9 +30,12 @@ _unset: dict[str, str] = {}  # folders of applications that name none
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only where it is unset."""
+    """The folder that the cluster names in spark.checkpoint.dir. Where it is unset, a temporary one, but only in local
+    mode: elsewhere each machine would write to a folder of its own and reads would find less than was written."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         app = spark.sparkContext.applicationId
         if app not in _unset:
             _unset[app] = f"file://{tempfile.mkdtemp(prefix='tamis-')}"
@@ -39,9 +43,11 @@ def shared_folder(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
-def bounded_batches(spark: SparkSession, rows: int = 1_000) -> None:
-    """Rows that go to a Python worker at a time: texts can be long, and a worker holds a batch as it comes and as it goes."""
+def bounded_batches(spark: SparkSession, rows: int = 1_000, size: int = 16 << 20) -> None:
+    """Rows and bytes that go to a Python worker at a time: texts can be long, and a worker holds a batch as it comes and as
+    it goes. A row larger than that goes alone. Settings of the session, as plans read them when they run."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -172,13 +178,15 @@ def _words(part: np.ndarray, own: np.ndarray, lo: int, hi: int) -> Run:
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """(node, component) for every node of the edges (a, b); component is the smallest node reachable.
 
-    Alternates large and small stars (Kiveris et al., 2014), each a grouped minimum and a join, written between rounds.
+    Alternates large and small stars (Kiveris et al., 2014), each a grouped minimum and a join, written between rounds,
+    until a round changes nothing; rounds grow with the logarithm of the longest chain.
     """
     now = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
     before = None
-    for step in range(64):
+    for step in count():
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        least = materialize(least, f"{name}-least{step}")  # a join of plain tables is one whose hot nodes Spark splits
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         small_least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(small_least, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e")).select("e.*").where("a <> b").distinct()

@@ -77,8 +77,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, recall: float = 0.
     heads = heads.join(F.broadcast(sizes) if few else sizes, "_label").select("rep", "copies", "_size", "_label", "v")
     heads = materialize(heads.mapInArrow(_hashed(threshold, window, recall, bits, seed), "rep long, copies long, space string, v binary, hashes array<binary>"), "hashes")
 
-    keyed = heads.select("rep", "space", "v", F.posexplode("hashes").alias("pass", "hash"))
-    found = _window_pairs(keyed, threshold, window, segment)
+    found = _window_pairs(heads, threshold, window, segment)
     families = materialize(components(materialize(found, "pairs").distinct(), "vectors").select(F.col("node").alias("rep"), "component"), "families")
 
     # all links of a family, in blocks
@@ -122,20 +121,28 @@ def _hashed(threshold: float, window: int, recall: float, bits: int, seed: int):
     return run
 
 
-def _window_pairs(keyed: DataFrame, threshold: float, window: int, segment: int) -> DataFrame:
+def _window_pairs(heads: DataFrame, threshold: float, window: int, segment: int, slice_rows: int = 100_000) -> DataFrame:
     """Pairs (a, b) that join all that verified pairs join: those among each vector's `window` successors in its pass's order.
 
-    A pass's order is cut into segments of bounded size by ranks within slices of the leading hash bits; each segment's last
-    vectors also go to the next one.
+    The orders of all passes are range-sorted into slices by hash and id, which bounds a slice by its rows whatever the
+    hashes are; ranks in a slice and the counts of the slices before it give a place. Places are cut into segments of
+    bounded size, and each segment's last vectors also go to the next one. Vectors join once they have a segment.
     """
-    slices = keyed.withColumn("slice", F.substring("hash", 1, 1))
+    keyed = heads.select("rep", "space", F.posexplode("hashes").alias("pass", "hash"))
+    number = int(heads.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = max(number, -(-keyed.count() // slice_rows))
+    slices = keyed.repartitionByRange(n, "space", "pass", "hash", "rep").withColumn("slice", F.spark_partition_id())
+    slices = materialize(slices, "order")
     order = Window.partitionBy("space", "pass", "slice").orderBy("hash", "rep")
     counts = slices.groupBy("space", "pass", "slice").agg(F.count("*").alias("n"))
-    starts = counts.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy("space", "pass").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
-    ranked = slices.withColumn("r", F.row_number().over(order)).join(starts, ["space", "pass", "slice"]).withColumn("r", F.col("r") + F.col("before") - 1)
+    earlier = Window.partitionBy("space", "pass").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0))).drop("n")
+    ranked = slices.withColumn("r", F.row_number().over(order)).join(starts, ["space", "pass", "slice"])
+    ranked = ranked.withColumn("r", F.col("r") + F.col("before") - 1)
     own = F.floor(F.col("r") / segment)
     into = F.when(F.col("r") % segment >= segment - window, F.array(own, own + 1)).otherwise(F.array(own))
-    dealt = ranked.select("space", "pass", "r", "rep", "v", F.explode(into).alias("segment"))
+    placed = ranked.select("space", "pass", "r", "rep", F.explode(into).alias("segment"))
+    dealt = placed.join(heads.select("rep", "space", "v"), ["rep", "space"])
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("r")
