@@ -143,7 +143,8 @@ def near_duplicates(
     # only sets of several documents have a class to look up
     heads = signed.where(sound).groupBy(*alike).agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("top"))
     heads = materialize(heads.where("rep <> top").drop("top"), "heads")
-    heads = heads.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    # sorted, not broadcast: Spark would go by the table's size before its rows are repeated
+    heads = heads.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).hint("merge")
     salted = signed.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int"))
     members = salted.join(heads, [*alike, "salt"], "left")
     members = members.withColumn("rep", F.when(sound, F.coalesce("rep", "doc_id")).otherwise(F.col("doc_id")))
