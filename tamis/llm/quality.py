@@ -32,6 +32,8 @@ LABELLERS = (
     ("one_word", 0.12, 0.25, 20),
 )
 NAMES = [x[0] for x in LABELLERS]
+#: Least share of good documents that is assumed.
+LEAST_GOOD = 0.6
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 _PUNCTUATION = ~_LETTER & (np.arange(256) > 0x20)
@@ -96,7 +98,8 @@ def patterns(vote: np.ndarray) -> np.ndarray:
 
 def expectation_maximisation(pattern: np.ndarray, count: np.ndarray, labellers: int = len(LABELLERS), rounds: int = 100) -> tuple[dict[int, float], np.ndarray, float]:
     """Posterior that a pattern is good; how often each labeller votes (none, bad, good) on bad and on good documents; the
-    share of good ones. Starts from the share of good votes, a little in favour of good."""
+    share of good ones. Starts from the share of good votes, a little in favour of good. The share of good ones is taken as
+    LEAST_GOOD at least, so that a document that no labeller votes on isn't rejected for what others are."""
     vote = (pattern[:, None] // 3 ** np.arange(labellers)) % 3
     one = np.eye(3)[vote]  # pattern, labeller, vote
     bad, good = (vote == 1).sum(1), (vote == 2).sum(1)
@@ -106,7 +109,7 @@ def expectation_maximisation(pattern: np.ndarray, count: np.ndarray, labellers:
         for y, weight in enumerate(((1 - post) * count, post * count)):
             made = np.einsum("p,plv->lv", weight, one) + np.array([[0.5, 0.4, 0.1], [0.5, 0.1, 0.4]])[y]
             rates[y] = made / made.sum(1, keepdims=True)
-        prior = float(np.clip((post @ count + 1) / (count.sum() + 2), 0.01, 0.99))
+        prior = float(np.clip((post @ count + 1) / (count.sum() + 2), LEAST_GOOD, 0.99))
         # a labeller that doesn't vote says nothing
         say = np.where(np.arange(3) == 0, 0.0, np.log(rates))
         lift = np.einsum("plv,lv->p", one, say[1] - say[0]) + np.log(prior / (1 - prior))

@@ -106,6 +106,8 @@ def odd_documents(spark):
     prose = ". ".join(" ".join(f"word{k}x{i}" for i in range(9)).capitalize() for k in range(12)) + "."
     texts = [None, "", " \n ", "Short but fine.", prose, prose, prose + " More of it.", "mail me@here.org or call +1 (555) 555-1234 please.", "x" * 200_000, "long words here " * 30_000, "%%% ### " * 50]
     rows = [(k, t, None if k % 3 else "en", None if k % 4 == 0 else f"s{k % 2}", None, 1, "r", 0, "big", 5) for k, t in enumerate(texts)]
+    plain = lambda k: ". ".join(" ".join(f"{'aeiou'[i % 5]}l{'bcdfg'[k % 5]}on{k}n{i}{j}" for i in range(7)).capitalize() for j in range(6)) + "."
+    rows += [(100 + k, plain(k), "en", "s0", 1, 1, "r", 0, "big", 5) for k in range(60)]
     rows += [rows[3], rows[3], (None, "no id at all.", None, None, 13, 1, "r", 0, "big", 5), (None, None, None, None, None, None, None, None, None, None)]
     return spark.createDataFrame(rows, ODD).repartition(3)
 
@@ -187,6 +189,15 @@ def test_posteriors_are_those_of_a_plain_loop():
     assert abs(prior - share) < 1e-6
 
 
+def test_documents_without_votes_stay_where_most_are_bad():
+    import numpy as np
+    from tamis.llm import quality
+
+    pattern = quality.patterns(np.array([[-1, -1, -1], [0, 0, -1], [1, 1, 1]]))
+    post, _, prior = quality.expectation_maximisation(pattern, np.array([5.0, 90.0, 5.0]), 3)
+    assert prior == quality.LEAST_GOOD and post[int(pattern[0])] >= 0.5 and post[int(pattern[2])] > 0.5
+
+
 def test_ratios_are_log_count_ratios(spark):
     """Where the labels' n-grams don't meet, a weight has the sign of its log-count ratio, recomputed by hand."""
     import numpy as np
