@@ -165,9 +165,15 @@ def documents_mix(docs: DataFrame, **how) -> DataFrame:
     """The mixed documents themselves: whole repeats, and the words served of the pass that the budget cuts off. A repeat is
     a row of its own with the same doc_id; n_chars is that of its text. Documents without words aren't served."""
     columns = docs.columns
-    mixed = fair_queue(docs, **how).where("taken > 0")
-    upto = F.sequence(F.lit(0).cast("long"), F.floor((F.col("taken") - 1) / F.col("size")).cast("long"))
-    rows = mixed.withColumn("_pass", F.explode(upto)).withColumn("_words", F.least(F.col("size"), F.col("taken") - F.col("_pass") * F.col("size")))
+    # texts stay out of the queue, digests break its ties; they come back by a key of the row
+    keyed = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    source = column_or_null(keyed, "source", "string").alias("source")
+    light = keyed.select("_row", "doc_id", source, F.md5("text").alias("text"), word_count(keyed).alias("_words"))
+    served = fair_queue(light, size="_words", **how).where("taken > 0").select("_row", F.col("size").alias("_size"), "taken")
+    mixed = keyed.join(served, "_row")
+    upto = F.sequence(F.lit(0).cast("long"), F.floor((F.col("taken") - 1) / F.col("_size")).cast("long"))
+    rows = mixed.withColumn("_pass", F.explode(upto))
+    rows = rows.withColumn("_words", F.least(F.col("_size"), F.col("taken") - F.col("_pass") * F.col("_size")))
     words = F.regexp_extract_all("text", F.lit(r"([\x20\x09-\x0D]*[^\x20\x09-\x0D]+)"), F.lit(1))
-    text = F.when(F.col("_words") == F.col("size"), F.col("text")).otherwise(F.concat_ws("", F.slice(words, F.lit(1), F.col("_words").cast("int"))))
+    text = F.when(F.col("_words") == F.col("_size"), F.col("text")).otherwise(F.concat_ws("", F.slice(words, F.lit(1), F.col("_words").cast("int"))))
     return rows.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*columns)
