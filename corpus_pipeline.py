@@ -9,6 +9,9 @@ sources are one source, null and repeated ids are rows like others, and an empty
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +19,22 @@ from tamis.llm import minhash, mixing, packing, pii, quality
 from tamis.llm.common import bounded_batches, materialize
 
 
+#: Columns that stages read or change; others are set aside under names that no operator has.
+CORE = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def columns_aside(stage: Callable) -> Callable:
+    """A stage that gives back every column of docs under its name, in its place, whatever it is called."""
+
+    @wraps(stage)
+    def run_aside(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        plain = [c if c in CORE else f"_column{k}" for k, c in enumerate(docs.columns)]
+        return stage(spark, docs.toDF(*plain), sf_dir).select(*plain).toDF(*docs.columns)
+
+    return run_aside
+
+
+@columns_aside
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go. A text without votes, so a null or empty one too, gets the score of
     such texts and stays where most are good; copies score alike."""
@@ -23,6 +42,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.score_documents(docs).where("keep").select(*docs.columns)
 
 
+@columns_aside
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near-duplicates stays, the first one by doc_id (null last). Rows go by keys of their own, so
     repeated and null ids are rows like others. Null and empty texts are near to nothing and stay."""
@@ -37,12 +57,14 @@ def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     return keyed.join(copies, "_row", "left_anti").select(*docs.columns)
 
 
+@columns_aside
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data in texts is replaced by its kind, and n_chars is the new text's. Rows stay; null texts stay null."""
     bounded_batches(spark)
     return pii.find(docs, redact=True).select(*docs.columns)
 
 
+@columns_aside
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources in target weights; a document may come twice, or be cut where the budget ends. Documents without words give
     nothing to a budget of words and aren't served."""
