@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import count
@@ -55,7 +56,21 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/tamis/{uuid.uuid4().hex}/{name}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    made = spark.read.schema(df.schema).parquet(path)
+    _written[made] = path
+    return made
+
+
+_written: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()  # where materialize wrote them
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes the table that materialize wrote for df, once nothing that is still to run reads it; others stay."""
+    path = _written.pop(df, None)
+    if path is not None:
+        spark = df.sparkSession
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def column_or_null(df: DataFrame, name: str, kind: str) -> Column:

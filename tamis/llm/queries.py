@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tamis.llm import embeddings, html, matroska, minhash, mixing, packing, pii, quality, substrings, toxicity
+from tamis.llm import centroids, embeddings, html, matroska, minhash, mixing, negatives, packing, pii, quality, substrings, topk, toxicity
 from tamis.llm.common import bounded_batches, materialize
 
 
@@ -55,6 +56,19 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_documents(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
 
+def op11_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10, scale=1_024)
+
+
+def op12_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"), dims=64, k=8, rounds=10, scale=1_024, seed="3")
+
+
+def op13_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(table(spark, sf_dir, "embeddings").withColumn("label", label), F.col("vec_id") % 50 == 0, positives=5, negatives=3, low=50, high=95, scale=256)
+
+
 MIXING_SQL = r"""
 WITH RECURSIVE sized AS (
   SELECT doc_id, source, text, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size, md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS k FROM documents),
@@ -108,6 +122,46 @@ reached AS (SELECT vec_id AS a, vec_id AS m FROM v UNION SELECT r.a, l.b FROM re
 SELECT vec_id, (SELECT count(*) FROM links WHERE links.a = vec_id) AS n_links, min(m) AS component_id, vec_id = min(m) AS kept FROM v JOIN reached ON reached.a = vec_id GROUP BY vec_id
 """
 
+_SOUND = "v IS NOT NULL AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+_DOUBLES = "SELECT *, CAST(embedding AS DOUBLE[]) AS v FROM embeddings"
+
+#: Every query against every row.
+TOPK_SQL = f"""
+WITH v AS (SELECT vec_id, rowid AS r, list_transform(v, lambda x: floor(1024 * x)) AS v FROM (SELECT *, row_number() OVER () AS rowid FROM ({_DOUBLES})) WHERE {_SOUND}),
+pairs AS (SELECT a.r, a.vec_id AS query_id, b.vec_id, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score FROM v a JOIN v b ON a.r <> b.r AND len(a.v) = len(b.v) WHERE a.vec_id % 100 = 0),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id NULLS LAST) AS INTEGER) AS rank FROM pairs)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
+"""
+
+
+def _clusters_sql(k: int = 8, rounds: int = 10) -> str:
+    """Rounds of plain assignment and floored means, one after the other."""
+    parts = [
+        f"v AS MATERIALIZED (SELECT vec_id, row_number() OVER () AS r, list_transform(v, lambda x: CAST(floor(1024 * x) AS BIGINT)) AS v FROM ({_DOUBLES}) WHERE len(v) = 64 AND {_SOUND})",
+        f"c0 AS MATERIALIZED (SELECT CAST(row_number() OVER (ORDER BY h NULLS LAST, v) - 1 AS INTEGER) AS c, v FROM (SELECT v, sha256('3:' || CAST(vec_id AS VARCHAR)) AS h FROM v ORDER BY h NULLS LAST, v LIMIT {k}))",
+    ]
+    for n in range(rounds + 1):
+        parts.append(f"d{n} AS MATERIALIZED (SELECT v.r, c, CAST(list_sum(list_transform(list_zip(v.v, k.v), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS BIGINT) AS d FROM v CROSS JOIN c{n} k)")
+        parts.append(f"a{n} AS MATERIALIZED (SELECT r, c, d FROM d{n} QUALIFY row_number() OVER (PARTITION BY r ORDER BY d, c) = 1)")
+        if n < rounds:
+            parts.append(f"m{n} AS MATERIALIZED (SELECT c, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS v FROM (SELECT c, i, CAST(sum(x) AS BIGINT) AS s, count(*) AS n FROM (SELECT a.c, unnest(v.v) AS x, unnest(range(64)) AS i FROM a{n} a JOIN v USING (r)) GROUP BY c, i) GROUP BY c)")
+            parts.append(f"c{n + 1} AS MATERIALIZED (SELECT k.c, coalesce(m.v, k.v) AS v FROM c{n} k LEFT JOIN m{n} m USING (c))")
+    last = f"SELECT v.vec_id, a.c AS cluster, a.d AS distance, CAST(sum(a.d) OVER (PARTITION BY a.c) AS BIGINT) AS cluster_inertia, CAST(sum(a.d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(k.v, ',')) AS centroid_sha256 FROM a{rounds} a JOIN v USING (r) JOIN c{rounds} k ON k.c = a.c"
+    return "WITH " + ",\n".join(parts) + "\n" + last
+
+
+#: All anchors against all rows, then every positive against every negative of its anchor.
+NEGATIVES_SQL = f"""
+WITH v AS MATERIALIZED (SELECT vec_id, row_number() OVER () AS r, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(v, lambda x: floor(256 * x)) AS v FROM ({_DOUBLES}) WHERE label IS NOT NULL AND {_SOUND}),
+pairs AS MATERIALIZED (SELECT a.r, a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score FROM v a JOIN v b ON a.r <> b.r AND len(a.v) = len(b.v) WHERE a.vec_id % 50 = 0),
+positive AS (SELECT * FROM pairs WHERE same QUALIFY row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id NULLS LAST) <= 5),
+numbered AS (SELECT *, row_number() OVER () AS p FROM positive),
+mined AS (SELECT n.anchor_id, p.vec_id AS positive_id, n.vec_id AS negative_id, p.score AS positive_score, n.score AS negative_score,
+  CAST(row_number() OVER (PARTITION BY p.p ORDER BY n.score DESC, n.vec_id NULLS LAST) AS INTEGER) AS rank
+  FROM numbered p JOIN pairs n ON n.r = p.r AND NOT n.same AND 50 * p.score <= 100 * n.score AND 100 * n.score <= 95 * p.score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM mined WHERE rank <= 3
+"""
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_minhash": op2_minhash,
@@ -119,6 +173,9 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_quality": op9_quality,
     "op10_mixing": op10_mixing,
+    "op11_topk": op11_topk,
+    "op12_clusters": op12_clusters,
+    "op13_negatives": op13_negatives,
 }
 #: SQL says none of the others: tokenizers, parsers, trained models and files. tests/llm hold them against plain versions.
 ORACLES = {
@@ -126,4 +183,7 @@ ORACLES = {
     "op3_substrings": SUBSTRINGS_SQL,
     "op6_embeddings": VECTORS_SQL,
     "op10_mixing": MIXING_SQL,
+    "op11_topk": TOPK_SQL,
+    "op12_clusters": _clusters_sql(),
+    "op13_negatives": NEGATIVES_SQL,
 }
