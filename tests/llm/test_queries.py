@@ -189,13 +189,43 @@ def test_posteriors_are_those_of_a_plain_loop():
     assert abs(prior - share) < 1e-6
 
 
-def test_documents_without_votes_stay_where_most_are_bad():
+@pytest.mark.parametrize("good", [0.2, 0.5, 0.9])
+def test_bad_documents_go_whatever_the_share_of_good_ones(good):
+    """The share is estimated, not assumed: votes of accuracy 0.8 to 0.9 tell most documents at any share."""
     import numpy as np
     from tamis.llm import quality
 
-    pattern = quality.patterns(np.array([[-1, -1, -1], [0, 0, -1], [1, 1, 1]]))
-    post, _, prior = quality.expectation_maximisation(pattern, np.array([5.0, 90.0, 5.0]), 3)
-    assert prior == quality.LEAST_GOOD and post[int(pattern[0])] >= 0.5 and post[int(pattern[2])] > 0.5
+    rng = np.random.default_rng(7)
+    truth = rng.random(20_000) < good
+    right = (0.85, 0.8, 0.9, 0.85, 0.8, 0.9)
+    votes = np.stack([np.where(rng.random(len(truth)) < 0.25, -1, np.where(rng.random(len(truth)) < a, truth, ~truth)) for a in right], 1)
+    pattern, count = np.unique(quality.patterns(votes), return_counts=True)
+    post, _, prior = quality.expectation_maximisation(pattern, count.astype(float), len(right))
+    kept = np.array([post[p] for p in quality.patterns(votes).tolist()]) >= 0.5
+    assert abs(prior - good) < 0.03
+    assert kept[~truth].mean() < 0.2 and kept[truth].mean() > 0.8 and (kept == truth).mean() > 0.93
+
+
+def test_documents_without_votes_stay_where_most_are_bad(spark):
+    from tamis.llm import quality
+
+    rows = [(k, "!! ?? ;; %% && " * 30 + str(k)) for k in range(60)] + [(100, None), (101, ""), (102, "a few words")]
+    got = {r.doc_id: r for r in quality.score_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[k].keep for k in (100, 101, 102)) and not any(got[k].keep for k in range(60))
+
+
+def test_one_text_repeated_often_is_one_of_the_sample(spark):
+    from tamis.llm import quality
+    from tamis.llm.common import word_runs
+
+    plain = [f"This is a sentence about thing {k}, and it goes on for some words. Then it ends here." for k in range(30)]
+    docs = spark.createDataFrame([(k, plain[k % 30]) for k in range(60)] + [(k, "BUY NOW!! " * 40) for k in range(60, 400)], "doc_id long, text string")
+    import pyarrow as pa
+
+    alike = [quality.learn(d, sample=40)[0] for d in (docs, docs.repartition(7))]
+    texts = pa.array([*plain, "BUY NOW!! " * 40, ""])
+    one, two = ([s(r)[1].tolist() for r in word_runs(texts)] for s in alike)
+    assert one == two and all(x > 0.5 for x in one[0][:30])
 
 
 def test_ratios_are_log_count_ratios(spark):
