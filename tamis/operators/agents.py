@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
 from tamis import schema
-from tamis.operators.folds import fold
+from tamis.operators.anchors import anchored
 
 DECISION = "struct<outcome:string,classification:string,confidence:double>"
 
@@ -198,19 +198,6 @@ def repeat_flood(types: tuple[str, ...], most: int = 3, seconds: int = 300) -> A
     return Agent("repeat_flood_suppressor", 3, decide)
 
 
-def anchored(signals: DataFrame, key: Column, seconds: float, mine: Column) -> DataFrame:
-    """signal_id and anchored: whether a signal is the first of its key's window, which opens with a signal that no earlier
-    window holds and isn't moved by those inside. A streamed fold over each key's signals in order of time."""
-    width = int(seconds * 1_000_000)
-
-    def step(anchor: int | None, row: dict) -> tuple[int, tuple]:
-        first = anchor is None or row["us"] - anchor >= width
-        return (row["us"] if first else anchor), (first,)
-
-    rows = signals.where(mine).select("signal_id", "us", "seq", key.alias("_key"))
-    return fold(rows, "_key", ["us", "seq"], lambda: None, step, "anchored boolean").select("signal_id", "anchored")
-
-
 def built_in() -> list[Agent]:
     """In the order in which they decide."""
     return [trend(("cpu_percent", "latency_ms"), "source"), deduplicate(), transient(), severity_gate(), pattern_classifier(), threshold_classifier()]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,8 +24,22 @@ def shared_folder(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df from a table of its own, which cuts the lineage."""
+def written(df: DataFrame, name: str, *by: str) -> DataFrame:
+    """df from a table of its own, which cuts the lineage; by: columns that it is stored by."""
     path = f"{shared_folder(df.sparkSession)}/tables/{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    (df.write.partitionBy(*by) if by else df.write).parquet(path)
+    made = df.sparkSession.read.schema(df.schema).parquet(path)
+    _places[made] = path
+    return made
+
+
+_places: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()  # where written put them
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes the table that written made for df, once nothing that is still to run reads it; others stay."""
+    path = _places.pop(df, None)
+    if path is not None:
+        spark = df.sparkSession
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
