@@ -107,14 +107,14 @@ def consolidation_batch(memories: DataFrame, size: int, threshold: float = 0.05)
     urgent = memories.where(F.col("strength") < 2 * threshold)
     rest = memories.where(F.col("strength") >= 2 * threshold).withColumn("_at", F.coalesce("consolidated_us", F.lit(-1)))
     left = max(0, size - urgent.count())
-    return urgent.unionByName(lowest(rest, left, F.floor(F.col("_at") / 3_600_000_000), "_at", "memory_id").drop("_at"))
+    return urgent.unionByName(lowest(rest, left, "_at", "memory_id").drop("_at"))
 
 
 def rejected(earlier: DataFrame, evicted: DataFrame, most: int) -> DataFrame:
     """The latest `most` contents (content_hash, seq) that were evicted; one evicted again keeps its place."""
     both = earlier.select("content_hash", "seq").unionByName(evicted.select("content_hash", "seq")).where("content_hash <> ''")
     first = both.groupBy("content_hash").agg(F.min("seq").alias("seq"))
-    return lowest(first.withColumn("_o", -F.col("seq")), most, F.floor(F.col("_o") / 1024), "_o", "content_hash").drop("_o")
+    return lowest(first.withColumn("_o", -F.col("seq")), most, "_o", "content_hash").drop("_o")
 
 
 def priming_set(windows: DataFrame, most: int = 10) -> DataFrame:
@@ -131,7 +131,7 @@ def strongest(patterns: DataFrame, capacity: int, strength: str, *order: str) ->
     if n <= capacity:
         return patterns
     ranked = patterns.withColumn("_s", -F.col(strength))
-    return lowest(ranked, capacity, F.floor(F.col("_s")), "_s", *order).drop("_s")
+    return lowest(ranked, capacity, "_s", *order).drop("_s")
 
 
 def rings(rows: DataFrame, by: str, order: str, most: int) -> DataFrame:

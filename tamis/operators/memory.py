@@ -59,6 +59,15 @@ def form(signals: DataFrame, normalized: list[str], kept: list[str] = ()) -> Dat
     return rows.withColumn("strength", reinforced(weight(), F.col("occurrences") - 1))
 
 
+def united(memories: DataFrame) -> DataFrame:
+    """One memory of each content: the first one's facts, all occurrences, the strength that these give."""
+    whole = ("content_hash", "occurrences", "modified_us", "strength")
+    first = F.min_by(F.struct(*(c for c in memories.columns if c not in whole)), "memory_id").alias("f")
+    sums = [F.sum("occurrences").alias("occurrences"), F.max("modified_us").alias("modified_us")]
+    merged = memories.groupBy("content_hash").agg(first, *sums).select("content_hash", "f.*", "occurrences", "modified_us")
+    return merged.withColumn("strength", reinforced(weight(), F.col("occurrences") - 1)).select(*memories.columns)
+
+
 def decay(memories: DataFrame, rates: DataFrame, hours: Column, default: float = 0.01) -> DataFrame:
     """strength * exp(-rate * hours) with each type's rate (rates: signal_type, rate)."""
     rate = F.coalesce("rate", F.lit(default))
@@ -71,7 +80,7 @@ def evict(memories: DataFrame, capacity: int, fraction: float = 0.1) -> tuple[Da
     if n <= capacity:
         return memories, memories.limit(0)
     keep = max(0, capacity - max(1, int(capacity * fraction)))
-    gone = lowest(memories, n - keep, F.floor(F.col("strength") * 4096), "strength", "memory_id")
+    gone = lowest(memories, n - keep, "strength", "memory_id")
     return memories.join(gone.select("memory_id"), "memory_id", "left_anti"), gone
 
 

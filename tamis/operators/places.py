@@ -2,21 +2,61 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
+
+from tamis.operators.tables import written
+
+
+def _levels(rows: DataFrame, order: tuple[str, ...]) -> Iterator[Column]:
+    """Numbers that order rows as the columns `order` do, one after the other: a text is its bytes, seven at a time."""
+    for name in order:
+        if isinstance(rows.schema[name].dataType, StringType):
+            longest = rows.agg(F.max(F.octet_length(name))).first()[0] or 0
+            for at in range(1, longest + 1, 7):
+                bytes_ = F.hex(F.substring(F.encode(F.col(name), "UTF-8"), at, 7))
+                yield F.conv(F.rpad(bytes_, 14, "0"), 16, 10).cast("long")
+            yield F.octet_length(name)
+        else:
+            yield F.col(name)
+
+
+def _cut(rows: DataFrame, n: int, level: Column, bins: int = 4_096) -> tuple[float, int, int]:
+    """The n-th lowest value of a number, how many rows are below it, and how many have it. Each round counts the rows of the
+    interval that is left in `bins` parts; the part that holds the n-th, from its least to its greatest value, is next."""
+    low, high, count = rows.agg(F.min(level), F.max(level), F.count("*")).first()
+    below = 0
+    while low < high:
+        part = F.least(F.floor((level - F.lit(low)).cast("double") / (float(high - low) / bins)), F.lit(bins - 1))
+        inside = rows.where(level.between(F.lit(low), F.lit(high)))
+        counts = inside.groupBy(part.alias("p")).agg(F.count("*").alias("c"), F.min(level).alias("low"), F.max(level).alias("high")).orderBy("p").collect()  # at most `bins` rows
+        for r in counts:
+            if below + r["c"] >= n:
+                low, high, count = r["low"], r["high"], r["c"]
+                break
+            below += r["c"]
+    return low, below, count
 
 
-def lowest(rows: DataFrame, n: int, bucket: Column, *order: str) -> DataFrame:
-    """The n first rows by `order`. bucket: a column of few values that grows with the order; rows of lower buckets are taken
-    as they are, and only those of the bucket in which the n-th row lies are sorted."""
-    counts = rows.groupBy(bucket.alias("_b")).agg(F.count("*").alias("c"))  # a row for each bucket
-    before = F.coalesce(F.sum("c").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    cut = counts.withColumn("before", before).where((F.col("before") < n) & (F.col("before") + F.col("c") >= n)).first()
-    if cut is None:  # fewer than n rows, or none wanted
-        return rows if n > 0 else rows.limit(0)
-    marked = rows.withColumn("_b", bucket)
-    edge = marked.where(F.col("_b") == F.lit(cut["_b"])).orderBy(*order).limit(n - cut["before"])
-    return marked.where(F.col("_b") < F.lit(cut["_b"])).unionByName(edge).drop("_b")
+def lowest(rows: DataFrame, n: int, *order: str) -> DataFrame:
+    """The n first rows by the columns `order` (numbers or texts, none null); of rows that are equal in all of them, any.
+    The value that the n-th row has is found by counting, round by round and column by column; nothing is sorted, so n may
+    be any share of the table."""
+    if n <= 0:
+        return rows.limit(0)
+    rows = written(rows, "rows")
+    if rows.count() <= n:
+        return rows
+    less, same = F.lit(False), F.lit(True)
+    for level in _levels(rows, order):
+        value, below, equal = _cut(rows.where(same), n, level)
+        less, same, n = less | (same & (level < F.lit(value))), same & (level == F.lit(value)), n - below
+        if equal == n:
+            return rows.where(less | same)
+    return rows.where(less).unionByName(rows.where(same).limit(n))
 
 
 def values_at(samples: DataFrame, by: list[str], value: str, places: dict[str, Column]) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tamis.operators.tables import written
+
 
 def jaccard(a: Column, b: Column) -> Column:
     """Of two arrays of distinct elements; 0 if either is empty or null."""
@@ -67,6 +69,76 @@ def recall(queries: DataFrame, memories: DataFrame, k: int = 5, least: float = 0
     return top(scored, "query_id", "score", "memory_id", k)
 
 
+def _profiled(rows: DataFrame, kind: str, labels: str, grams: str) -> DataFrame:
+    """rows with `profile`: what of type, labels and trigrams is equal scores alike but for features and strength."""
+    return rows.withColumn("profile", F.sha2(F.to_json(F.struct(F.col(kind).alias("t"), F.col(labels).alias("l"), F.col(grams).alias("g"))), 256))
+
+
+def _terms(kind: Column, labels: Column, grams: Column, weights: tuple[float, float, float, float]) -> Column:
+    """What a profile is found by, each with the most that sharing it adds to a score."""
+    t, lab, _, x = weights
+    term = lambda name, value, w: F.struct(F.concat(F.lit(name), value).alias("term"), w.alias("w"))
+    return F.concat(
+        F.when(kind.isNotNull(), F.array(term("t", kind, F.lit(t)))).otherwise(F.array().cast("array<struct<term:string,w:double>>")),
+        F.transform(labels, lambda v: term("l", v, lab / F.size(labels))),
+        F.transform(grams, lambda v: term("g", v, x / F.size(grams))),
+    )
+
+
+def recall_bounded(queries: DataFrame, memories: DataFrame, k: int = 5, least: float = 0.1, weights: tuple[float, float, float, float] = (0.4, 0.2, 0.2, 0.2), steps: int = 64) -> DataFrame:
+    """The rows of recall, without comparing each query with each memory: an inverted index with score bounds.
+
+    Queries and memories of equal type, labels and trigrams are one profile each. The strongest memories of a query's own
+    profile and of its type are scored first, which bounds its k-th score from below. A query profile's terms are put in
+    order from common to rare; as long as all terms so far can't lift the strongest memory to that bound, they aren't looked
+    up, as what shares only these can't be among the k best. Profiles met over the other terms are compared, and of those
+    that may reach the bound, only memories strong enough are scored. A profile whose bound features alone may reach is
+    compared with all others, in blocks. Equal memories and queries are rows of their own; null arrays are empty; a strength
+    above 0 is needed for any score. steps: strengths are stored in so many steps.
+    """
+    t, lab, f, x = weights
+    none = F.array().cast("array<string>")
+    mine = lambda df, *names: df.withColumns({n: F.coalesce(F.col(n), none) for n in names})
+    m = _profiled(mine(memories, "labels", "grams"), "signal_type", "labels", "grams").where("strength > 0")
+    m = written(m.select("memory_id", "signal_type", "labels", "grams", "profile", "features", F.col("strength").cast("double").alias("strength"), F.floor(F.col("strength") * steps).alias("step")), "memories")
+    q = written(_profiled(mine(queries, "q_labels", "q_grams"), "q_type", "q_labels", "q_grams").withColumnRenamed("profile", "q_profile"), "queries")
+    stored = written(m.groupBy("profile").agg(F.first("signal_type").alias("signal_type"), F.first("labels").alias("labels"), F.first("grams").alias("grams"), F.max("strength").alias("most"), F.max("step").alias("top_step")), "profiles")
+    asked = written(q.groupBy("q_profile").agg(F.first("q_type").alias("q_type"), F.first("q_labels").alias("q_labels"), F.first("q_grams").alias("q_grams")), "asked")
+    same = F.when(F.col("q_type") == F.col("signal_type"), F.lit(t)).otherwise(0.0)
+    fixed = same + lab * jaccard(F.col("q_labels"), F.col("labels")) + x * jaccard(F.col("q_grams"), F.col("grams"))
+    # as recall adds it up, so that scores round alike
+    raw = same + lab * jaccard(F.col("q_labels"), F.col("labels")) + f * cosine(F.col("q_features"), F.col("features")) + x * jaccard(F.col("q_grams"), F.col("grams"))
+    score = F.round(raw * F.col("strength"), 6).alias("score")
+
+    # a bound of each query's k-th score, from the strongest memories of its profile and of its type
+    strongest = lambda by: m.withColumn("_r", F.row_number().over(Window.partitionBy(by).orderBy(F.desc("strength"), "memory_id"))).where(F.col("_r") <= k).drop("_r")
+    alike = q.join(strongest("profile").withColumnRenamed("profile", "q_profile"), "q_profile").select("query_id", "memory_id", score)
+    kin = q.join(strongest("signal_type"), F.col("q_type") == F.col("signal_type")).select("query_id", "memory_id", score)
+    seeds = alike.unionByName(kin).dropDuplicates(["query_id", "memory_id"]).withColumn("_r", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score")))).where(F.col("_r") == k)
+    q = written(q.join(seeds.select("query_id", F.col("score").alias("kth")), "query_id", "left").withColumn("bar", F.greatest(F.coalesce("kth", F.lit(least)), F.lit(least)) - 2e-6).drop("kth"), "bounds")
+    bars = q.groupBy("q_profile").agg(F.min("bar").alias("bar"))
+    strength = m.agg(F.max("strength")).first()[0] or 1.0
+    asked = written(asked.join(bars, "q_profile").withColumn("lack", F.col("bar") / strength - f), "lacks")
+
+    # terms from common to rare; those without which the bound can't be reached are looked up
+    postings = stored.select("profile", F.explode(_terms(F.col("signal_type"), F.col("labels"), F.col("grams"), weights)["term"]).alias("term"))
+    long = asked.where("lack > 0").select("q_profile", "lack", F.explode(_terms(F.col("q_type"), F.col("q_labels"), F.col("q_grams"), weights)).alias("x")).select("q_profile", "lack", "x.term", "x.w")
+    common = postings.groupBy("term").agg(F.count("*").alias("n"))
+    order = Window.partitionBy("q_profile").orderBy(F.desc("n"), "term")
+    looked = long.join(common, "term").withColumn("sum", F.sum("w").over(order)).where(F.col("sum") >= F.col("lack") - 1e-9).select("q_profile", "term")
+    met = looked.join(written(postings, "postings"), "term").select("q_profile", "profile").distinct().join(asked, "q_profile").join(stored, "profile")
+    open_ = every_pair(stored, asked.where("lack <= 0")).select(*met.columns)
+    enough = F.col("bar") / (F.col("fixed") + f)
+    pairs = met.unionByName(open_).withColumn("fixed", fixed).where(F.col("most") >= enough)
+    pairs = written(pairs.select("q_profile", "profile", "fixed", F.greatest(F.floor(enough * steps), F.lit(0)).alias("from"), "top_step"), "pairs")
+
+    # memories strong enough, by profile and step of strength
+    steps_of = pairs.where(F.col("from") <= F.col("top_step")).select("q_profile", "profile", "fixed", F.explode(F.sequence("from", "top_step")).alias("step"))
+    strong = steps_of.join(m.select("memory_id", "profile", "step", "signal_type", "labels", "grams", "features", "strength"), ["profile", "step"])
+    scored = strong.join(q, "q_profile").where(F.col("strength") * (F.col("fixed") + f) >= F.col("bar")).select("query_id", "memory_id", score)
+    return top(scored.where(F.col("score") >= least), "query_id", "score", "memory_id", k)
+
+
 def vector_search(queries: DataFrame, vectors: DataFrame, k: int = 10, least: float = 0.5) -> DataFrame:
     """The k vectors (vec_id, v) nearest by cosine to each query (query_id, q), of those with at least `least`."""
     pairs = every_pair(vectors.select("vec_id", unit(F.col("v")).alias("v")), queries.select("query_id", unit(F.col("q")).alias("q")))
