@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tamis.plans.domains import RECORDS, _pick, _records
 from tamis.plans.registry import query
 from tamis.sources import readers, work
+from tamis.sources.collectors import Collected
 from tamis.sources.adapters import SIGNALS_SQL, event_signals
 
 
@@ -294,3 +295,12 @@ def fed_records(spark, sf_dir):
 @query("prompt_texts", f"WITH {SIGNALS_SQL} SELECT signal_id, concat_ws(chr(10), 'Type: ' || signal_type, 'Severity: ' || severity, 'Source: ' || source, 'Namespace: ' || namespace, 'message: ' || message, 'label: ' || nullif(label, '')) AS prompt FROM signals")
 def prompt_texts(spark, sf_dir):
     return event_signals(spark, sf_dir).select("signal_id", work.prompt_text(("message", "label")).alias("prompt"))
+
+
+@query("collected_events", "SELECT event_id, event_type, user_id, value FROM events WHERE event_id >= 2000 AND value < 120")
+def collected_events(spark, sf_dir):
+    """Events through a collector, in parts of 20,000 records, with what is asked for pushed to it."""
+    spark.dataSource.register(Collected)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    source = spark.read.format("collected").option("collector", "tamis.sources.collectors:Files").option("path", f"{sf_dir}/events.parquet").option("columns", "event_id,event_type,user_id,value").option("rows", 20_000)
+    return source.load().where("event_id >= 2000 AND value < 120")

@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tamis.functions import claims
-from tamis.operators import governance, memory, packs
+from tamis.operators import contents, governance, memory, packs, pipeline
+from tamis.operators.stores import Ledger
+from tamis.operators.tables import shared_folder, written
 from tamis.plans.domains import RECORDS, _pick, _records
 from tamis.plans.recollection import MEMORIES, memories
 from tamis.plans.registry import query
 from tamis.plans.routing import _values
 from tamis.plans.sieve import CASCADE_SQL, DECISIONS_SQL, cascade
-from tamis.operators import pipeline
 from tamis.sources import synthetic
-from tamis.sources.adapters import SIGNALS_SQL, event_signals
+from tamis.sources.adapters import SIGNALS_SQL, K, event_signals
 
 
 def _rows(spark, sf_dir, columns: dict[str, str]):
@@ -130,6 +133,27 @@ def ledger_records(spark, sf_dir):
     return governance.ledger_records(made.unionByName(made), known, "severity", "message").select("signal_id", "agent_name", "input_hash", "record", "idempotency_key")
 
 
+@query(
+    "ledger_sink",
+    CASCADE_SQL
+    + DECISIONS_SQL
+    + "SELECT signal_id, agent_name, outcome, sha256(signal_id || ':' || agent_name || ':' || outcome) AS idempotency_key FROM decisions",
+)
+def ledger_sink(spark, sf_dir):
+    """Decisions in a ledger once each: in three batches, of which the second is written twice and once without a commit, and
+    the third brings all records of the first again."""
+    made = pipeline.decisions(cascade(spark, sf_dir)).select("signal_id", "agent_name", "outcome")
+    made = made.withColumn("idempotency_key", F.sha2(F.concat_ws(":", "signal_id", "agent_name", "outcome"), 256))
+    ledger = Ledger(spark, f"{shared_folder(spark)}/ledgers/{uuid.uuid4().hex}", "idempotency_key")
+    part = lambda *k: made.where((F.col("signal_id") % 3).isin(*k))
+    ledger.append(part(0), 0)
+    ledger.prepare(part(1), 1)  # a job that dies before it commits
+    ledger.append(part(1), 1)
+    ledger.append(part(1), 1)
+    ledger.append(part(0, 2), 2)
+    return ledger.read()
+
+
 _REPORT = {"agent_name": _pick("k", "deduplicate", "learned_a", "learned_b", "severity_gate"), "verdict": _pick("user_id", "FAILS", "fails", "HOLDS"), "us": "event_id"}
 
 
@@ -242,6 +266,42 @@ def content_normalized(spark, sf_dir):
     return rows.withColumn("c", content).select("event_id", F.col("c")["node"].alias("node"), F.col("c")["message"].alias("message"))
 
 
+_NESTED = (
+    """CASE WHEN event_id % 10 = 9 THEN '{"cut": ' || event_id ELSE '{"message":"pod web-7f9c8d at 2026-01-02T03:04:05Z","node":"node-' || user_id || '-abcde","cpu":' || k || '.5,"ready":' || CASE WHEN event_id % 2 = 0 THEN 'true' ELSE 'false' END
+    || ',"none":null,"tags":["a-12345",' || event_id || '],"pod":{"name":"api-' || substr(sha256(CAST(event_id AS VARCHAR)), 1, 6) || '","host":"h-12345","spec":{"image":"img-7f9c8d","replicas":' || k || ',"deep":{"id":"123e4567-e89b-12d3-a456-426614174000","empty":{}}}},"props":' || props || '}' END"""
+)
+_NESTED_SQL = f"""WITH r AS (SELECT *, CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) AS k FROM events), t AS (SELECT event_id, {_NESTED} AS t FROM r),
+c AS (SELECT event_id, CASE WHEN json_valid(t) THEN CAST(t AS JSON) ELSE json_object('raw', t) END AS c FROM t),
+tree AS (SELECT event_id, j.* FROM c, json_tree(c) AS j),
+kept AS (SELECT event_id, key, CAST(value AS VARCHAR) AS value, type, substr(fullkey, 3) AS path, path = '$' AS top FROM tree WHERE key IS NOT NULL AND type <> 'OBJECT' AND NOT regexp_matches(fullkey, '[[]')),
+fields AS (SELECT event_id, replace(path, '"', '') AS path, top, CASE type WHEN 'VARCHAR' THEN 'text' WHEN 'BOOLEAN' THEN 'flag' WHEN 'NULL' THEN 'null' WHEN 'ARRAY' THEN 'list' ELSE 'number' END AS kind,
+  CASE WHEN type <> 'VARCHAR' THEN coalesce(value, 'null') WHEN key IN ('node', 'host') THEN json_extract_string(value, '$')
+  ELSE regexp_replace(regexp_replace(regexp_replace(json_extract_string(value, '$'), '(?i)[0-9a-f]{{8}}-[0-9a-f]{{4}}-[0-9a-f]{{4}}-[0-9a-f]{{4}}-[0-9a-f]{{12}}', '<uuid>', 'g'), '\\d{{4}}-\\d{{2}}-\\d{{2}}T\\d{{2}}:\\d{{2}}:\\d{{2}}[^\\s]*', '<ts>', 'g'), '(\\w)-[a-z0-9]{{5,10}}(\\s|$)', '\\1\\2', 'g') END AS text FROM kept)
+"""
+
+
+def _fields(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("k", F.expr(K)).withColumn("t", F.expr(_NESTED.replace("VARCHAR", "STRING").replace("sha256(CAST(event_id AS STRING))", "sha2(CAST(event_id AS STRING), 256)")))
+    return contents.leaves(rows.withColumn("c", contents.parsed("t")), "event_id", "c")
+
+
+@query("variant_fields", _NESTED_SQL + "SELECT event_id, path, kind, text FROM fields")
+def variant_fields(spark, sf_dir):
+    """Fields of nested contents at any depth, made comparable; a text that isn't JSON is a field of its own."""
+    return _fields(spark, sf_dir).drop("top")
+
+
+@query(
+    "variant_hashes",
+    _NESTED_SQL + ", h AS (SELECT event_id, sha256(string_agg(path || '=' || text, '|' ORDER BY path)) AS content_hash FROM fields GROUP BY event_id), f AS (SELECT event_id, count(*) AS features, sum(CASE WHEN kind = 'flag' THEN (text = 'true')::INT ELSE CAST(text AS DOUBLE) END) AS total FROM fields WHERE top AND kind IN ('number', 'flag') GROUP BY event_id) SELECT event_id, content_hash, coalesce(features, 0) AS features, coalesce(total, 0) AS total FROM h LEFT JOIN f USING (event_id)",
+)
+def variant_hashes(spark, sf_dir):
+    """Hashes of nested contents, and how many numbers of their own they have, with their sum."""
+    fields = written(_fields(spark, sf_dir), "fields")
+    numbers = contents.features(fields, "event_id").groupBy("event_id").agg(F.count("*").alias("features"), F.sum("value").alias("total"))
+    return contents.hashes(fields, "event_id").join(numbers, "event_id", "left").fillna({"features": 0, "total": 0.0})
+
+
 # ---------------------------------------------------------------- generated records
 
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tamis.operators import intelligence, inverse, pipeline
+from tamis.operators import baselines, intelligence, inverse, pipeline
+from tamis.operators.tables import written
 from tamis.plans.recollection import MEMORIES, memories
 from tamis.plans.registry import query
 from tamis.plans.sieve import CASCADE_SQL, DECISIONS_SQL, cascade
@@ -117,6 +118,26 @@ def baseline_compare(spark, sf_dir):
     return inverse.compare(normal, event_signals(spark, sf_dir).where("signal_type <> 'probe_failure'"))
 
 
+@query(
+    "baseline_weeks",
+    f"""{WITH}, e AS (SELECT us // 86400000000 // 7 AS week, signal_type AS kind, source, latency_ms FROM signals) SELECT week, kind, count(*) AS signals, min(latency_ms) AS low, max(latency_ms) AS high, true AS members_within, true AS quantiles_within FROM e GROUP BY week, kind""",
+)
+def baseline_weeks(spark, sf_dir):
+    """Weeks merged from stored days: their counts, and whether members and quantiles are within the sketches' stated error
+    of the exact ones."""
+    signals = event_signals(spark, sf_dir)
+    days = written(baselines.daily(signals, "signal_type", "us", "source", "latency_ms"), "days")
+    weeks = written(baselines.estimates(baselines.merged(days, F.floor(F.col("day") / 7).alias("week"))), "weeks")
+    rows = signals.select(F.floor(F.col("us") / 86_400_000_000 / 7).alias("week"), F.col("signal_type").alias("kind"), "source", "latency_ms")
+    below = [F.struct(F.avg((F.col("latency_ms") < F.col(q)).cast("double")).alias("lo"), F.avg((F.col("latency_ms") <= F.col(q)).cast("double")).alias("hi")).alias(q) for q in ("q50", "q90", "q99")]
+    exact = rows.join(weeks.select("week", "kind", "q50", "q90", "q99"), ["week", "kind"]).groupBy("week", "kind").agg(F.count_distinct("source").alias("sources"), *below)
+    # half a row's rank more: groups are small
+    off = lambda q, at: (F.col(f"x.{q}.lo") <= at + 2 * baselines.RANK_ERROR + 1 / F.col("signals")) & (F.col(f"x.{q}.hi") >= at - 2 * baselines.RANK_ERROR - 1 / F.col("signals"))
+    both = weeks.alias("w").join(exact.select("week", "kind", F.struct("sources", "q50", "q90", "q99").alias("x")), ["week", "kind"])
+    members = F.abs(F.col("members") - F.col("x.sources")) <= baselines.members_error(F.col("x.sources"))
+    return both.select("week", "kind", "signals", "low", "high", members.alias("members_within"), (off("q50", 0.5) & off("q90", 0.9) & off("q99", 0.99)).alias("quantiles_within"))
+
+
 @query("health_score", MEMORIES + ", s AS (SELECT count(*) AS memories, avg(strength) AS m, stddev_pop(strength) AS d FROM memories), x AS (SELECT memories, round(greatest(0, least(100, 100 - least(30, 2 / 5 * 30.0) - least(20, 1 * 5.0) - least(20, greatest(0, 0.3 - m) * 66.7) - least(20, d * 20.0))), 1)::DOUBLE AS score FROM s) SELECT memories, score, CASE WHEN score >= 90 THEN 'excellent' WHEN score >= 75 THEN 'good' WHEN score >= 50 THEN 'fair' ELSE 'poor' END AS grade FROM x")
 def health_score(spark, sf_dir):
     return inverse.health(memories(spark, sf_dir), F.lit(2), F.lit(5), F.lit(1))

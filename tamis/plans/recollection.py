@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tamis.operators import agents, memory, recall
+from tamis.operators import agents, memory, neighbours, pipeline, recall
 from tamis.plans.registry import query
-from tamis.plans.sieve import BYPASS
+from tamis.plans.sieve import BYPASS, CASCADE_SQL, cascade
 from tamis.schema import ESCALATE, NEVER_SUPPRESS
 from tamis.sources.adapters import SIGNALS_SQL, content_text, event_signals
 
@@ -139,7 +139,30 @@ def recall_topk(spark, sf_dir):
     labels = F.array(F.concat(F.lit("label="), "label"), F.concat(F.lit("ns="), "namespace"))
     m = memories(spark, sf_dir).select("memory_id", "signal_type", labels.alias("labels"), F.array("cpu_percent", "latency_ms").alias("features"), recall.trigrams(F.col("message")).alias("grams"), "strength")
     q = event_signals(spark, sf_dir).where("signal_id % 50 = 0").select(F.col("signal_id").alias("query_id"), F.col("signal_type").alias("q_type"), labels.alias("q_labels"), F.array("cpu_percent", "latency_ms").alias("q_features"), recall.trigrams(F.col("message")).alias("q_grams"))
-    return recall.recall(q, m)
+    return recall.recall_bounded(q, m)
+
+
+_COSINE = "coalesce((q.cpu_percent * m.cpu_percent + q.latency_ms * m.latency_ms) / nullif(sqrt((q.cpu_percent * q.cpu_percent + q.latency_ms * q.latency_ms) * (m.cpu_percent * m.cpu_percent + m.latency_ms * m.latency_ms)), 0), 0)"
+
+
+@query(
+    "evidence_bundles",
+    CASCADE_SQL.replace("WITH ", "WITH RECURSIVE ", 1)
+    + MEMORIES.split(SIGNALS_SQL)[1]
+    + f""", kept AS (SELECT signal_id, signal_type, message, cpu_percent, latency_ms FROM done WHERE survives),
+texts_ AS (SELECT DISTINCT message FROM signals), grams AS (SELECT message, {GRAMS.format('message')} AS g FROM texts_),
+alike AS (SELECT a.message AS a, b.message AS b, {JACCARD.format('a.g', 'b.g')} AS j FROM grams a, grams b),
+scored AS (SELECT q.signal_id, m.memory_id, m.signal_type, m.strength, m.message, round((CASE WHEN q.signal_type = m.signal_type THEN 0.4 ELSE 0 END + 0.2 * {_COSINE} + 0.2 * j) * m.strength, 6) AS score FROM kept q JOIN alike ON a = q.message JOIN memories m ON m.message = b),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY signal_id ORDER BY score DESC, memory_id) AS rank FROM scored WHERE score >= 0.1)
+SELECT signal_id, CAST(rank AS INT) AS rank, memory_id, signal_type, round(strength, 3) AS strength, substr(message, 1, 150) AS message, round(score, 3) AS score FROM ranked WHERE rank <= 5""",
+)
+def evidence_bundles(spark, sf_dir):
+    """What is known of each survivor of the cascade: the five memories most like it, in order. Labels aren't asked for."""
+    m = memories(spark, sf_dir)
+    known = m.select("memory_id", "signal_type", F.array().cast("array<string>").alias("labels"), F.array("cpu_percent", "latency_ms").alias("features"), recall.trigrams(F.col("message")).alias("grams"), "strength")
+    kept = pipeline.survivors(cascade(spark, sf_dir)).select(F.col("signal_id").alias("query_id"), F.col("signal_type").alias("q_type"), F.array().cast("array<string>").alias("q_labels"), F.array("cpu_percent", "latency_ms").alias("q_features"), recall.trigrams(F.col("message")).alias("q_grams"))
+    found = recall.recall_bounded(kept, known).join(m.select("memory_id", "signal_type", "strength", "message"), "memory_id")
+    return found.select(F.col("query_id").alias("signal_id"), "rank", "memory_id", "signal_type", F.round("strength", 3).alias("strength"), F.substring("message", 1, 150).alias("message"), F.round("score", 3).alias("score"))
 
 
 @query("trigram_jaccard", f"WITH g AS (SELECT item_id, {GRAMS.format('text')} AS g FROM benchmark) SELECT a.item_id AS a, b.item_id AS b, round({JACCARD.format('a.g', 'b.g')}, 6) AS similarity FROM g a JOIN g b ON a.item_id < b.item_id WHERE {JACCARD.format('a.g', 'b.g')} >= 0.3")
@@ -156,6 +179,34 @@ def vector_topk(spark, sf_dir):
     return recall.vector_search(queries, rows, 10, 0.2)
 
 
+_VECTORS = "SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings"
+
+
+@query(
+    "vector_index_topk",
+    f"""WITH v AS ({_VECTORS}), s AS (SELECT q.vec_id AS query_id, CASE WHEN v.label % 2 = 0 THEN 'memories' ELSE 'analyses' END AS source_table, v.vec_id, round(list_cosine_similarity(q.v, v.v), 6) AS similarity FROM v JOIN v q ON q.vec_id % 50 = 0)
+    SELECT query_id, source_table, vec_id, similarity, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, source_table, vec_id) AS rank FROM s WHERE similarity >= 0.2) WHERE rank <= 10""",
+)
+def vector_index_topk(spark, sf_dir):
+    """The nearest of two tables, each searched through an index of its own until its cells' bounds certify the result."""
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").withColumn("v", F.col("embedding").cast("array<double>"))
+    queries = rows.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
+    tables = {"memories": rows.where("label % 2 = 0"), "analyses": rows.where("label % 2 <> 0")}
+    return neighbours.merged({name: neighbours.Index(t, dims=96).search(queries, 10, 0.2) for name, t in tables.items()}, 10)
+
+
+@query("vector_index_recall", f"WITH v AS ({_VECTORS}), s AS (SELECT q.vec_id AS query_id, round(list_cosine_similarity(q.v, v.v), 6) AS similarity, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(q.v, v.v), 6) DESC, v.vec_id) AS rank FROM v JOIN v q ON q.vec_id % 50 = 0 WHERE round(list_cosine_similarity(q.v, v.v), 6) >= 0.2) SELECT count(DISTINCT query_id) AS queries, count(*) AS neighbours, true AS recall_reached FROM s WHERE rank <= 10")
+def vector_index_recall(spark, sf_dir):
+    """How many of the true neighbours the index finds with as many probes as a sample of queries asks for: 0.95 or more."""
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    queries = rows.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
+    index = neighbours.Index(rows)
+    found = index.search(queries, 10, 0.2, index.probes_for(queries, 0.97, 10, 0.2)).select("query_id", "vec_id", F.lit(1).alias("hit"))
+    true = recall.vector_search(queries, rows, 10, 0.2)
+    both = true.join(found, ["query_id", "vec_id"], "left")
+    return both.agg(F.count_distinct("query_id").alias("queries"), F.count("*").alias("neighbours"), (F.count("hit") >= 0.95 * F.count("*")).alias("recall_reached"))
+
+
 _WORD = "substr(sha256(text || ':' || CAST(n // 8 AS VARCHAR)), CAST(n % 8 * 8 + 1 AS BIGINT), 8)"
 
 

@@ -166,7 +166,7 @@ def shadow_sample(spark, sf_dir):
     """A twentieth of what activated rules suppress, to be looked at again: those with the least hashes, so reruns agree."""
     noise = event_signals(spark, sf_dir).where("signal_type = 'heartbeat'").select("signal_id", F.sha2(F.concat(F.lit("shadow:"), F.col("signal_id")), 256).alias("h"))
     n = max(1, noise.count() * 5 // 100)
-    return lowest(noise, n, F.substring("h", 1, 3), "h").select("signal_id")
+    return lowest(noise, n, "h").select("signal_id")
 
 
 # ---------------------------------------------------------------- trends by entity, duplicates by window

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from tamis.plans.recollection import MEMORIES
 from tamis.plans.registry import query
-from tamis.plans.sieve import DAY, _anchored_sql
+from tamis.plans.sieve import _MOVES, _SWINGS, _TRENDS, DAY, _anchored_sql, _over
 from tamis.sources.adapters import SIGNALS_SQL
-from tamis.streaming import jobs
+from tamis.streaming import jobs, stateful
 
 
 def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,3 +50,22 @@ def stream_anchored(spark, sf_dir):
 def stream_memory(spark, sf_dir):
     """Memories merged batch by batch; as many and as strong as those formed at once."""
     return jobs.remember(_stream(spark, sf_dir), ["message"], ["source"]).select("memory_id", "signal_type", "occurrences", F.round("strength", 6).alias("strength"))
+
+
+_FRESH = ", ".join(f"CASE WHEN us - lag(us, {n}) OVER w < 7 * {DAY}000000 THEN lag({f}, {n}) OVER w END AS {f}{n}" for f in _TRENDS for n in (1, 2, 3))
+
+
+@query("stream_trends", f"WITH {SIGNALS_SQL}, lagged AS (SELECT signal_id, us, {', '.join(_TRENDS)}, {_FRESH} FROM signals WINDOW w AS (PARTITION BY source ORDER BY us, seq)) SELECT signal_id, us FROM lagged WHERE ({_over(_TRENDS, _MOVES)}) OR ({_over(_TRENDS, _SWINGS)})")
+def stream_trends(spark, sf_dir):
+    """Trends of each source within a week, from its readings in state; all of them, as the stream is closed."""
+    return stateful.trends(_stream(spark, sf_dir), "source", list(_TRENDS), 3, 7 * DAY, "1 hour", end="2100-01-01")
+
+
+@query(
+    "stream_floods",
+    f"WITH {SIGNALS_SQL} SELECT signal_id, us FROM (SELECT signal_id, us, count(*) OVER (PARTITION BY signal_type, source, namespace ORDER BY us RANGE BETWEEN {DAY}000000 - 1 PRECEDING AND CURRENT ROW) AS n FROM signals WHERE signal_type IN ('heartbeat', 'probe_failure') AND severity IN ('info', 'low')) WHERE n > 2",
+)
+def stream_floods(spark, sf_dir):
+    """What floods within a day that slides with each signal, from counts in state."""
+    mine = _stream(spark, sf_dir).where("signal_type IN ('heartbeat', 'probe_failure') AND severity IN ('info', 'low')")
+    return stateful.floods(mine, ["signal_type", "source", "namespace"], 2, DAY, "1 hour", end="2100-01-01")

@@ -67,12 +67,35 @@ def markdown_sections(spark: SparkSession, path: str) -> DataFrame:
     return parts.select("file", "pos", title.alias("title"), text.alias("body")).where("body <> ''")
 
 
-def table_after(spark: SparkSession, url: str, table: str, key: str, after: int, partitions: int = 8, upto: int | None = None, **options: str) -> DataFrame:
-    """Rows of a database table past a high-water mark of its key; the filter is pushed down, and partitions read key ranges."""
-    reader = spark.read.format("jdbc").option("url", url).option("dbtable", table).options(**options)
-    if upto is not None:
-        reader = reader.option("partitionColumn", key).option("lowerBound", after).option("upperBound", upto).option("numPartitions", partitions)
-    return reader.load().where(F.col(key) > after)
+def table_after(spark: SparkSession, url: str, table: str, key: str, after: int | None = None, rows: int = 100_000, most: int | None = None, **options: str) -> DataFrame:
+    """Rows of a database table whose whole-number key is past a high-water mark (None: all rows with a key), each partition
+    a range of keys that the database is asked for.
+
+    The ends of the keys are asked for first, and cut into equal ranges, so a partition holds about `rows` rows where keys are
+    spread evenly. What comes while the job runs is left to the next one, which starts after the
+    last key of this one (last_key). most: only the rows with the so many least keys, as a page. Columns that are asked for
+    and filters on them are pushed to the database as well. A table without such rows gives none.
+    """
+    at = f"{key} > {int(after)}" if after is not None else f"{key} IS NOT NULL"
+    reader = lambda: spark.read.format("jdbc").option("url", url).options(**options)
+    if most is not None:
+        page = f"(SELECT {key} AS K FROM {table} WHERE {at} ORDER BY {key} FETCH FIRST {int(most)} ROWS ONLY) p"
+        low, high, n = reader().option("dbtable", page).load().toDF("k").agg(F.min("k"), F.max("k"), F.count("*")).first()
+    else:
+        ends = f"(SELECT MIN({key}) AS LOW, MAX({key}) AS HIGH, COUNT(*) AS N FROM {table} WHERE {at}) e"
+        low, high, n = reader().option("dbtable", ends).load().first()
+    if not n:
+        return reader().option("dbtable", table).load().limit(0)
+    width = -(-(high - low + 1) // -(-n // rows))
+    starts = range(low, high + 1, width)
+    ranges = [f"{key} >= {a} AND {key} <= {min(a + width - 1, high)}" for a in starts]
+    return spark.read.jdbc(url, table, predicates=ranges, properties={k: str(v) for k, v in options.items()})
+
+
+def last_key(rows: DataFrame, key: str, before: int | None = None) -> int | None:
+    """The high-water mark after rows were taken: their greatest key, or the mark before where there are none."""
+    found = rows.agg(F.max(key)).first()[0]
+    return before if found is None else int(found)
 
 
 def new_rows(now: DataFrame, before: DataFrame, key: str) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tamis.operators import memory
+from tamis.operators.stores import UpsertTable
 from tamis.operators.tables import shared_folder
 from tamis.sources.adapters import EVENT_COLUMNS, K, content_text
 
@@ -75,34 +76,22 @@ def anchored(stream: DataFrame, keys: list[str], seconds: int, delay: str) -> Da
     return stream.withWatermark("ts", delay).groupBy(*keys).applyInPandasWithState(step, out, "anchor long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def remember(stream: DataFrame, normalized: list[str], kept: list[str], path: str | None = None) -> DataFrame:
+def remember(stream: DataFrame, normalized: list[str], kept: list[str], path: str | None = None, buckets: int = 16) -> DataFrame:
     """Memories of a stream: each batch's are formed and merged into a table by content hash.
 
-    A batch writes version v<number> of the table under path, from version number - 1, so one that is run again writes the
-    same, and a job that starts again at the same path goes on where it stopped (None: a path of its own). Before the first
-    batch there is no version, and the table is empty.
+    The table lies in buckets under path: a batch writes those it has memories of, one that is run again is left out by its
+    number, and a job that starts again at the same path goes on where it stopped (None: a path of its own). Before the
+    first batch the table is empty.
     """
     spark = stream.sparkSession
     path = path or f"{shared_folder(spark)}/streams/memories-{uuid.uuid4().hex}"
     empty = memory.form(spark.createDataFrame([], stream.schema), normalized, kept)
+    table = UpsertTable(spark, f"{path}/memories", "content_hash", memory.united, buckets)
 
     def merge(batch: DataFrame, number: int) -> None:
-        new = memory.form(batch, normalized, kept)
-        if number:
-            old = batch.sparkSession.read.schema(empty.schema).parquet(f"{path}/v{number - 1}")
-            both = old.unionByName(new)
-            whole = ("content_hash", "occurrences", "modified_us", "strength")
-            first = F.min_by(F.struct(*(c for c in both.columns if c not in whole)), "memory_id").alias("f")
-            sums = [F.sum("occurrences").alias("occurrences"), F.max("modified_us").alias("modified_us")]
-            merged = both.groupBy("content_hash").agg(first, *sums).select("content_hash", "f.*", "occurrences", "modified_us")
-            new = merged.withColumn("strength", memory.reinforced(memory.weight(), F.col("occurrences") - 1)).select(*both.columns)
-        new.write.mode("overwrite").parquet(f"{path}/v{number}")
+        table.upsert(memory.form(batch, normalized, kept), number)
 
     job = stream.writeStream.foreachBatch(merge).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True)
     job.start().awaitTermination()
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "[0-9]*")
-    commits = files.load(f"{path}/checkpoint").where(F.contains("path", F.lit("/commits/")))
-    number = commits.select(F.max(F.element_at(F.split("path", "/"), -1).cast("long"))).first()[0]
-    if number is None:
-        return empty
-    return spark.read.schema(empty.schema).parquet(f"{path}/v{number}")
+    found = table.read()
+    return empty if found is None else found

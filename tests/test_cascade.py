@@ -1,5 +1,7 @@
 """The cascade over small literal signals."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -210,7 +212,8 @@ def test_first_rows_and_places(spark):
     values = [(k, (k * 37) % 101, "ab"[k % 2]) for k in range(101)]
     df = spark.createDataFrame(values, "id long, v long, g string")
     for n in (0, 1, 50, 101, 500):
-        assert sorted(r.v for r in places.lowest(df, n, F.floor(F.col("v") / 10), "v").collect()) == sorted(v for _, v, _ in values)[:n]
+        assert sorted(r.v for r in places.lowest(df, n, "v").collect()) == sorted(v for _, v, _ in values)[:n]
+        assert sorted(r.v for r in places.lowest(df, n, "g", "v").collect()) == sorted(v for v, _ in sorted(((v, g) for _, v, g in values), key=lambda x: (x[1], x[0]))[:n])
     got = {r.g: (r.n, r.first, r.middle, r.last) for r in places.values_at(df, ["g"], "v", {"first": F.lit(0), "middle": F.floor(F.col("n") / 2), "last": F.col("n") - 1}).collect()}
     for g in "ab":
         own = sorted(v for _, v, x in values if x == g)
@@ -219,6 +222,22 @@ def test_first_rows_and_places(spark):
     assert places.values_at(same, ["g"], "v", {"m": F.floor(F.col("n") / 2)}).first().m == 5.0
 
 
+def test_selection_of_ties_texts_and_wide_ranges(spark):
+    from tamis.operators import places
+
+    rng = random.Random(2)
+    names = ["", "a", "a\x00", "ab", "abcdefg", "abcdefgh", "abcdefgz", "é", "日本", "z" * 30]
+    rows = [(k, rng.choice([0.1, 0.1, 0.1, -5.0, 1e300, -1e300, 1e-300, 0.5 + k * 1e-12]), rng.choice(names), rng.choice([-(1 << 62), 1 << 62, k])) for k in range(400)]
+    df = spark.createDataFrame(rows, "id long, v double, s string, n long").repartition(5)
+    order = {"v": lambda r: r[1], "s": lambda r: r[2].encode(), "n": lambda r: r[3], "id": lambda r: r[0]}
+    for by in (("v", "id"), ("s", "id"), ("n", "v", "id"), ("s", "v", "n", "id")):
+        ranked = [r[0] for r in sorted(rows, key=lambda r: [order[c](r) for c in by])]
+        for n in (1, 200, 399):
+            assert sorted(r.id for r in places.lowest(df, n, *by).collect()) == sorted(ranked[:n])
+    same = spark.createDataFrame([(1, "x")] * 50, "v int, s string")
+    assert places.lowest(same, 20, "v", "s").count() == 20 and places.lowest(same.limit(0), 5, "v").count() == 0
+
+
 def test_folds_stream_keys_in_order(spark):
     from tamis.operators.folds import fold
 

@@ -96,3 +96,39 @@ def test_run_and_replay(spark, tmp_path):
     assert whole.total == 12 and whole.remaining == spark.read.parquet(str(tmp_path / "out/survivors")).count()
     cli.main(["replay", str(tmp_path / "in"), str(tmp_path / "out"), "--format", "json", "--slices", "3"])
     assert sorted(r.total for r in spark.read.parquet(str(tmp_path / "out/summaries")).collect()) == [4, 4, 4]
+
+
+def derby(spark, name, statements):
+    """An in-memory database of the JVM that the session runs in."""
+    url = f"jdbc:derby:memory:{name};create=true"
+    spark._jvm.java.lang.Class.forName("org.apache.derby.jdbc.EmbeddedDriver")
+    at = spark._jvm.java.sql.DriverManager.getConnection(url)
+    for text in statements:
+        at.createStatement().execute(text)
+    at.close()
+    return url
+
+
+def test_database_table_is_read_by_ranges_of_its_key(spark):
+    n = 100_000
+    url = derby(spark, "jobs", ["CREATE TABLE JOBS (ID BIGINT, NAME VARCHAR(20), STATUS VARCHAR(10))"])
+    rows = spark.range(n).selectExpr("id * 3 AS ID", "concat('job', id) AS NAME", "CASE WHEN id % 10 = 0 THEN 'failed' ELSE 'ok' END AS STATUS")
+    rows.coalesce(2).write.mode("append").option("batchsize", 10_000).jdbc(url, "JOBS")
+    every = readers.table_after(spark, url, "JOBS", "ID", rows=10_000)
+    assert every.rdd.getNumPartitions() == 10 and every.count() == n
+    sizes = [r["count"] for r in every.groupBy(F.spark_partition_id()).count().collect()]
+    assert max(sizes) <= 10_001
+    failed = every.where("STATUS = 'failed'").select("ID")
+    plan = failed._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters" in plan and "EqualTo(STATUS,failed)" in plan.replace("*", "") and "NAME" not in plan.split("ReadSchema")[1]
+    assert failed.count() == n // 10
+    # a poll goes on where the one before stopped
+    page = readers.table_after(spark, url, "JOBS", "ID", 299_000, most=50, rows=20)
+    mark = readers.last_key(page, "ID", 299_000)
+    assert [r.ID for r in page.orderBy("ID").collect()] == list(range(299_001, 299_150, 3)) and mark == 299_148
+    rest = readers.table_after(spark, url, "JOBS", "ID", mark)
+    assert rest.count() == (n * 3 - 3 - mark) // 3
+    end = readers.last_key(rest, "ID", mark)
+    assert readers.table_after(spark, url, "JOBS", "ID", end).count() == 0 and readers.last_key(rest.limit(0), "ID", end) == end
+    derby(spark, "jobs", ["INSERT INTO JOBS VALUES (300001, 'late', 'ok'), (NULL, 'none', 'ok')"])
+    assert [tuple(r) for r in readers.table_after(spark, url, "JOBS", "ID", end).collect()] == [(300_001, "late", "ok")]
