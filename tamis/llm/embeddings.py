@@ -2,9 +2,12 @@
 
 Each pass orders the vectors of a label by one long string of hash bits, the signs of random projections, and compares each
 vector with the ones that follow it in a bounded window. Passes use other projections; their verified pairs are united.
-Equal vectors become one class before that, so that copies don't fill the windows. A pair is split by every bit that it
-differs in before the window reaches over what is left, so a label with more vectors gets more passes (passes_for): about
-the 0.18th power of its size at a cosine of 0.93. A label that fits in a window is compared whole.
+Equal vectors become one class before that, so that copies don't fill the windows. Projections are of what a vector has
+besides its label's mean, as vectors that crowd in one direction would else share most bits. A pair is split by every bit
+that it differs in before the window reaches over what is left, so a label with more vectors, or with vectors that crowd,
+gets more passes: measured on a sample of the label with a partner planted at the threshold for each vector
+(measured_passes), and not fewer than even halving would ask for (passes_for). A label that fits in a window is compared
+whole.
 
 Components of the pairs found are families. A family larger than a window holds links that no window has met, so links are
 counted over whole families, block against block: exact within a family whatever its size, and no pair leaves its task.
@@ -47,11 +50,38 @@ def passes_for(n: int, threshold: float, window: int, recall: float) -> int:
     return 1 if met >= recall else math.ceil(math.log(1 - recall) / math.log(1 - met))
 
 
+def keys_of(m: np.ndarray, planes: np.ndarray) -> np.ndarray:
+    """The signs of projections (bits x components) of each row, as a number, the first bit highest; 64 bits at most."""
+    return (m @ planes.T > 0).astype(np.uint64) @ (np.uint64(1) << np.arange(len(planes), dtype=np.uint64)[::-1])
+
+
+def measured_passes(sample: np.ndarray, n: int, planes: np.ndarray, threshold: float, window: int, recall: float, most: int, seed: int) -> int:
+    """Passes after which a pair at the threshold has met with probability `recall`, in a label of n unit vectors of which
+    `sample` is a part: each has a partner planted at the threshold in a random direction, and what lies between the two in a
+    pass's order is counted in the sample. planes: of the passes to measure. `most` at most, where pairs hardly meet."""
+    if n <= window + 1 or len(sample) < 2:
+        return 1
+    rng = np.random.default_rng(seed)
+    w = rng.standard_normal(sample.shape)
+    w -= (w * sample).sum(1, keepdims=True) * sample
+    w /= np.maximum(np.linalg.norm(w, axis=1, keepdims=True), 1e-12)
+    partner = threshold * sample + math.sqrt(max(0.0, 1 - threshold**2)) * w
+    mean, met = sample.mean(0), []
+    for plane in planes:
+        own, other = keys_of(sample - mean, plane), keys_of(partner - mean, plane)
+        order = np.sort(own)
+        between = np.searchsorted(order, np.maximum(own, other), "left") - np.searchsorted(order, np.minimum(own, other), "right")
+        gap = (np.maximum(between, 0) + 0.5) * n / len(sample)
+        met.append(np.where(between <= 0, min(1.0, window * len(sample) / n), gap <= window).mean())
+    share = float(np.mean(met))
+    return 1 if share >= recall else most if share <= 0 else min(most, math.ceil(math.log(1 - recall) / math.log(1 - share)))
+
+
 def _matrix(column: pa.Array, dims: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.float64).reshape(-1, dims)
 
 
-def near_vectors(vectors: DataFrame, threshold: float = 0.93, recall: float = 0.95, bits: int = 48, window: int = 512, segment: int = 4_000, block: int = 1_024, broadcast_rows: int = 50_000, seed: int = 6) -> DataFrame:
+def near_vectors(vectors: DataFrame, threshold: float = 0.93, recall: float = 0.95, bits: int = 48, window: int = 512, segment: int = 4_000, block: int = 1_024, broadcast_rows: int = 50_000, seed: int = 6, sample: int = 2_000, most_passes: int = 64) -> DataFrame:
     """Per row of vectors (vec_id, embedding, label): n_links, component_id, kept.
 
     Vectors link when their labels are equal and not null, they have as many components, and their cosine in double
@@ -60,7 +90,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, recall: float = 0.
     is the own one. Rows of one vec_id count as vectors of their own when links are counted. A null vec_id links with
     nothing. Other columns aren't read; an empty table gives no rows.
     recall: share of isolated pairs at the threshold itself that are to be met (nearer ones are met more often), which sets
-    the passes of each label. segment: vectors sorted by a task at a time, with the window's width of the next segment's.
+    the passes of each label, measured on about `sample` of its vectors (those with the least hashes), up to most_passes. segment: vectors sorted by a task at a time, with the window's width of the next segment's.
     broadcast_rows: sizes of up to so many labels are broadcast, more are joined.
     """
     rows = vectors.select(F.col("vec_id").cast("long"), F.col("label").cast("string").alias("label"), F.col("embedding").cast("array<double>").alias("v"))
@@ -74,7 +104,11 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, recall: float = 0.
     heads = members.where("vec_id = rep").dropDuplicates(["vec_id", "alike"]).select("rep", "copies", "alike", F.col("label").alias("_label"), "v")
     sizes = materialize(members.where("vec_id = rep").select("alike", F.col("label").alias("_label")).distinct().groupBy("_label").agg(F.count("*").alias("_size")), "sizes")
     few = sizes.limit(broadcast_rows + 1).count() <= broadcast_rows
-    heads = heads.join(F.broadcast(sizes) if few else sizes, "_label").select("rep", "copies", "_size", "_label", "v")
+    heads = heads.join(F.broadcast(sizes) if few else sizes, "_label").select("rep", "copies", "_size", "_label", "v", F.size("v").alias("_dims"))
+    some = heads.where((F.col("_size") > window + 1) & (F.pmod(F.xxhash64("rep", "v"), F.lit(1 << 40)) < F.lit(float(sample)) / F.col("_size") * float(1 << 40)))
+    frames = some.groupBy("_label", "_dims").applyInPandas(_frame(threshold, window, recall, bits, seed, most_passes), "_label string, _dims int, _mean array<double>, _passes int")
+    frames = materialize(frames, "frames")
+    heads = heads.join(frames, ["_label", "_dims"], "left").select("rep", "copies", "_size", "_label", "v", "_mean", "_passes")
     heads = materialize(heads.mapInArrow(_hashed(threshold, window, recall, bits, seed), "rep long, copies long, space string, v binary, hashes array<binary>"), "hashes")
 
     found = _window_pairs(heads, threshold, window, segment)
@@ -93,6 +127,20 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, recall: float = 0.
     return out.select("vec_id", n.cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
 
 
+def _frame(threshold: float, window: int, recall: float, bits: int, seed: int, most: int):
+    """Of a label's sample: the mean of unit vectors, and the passes that its pairs ask for."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        m = np.stack(rows["v"])
+        m /= np.abs(m).max(1, keepdims=True)
+        m /= np.linalg.norm(m, axis=1, keepdims=True)
+        n = int(rows["_size"].iloc[0])
+        passes = measured_passes(m, n, projections(4, bits, m.shape[1], seed), threshold, window, recall, most, seed)
+        return pd.DataFrame({"_label": rows["_label"].iloc[:1], "_dims": [m.shape[1]], "_mean": [m.mean(0)], "_passes": [max(passes, passes_for(n, threshold, window, recall))]})
+
+    return run
+
+
 def _hashed(threshold: float, window: int, recall: float, bits: int, seed: int):
     """Unit vectors as bytes and a string of sign bits for each pass of their label; vectors of other lengths are another
     space."""
@@ -103,7 +151,8 @@ def _hashed(threshold: float, window: int, recall: float, bits: int, seed: int):
         for batch in batches:
             out: list[list] = [[], [], [], [], []]
             vectors = [np.array(x, float) for x in batch.column(4).to_pylist()]
-            own = [passes[x] if x in passes else passes.setdefault(x, passes_for(x, threshold, window, recall)) for x in batch.column(2).to_pylist()]
+            fitted, means = batch.column(6).to_pylist(), batch.column(5)
+            own = [p or (passes[x] if x in passes else passes.setdefault(x, passes_for(x, threshold, window, recall))) for x, p in zip(batch.column(2).to_pylist(), fitted, strict=True)]
             for n, count in {(len(x), c) for x, c in zip(vectors, own, strict=True)}:
                 at = [k for k, x in enumerate(vectors) if (len(x), own[k]) == (n, count)]
                 m = np.stack([vectors[k] for k in at])
@@ -111,7 +160,8 @@ def _hashed(threshold: float, window: int, recall: float, bits: int, seed: int):
                 m /= np.linalg.norm(m, axis=1, keepdims=True)
                 if (n, count) not in planes:
                     planes[n, count] = projections(count, bits, n, seed).reshape(-1, n)
-                signs = np.packbits((m @ planes[n, count].T > 0).reshape(len(at), count, bits), axis=2)
+                apart = m - np.stack([np.zeros(n) if means[k].as_py() is None else np.array(means[k].as_py()) for k in at])
+                signs = np.packbits((apart @ planes[n, count].T > 0).reshape(len(at), count, bits), axis=2)
                 for k, v, s in zip(at, m, signs, strict=True):
                     label = batch.column(3)[k].as_py()
                     for to, x in zip(out, (batch.column(0)[k].as_py(), batch.column(1)[k].as_py(), f"{n}:{label}", v.tobytes(), [b.tobytes() for b in s]), strict=True):

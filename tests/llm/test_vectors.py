@@ -193,3 +193,29 @@ def test_negatives_of_no_rows(spark):
     assert not negatives.hard_negatives(spark.createDataFrame([(50, [1.0], 1), (51, [1.0], 2)], shape), asked).collect()
     rows = [(50, [1.0], 1), (51, [1.0], 1), (52, [0.7], 2), (53, [0.7], 2), (54, [1.0], 2)]
     assert [tuple(r) for r in negatives.hard_negatives(spark.createDataFrame(rows, shape), asked, scale=10).collect()] == [(50, 51, 1, 52, 100, 70), (50, 51, 2, 53, 100, 70)]
+
+
+@pytest.mark.parametrize("crowd", [0.0, 0.5, 0.7])
+def test_measured_passes_meet_pairs_where_vectors_crowd(crowd):
+    """Pairs planted at the threshold among 20,000 vectors whose mean cosine is `crowd`: nine in ten meet in some pass."""
+    from tamis.llm import embeddings
+
+    n, dims, window = int(__import__("os").environ.get("CROWD_ROWS", 20_000)), 64, 512
+    rng = np.random.default_rng(int(100 * crowd))
+    unit = lambda m: m / np.linalg.norm(m, axis=1, keepdims=True)
+    x = unit(math.sqrt(crowd) * unit(rng.standard_normal((1, dims))) + math.sqrt(1 - crowd) * unit(rng.standard_normal((n, dims))))
+    own, t = x[:1_000], 0.9305
+    w = rng.standard_normal(own.shape)
+    w = unit(w - (w * own).sum(1, keepdims=True) * own)
+    x = np.concatenate((x, t * own + math.sqrt(1 - t * t) * w))
+    sample = x[rng.choice(len(x), 2_000, replace=False)]
+    planes = embeddings.projections(64, 48, dims, 6)
+    passes = max(embeddings.measured_passes(sample, len(x), planes[:4], 0.93, window, 0.95, 64, 6), embeddings.passes_for(len(x), 0.93, window, 0.95))
+    met = np.zeros(len(own), bool)
+    for plane in planes[:passes]:
+        order = np.argsort(embeddings.keys_of(x - sample.mean(0), plane), kind="stable")
+        rank = np.empty(len(x), int)
+        rank[order] = np.arange(len(x))
+        met |= np.abs(rank[: len(own)] - rank[n:]) <= window
+    print(crowd, passes, met.mean())
+    assert met.mean() >= 0.9 and passes < 40
