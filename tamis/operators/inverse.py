@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tamis.operators.places import lowest
+
 SUPPRESSING = ("suppress", "dedupe", "drop")
 
 
@@ -15,6 +17,15 @@ def archive(decisions: DataFrame) -> DataFrame:
     return made.withColumn("strength", F.least(F.lit(1.0), F.col("count") / 100.0))
 
 
+def archive_with_evidence(decisions: DataFrame, evidence: Column, capacity: int) -> DataFrame:
+    """archive with the evidence of each pattern's first decision (200 characters), and of more than `capacity` patterns the
+    strongest ones, ties by type and agent."""
+    rows = decisions.where(F.col("outcome").isin(*SUPPRESSING)).withColumn("_said", F.substring(evidence, 1, 200))
+    said = rows.groupBy("signal_type", "agent_name").agg(F.min_by("_said", "signal_id").alias("evidence_sample"))
+    whole = archive(decisions).join(said, ["signal_type", "agent_name"])
+    return lowest(whole.withColumn("_weak", -F.col("strength")), capacity, "_weak", "signal_type", "agent_name").drop("_weak")
+
+
 def expectations(patterns: DataFrame, least: int = 10, hours: float = 1.0) -> DataFrame:
     """Intervals at which types that make up over a hundredth of suppressions should be seen."""
     types = patterns.groupBy("signal_type").agg(F.sum("count").alias("count"))

@@ -68,6 +68,38 @@ def next_tier(agents: DataFrame, human_gate: bool = False) -> DataFrame:
     return agents.withColumn("new_tier", F.when(F.coalesce("deactivated", F.lit(False)), F.col("tier")).when(fell, F.lit("draft")).otherwise(step)).withColumn("deactivated", F.coalesce("deactivated", F.lit(False)) | fell)
 
 
+def walk_types(counts: DataFrame, least: int = 200, most_important: int = 0) -> DataFrame:
+    """Types (counts of level 'type': signal_type, noise, important) as rules that climb from draft as far as their answers
+    carry them, nano at most: samples, important, accuracy, rates, rubric_status, tier, activated. A type is activated at
+    nano with at least `least` answers of which at most `most_important` are important. Types without answers have no row."""
+    total = F.col("noise") + F.col("important")
+    rows = counts.where((F.col("level") == "type") & (total > 0))
+    rows = rows.select("signal_type", total.alias("samples"), "important", (F.col("noise") / total).alias("accuracy"), (F.col("important") / total).alias("false_positive_rate"))
+    enough = (F.col("samples") >= least) & (F.col("important") <= most_important)
+    rows = rows.withColumns({"false_negative_rate": F.col("false_positive_rate"), "fn": F.lit(0), "tier": F.lit("draft"), "rubric_status": F.when(enough, "green").otherwise("red")})
+    rows = rows.withColumns({c: F.lit(False) for c in ("human_reviewed", "human_approved", "deactivated")})
+    for _ in ("candidate", "nano"):
+        rows = next_tier(rows).withColumn("tier", F.col("new_tier")).drop("new_tier")
+    return rows.withColumn("activated", (F.col("tier") == "nano") & enough).drop("fn", "human_reviewed", "human_approved", "deactivated")
+
+
+def walk_events(walked: DataFrame) -> DataFrame:
+    """What a walk says in the log: a row where a type left draft, and one where it was activated."""
+    event = lambda name, status: F.struct(F.lit(name).alias("event"), status.alias("status"))
+    said = F.array_compact(F.array(
+        F.when(F.col("tier") != "draft", event("promoted", F.col("rubric_status"))),
+        F.when(F.col("activated"), event("activated", F.lit("validated"))),
+    ))
+    return walked.withColumn("e", F.explode(said)).select("signal_type", "e.event", "tier", "e.status", "samples", "important")
+
+
+def demotions(agents: DataFrame) -> DataFrame:
+    """An event for each activated rule (name, tier, samples, accuracy, rates, fn) that missed anything: it falls to draft."""
+    fell = agents.where(F.col("tier").isin(*ACTIVATED) & (F.col("fn") > 0) & ~F.coalesce("deactivated", F.lit(False)))
+    reason = F.concat(F.col("fn").cast("string"), F.lit(" false negative(s) in validation batch"))
+    return fell.select(F.col("name").alias("agent_name"), F.lit("demotion").alias("event_type"), F.col("tier").alias("from_tier"), F.lit("draft").alias("to_tier"), F.col("samples").alias("samples_tested"), "accuracy", "false_positive_rate", "false_negative_rate", F.col("fn").alias("false_negative_count"), reason.alias("reason"))
+
+
 def rubric_matrix(agents: DataFrame) -> DataFrame:
     counts = agents.agg(F.count("*").alias("total"), F.count_if(F.col("rubric_status") == "green").alias("green"), F.count_if(F.col("rubric_status") == "yellow").alias("yellow"))
     counts = counts.withColumn("red", F.col("total") - F.col("green") - F.col("yellow"))

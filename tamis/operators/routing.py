@@ -214,10 +214,13 @@ def simulation_summary(samples: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- answers
 
 
+# What templates name the text.
+PLACEHOLDERS = ("document", "transaction", "dispute", "transaction_details", "application", "claim", "policy_text", "product", "review", "signal", "ticket", "log_excerpt", "customer_profile")
+
+
 def filled_prompt(template: Column, text: Column) -> Column:
-    """A template with every placeholder replaced by the text."""
-    names = ("document", "transaction", "dispute", "transaction_details", "application", "claim", "policy_text", "product", "review", "signal", "ticket", "log_excerpt", "customer_profile")
-    for name in names:
+    """A template with every placeholder replaced by the text, one after the other."""
+    for name in PLACEHOLDERS:
         template = F.replace(template, F.lit(f"{{{name}}}"), text)
     return template
 

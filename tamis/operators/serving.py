@@ -107,6 +107,31 @@ def lookup(wanted: DataFrame, entries: DataFrame, excluded: tuple[str, ...] = ()
     return both.select("industry", "task", F.expr("try_element_at(filter(m, x -> not array_contains(array(%s), x)), 1)" % ", ".join(f"'{x}'" for x in (*excluded, ""))).alias("model"))
 
 
+def choose_entry(wanted: DataFrame, entries: DataFrame, default: str = "basic") -> DataFrame:
+    """The entry that serves each of wanted (industry, task, tier, use_int8, excluded: an array of models): that of its
+    industry, else that of `default`. model, dtype, fallback; no row where there is none or all of its models are excluded.
+
+    entries: industry, task, tier, config, fallback (structs of model and dtype) and alternatives (an array of such). Where
+    INT8 is wanted, the first INT8 alternative takes the place of a configuration that isn't one, which becomes the fallback.
+    An excluded model gives way to the fallback, else to the first alternative that isn't excluded, without a fallback then.
+    """
+    shape = "config", "fallback", "alternatives"
+    own = entries.select("industry", "task", "tier", F.struct(*shape).alias("own"))
+    basic = entries.where(F.col("industry") == default).select("task", "tier", F.struct(*shape).alias("basic"))
+    both = wanted.join(own, ["industry", "task", "tier"], "left").join(basic, ["task", "tier"], "left")
+    both = both.withColumn("e", F.coalesce("own", "basic")).where("e is not null")
+    int8 = F.try_element_at(F.filter("e.alternatives", lambda a: a["dtype"] == "int8"), F.lit(1))
+    swaps = F.col("use_int8") & (F.col("e.config.dtype") != "int8") & int8.isNotNull()
+    rest = F.filter("e.alternatives", lambda a: a["model"] != int8["model"])
+    both = both.withColumns({"c": F.when(swaps, int8).otherwise(F.col("e.config")), "f": F.when(swaps, F.col("e.config")).otherwise(F.col("e.fallback")), "a": F.when(swaps, rest).otherwise(F.col("e.alternatives"))})
+    out = lambda x: F.array_contains("excluded", x["model"])
+    left = F.try_element_at(F.filter("a", lambda x: ~out(x)), F.lit(1))
+    gone = F.coalesce(out(F.col("c")), F.lit(False))
+    usable = F.col("f").isNotNull() & ~F.coalesce(out(F.col("f")), F.lit(False))
+    found = both.withColumn("chosen", F.when(~gone, F.col("c")).when(usable, F.col("f")).otherwise(left)).where("chosen is not null")
+    return found.select(*wanted.columns, F.col("chosen.model").alias("model"), F.col("chosen.dtype").alias("dtype"), F.when(~gone, F.col("f.model")).alias("fallback"))
+
+
 def params_billions(text: Column) -> Column:
     """350M, 2B, 2B+350M (the larger), 35B total / 3B active (the active), as billions; 0 if none."""
     active = F.regexp_extract(text, r"(?i)(\d+(?:\.\d+)?)\s*B\s*active", 1)

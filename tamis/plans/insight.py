@@ -53,9 +53,20 @@ def causal_links(spark, sf_dir):
     return intelligence.causal_links(memories(spark, sf_dir), edges(spark)).select("memory_id", "cause", "effect")
 
 
-@query("causal_closure", f"WITH RECURSIVE {EDGES}, reach(start, reached) AS (SELECT cause, effect FROM edges UNION SELECT start, effect FROM reach JOIN edges ON cause = reached) SELECT * FROM reach")
+_SEEN = "SELECT DISTINCT signal_type, severity FROM signals"
+
+
+@query(
+    "causal_closure",
+    f"{WITH}, {EDGES}, seen AS ({_SEEN}), held AS (SELECT DISTINCT a.signal_type || ':' || a.severity AS cause, b.signal_type || ':' || b.severity AS effect FROM edges e JOIN seen a ON a.signal_type = e.cause JOIN seen b ON b.signal_type = e.effect AND (b.severity = a.severity OR b.severity = 'critical')), reach(start, reached) AS (SELECT cause, effect FROM held UNION SELECT start, effect FROM reach JOIN held ON cause = reached) SELECT * FROM reach",
+)
 def causal_closure(spark, sf_dir):
-    return intelligence.closure(edges(spark))
+    """All that follows, over any number of steps, from causes among the types and severities that the events hold."""
+    seen = event_signals(spark, sf_dir).select("signal_type", "severity").distinct()
+    name = lambda side: F.concat(F.col(f"{side}.signal_type"), F.lit(":"), F.col(f"{side}.severity"))
+    e, a, b = edges(spark).alias("e"), seen.alias("a"), seen.alias("b")
+    both = e.join(a, F.col("a.signal_type") == F.col("e.cause")).join(b, (F.col("b.signal_type") == F.col("e.effect")) & ((F.col("b.severity") == F.col("a.severity")) | (F.col("b.severity") == "critical")))
+    return intelligence.closure(both.select(name("a").alias("cause"), name("b").alias("effect")).distinct())
 
 
 @query("missing_causes", f"{MEMORIES}, {EDGES} SELECT cause, effect FROM edges WHERE effect IN (SELECT signal_type FROM memories) AND cause NOT IN (SELECT signal_type FROM memories)")

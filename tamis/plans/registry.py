@@ -6,7 +6,7 @@ import importlib
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-MODULES = ("sieve", "learning", "recollection", "insight", "domains", "serving", "streams", "collected", "routing", "governance")
+MODULES = ("sieve", "learning", "recollection", "insight", "domains", "serving", "streams", "collected", "routing", "governance", "ladders")
 
 
 def query(name: str, sql: str | None = None):

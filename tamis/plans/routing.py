@@ -201,9 +201,15 @@ def simulation_summary(spark, sf_dir):
 _TEMPLATE = "Read {document} and {ticket}, keep {this}."
 
 
-@query("prompts_filled", f"SELECT conv_id, turn, replace(replace('{_TEMPLATE}', '{{document}}', text), '{{ticket}}', text) AS prompt FROM conversations WHERE text IS NOT NULL AND text NOT LIKE '%{{%'")
+_FILLED = f"'{_TEMPLATE}'"
+for _name in routing.PLACEHOLDERS:
+    _FILLED = f"replace({_FILLED}, '{{{_name}}}', text)"
+
+
+@query("prompts_filled", f"SELECT conv_id, turn, {_FILLED} AS prompt FROM conversations WHERE text IS NOT NULL")
 def prompts_filled(spark, sf_dir):
-    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").where("text is not null and text not like '%{%'")
+    """Every text that there is in a template; what a text itself has in braces is filled as well where it is a placeholder."""
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").where("text is not null")
     return rows.select("conv_id", "turn", routing.filled_prompt(F.lit(_TEMPLATE), F.col("text")).alias("prompt"))
 
 

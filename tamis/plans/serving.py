@@ -54,12 +54,15 @@ def corpora_lookup(spark, sf_dir):
     return serving.lookup(part.select("industry", "task").distinct(), entries, ("red widget",), "ECONOMY")
 
 
-_PARAMS = ["350M", "2B", "3.8B", "2B+350M", "35B total / 3B active (MoE)", "unknown"]
+_SIZE = "CAST(p_size AS {0})"
+_PARAMS = "CASE p_partkey % 6 WHEN 0 THEN concat({0}, '0M') WHEN 1 THEN concat({0}, 'B') WHEN 2 THEN concat({0}, '.5B') WHEN 3 THEN concat({0}, 'B+350M') WHEN 4 THEN concat({0}, '5B total / ', {0}, 'B active (MoE)') ELSE 'unknown' END"
 
 
-@query("params_parse", "SELECT s AS params, CAST(v AS DOUBLE) AS billions FROM (VALUES ('350M', 0.35), ('2B', 2.0), ('3.8B', 3.8), ('2B+350M', 2.0), ('35B total / 3B active (MoE)', 3.0), ('unknown', 0.0)) t(s, v)")
+@query("params_parse", f"SELECT p_partkey, {_PARAMS.format(_SIZE.format('VARCHAR'))} AS params, CASE p_partkey % 6 WHEN 0 THEN round(p_size / 100.0, 6) WHEN 1 THEN p_size WHEN 2 THEN p_size + 0.5 WHEN 3 THEN p_size WHEN 4 THEN p_size ELSE 0 END::DOUBLE AS billions FROM part")
 def params_parse(spark, sf_dir):
-    return spark.createDataFrame([(p,) for p in _PARAMS], "params string").withColumn("billions", F.round(serving.params_billions(F.col("params")), 6))
+    """Parts' sizes as models' parameters in all the ways that they are written."""
+    rows = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", F.expr(_PARAMS.format(_SIZE.format("STRING"))).alias("params"))
+    return rows.withColumn("billions", F.round(serving.params_billions(F.col("params")), 6))
 
 
 SAMPLES = "SELECT l_shipdate, l_returnflag AS model, l_linestatus AS task, l_extendedprice AS latency_ms, l_quantity AS output_tokens FROM lineitem"

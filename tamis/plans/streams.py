@@ -41,9 +41,9 @@ def stream_sessions(spark, sf_dir):
 
 @query("stream_anchored", _anchored_sql("concat_ws(':', source, signal_type)", "true") + " WHERE first")
 def stream_anchored(spark, sf_dir):
-    """The exact anchored windows, by keyed state."""
-    stream = _stream(spark, sf_dir).select("ts", "us", "seq", "signal_id", "source", "signal_type")
-    return jobs.available(jobs.anchored(stream, ["source", "signal_type"], DAY, "1 day"), "anchored").select("signal_id", F.lit(True).alias("anchored"))
+    """The anchored windows, by keyed state that looks at rows in order of time."""
+    found = stateful.anchored(_stream(spark, sf_dir), ["source", "signal_type"], DAY, end="2100-01-01")
+    return found.select("signal_id", F.lit(True).alias("anchored"))
 
 
 @query("stream_memory", MEMORIES + "SELECT memory_id, signal_type, occurrences, round(strength, 6) AS strength FROM memories")

@@ -57,3 +57,8 @@ def severity_rank(severity: str = "severity") -> Column:
 def first_of(columns: dict[str, Column]) -> Column:
     """name=value of the first column with a value: the key of the thing that a reading is about."""
     return F.coalesce(*(F.when(F.coalesce(c, F.lit("")) != "", F.concat(F.lit(f"{n}="), c)) for n, c in columns.items()))
+
+
+def seconds_of(text: str) -> Column:
+    """An ISO time as seconds since 1970 (UTC where it names no zone); 0 where it is none, so that such rows come first."""
+    return F.coalesce(F.unix_micros(F.try_to_timestamp(F.col(text))) / 1_000_000, F.lit(0.0))

@@ -7,12 +7,8 @@ trigger for a service. Tables and checkpoints lie in the folder that spark.check
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tamis.operators import memory
 from tamis.operators.stores import UpsertTable
@@ -53,29 +49,6 @@ def sessions(stream: DataFrame, gap: str, delay: str, *by: str) -> DataFrame:
     return found.select(F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), *by, "members", "types")
 
 
-def anchored(stream: DataFrame, keys: list[str], seconds: int, delay: str) -> DataFrame:
-    """Signals that open a window of their key: exact, with one time held for each key until the watermark passes its window."""
-    width = seconds * 1_000_000
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        rows = pd.concat(list(batches)).sort_values(["us", "seq"])
-        anchor = state.get[0] if state.exists else None
-        firsts = []
-        for us, signal in zip(rows["us"].tolist(), rows["signal_id"].tolist(), strict=True):
-            if anchor is None or us - anchor >= width:
-                anchor = us
-                firsts.append((*key, signal, us))
-        state.update((anchor,))
-        state.setTimeoutTimestamp(max((anchor + width) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(firsts, columns=[*keys, "signal_id", "us"])
-
-    out = ", ".join(f"{k} string" for k in keys) + ", signal_id long, us long"
-    return stream.withWatermark("ts", delay).groupBy(*keys).applyInPandasWithState(step, out, "anchor long", "append", GroupStateTimeout.EventTimeTimeout)
-
-
 def remember(stream: DataFrame, normalized: list[str], kept: list[str], path: str | None = None, buckets: int = 16) -> DataFrame:
     """Memories of a stream: each batch's are formed and merged into a table by content hash.
 

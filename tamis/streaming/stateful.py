@@ -165,6 +165,32 @@ class Flood(InOrder):
         self.counts.clear()
 
 
+class Anchored(InOrder):
+    """The first row of each window of `seconds` that opens with the first row no earlier window holds."""
+
+    def __init__(self, seconds: int):
+        super().__init__([])
+        self.width = seconds * 1_000_000
+
+    def open(self, handle: StatefulProcessorHandle) -> None:
+        self.anchor = handle.getValueState("anchor", "us bigint")
+
+    def look(self, due: list[tuple]) -> list[tuple]:
+        anchor, found = (self.anchor.get()[0] if self.anchor.exists() else None), []
+        for us, _, signal in due:
+            if anchor is None or us - anchor >= self.width:
+                anchor = us
+                found.append((signal, us))
+        self.anchor.update((anchor,))
+        return found
+
+    def forget(self) -> int:
+        return self.width
+
+    def drop(self) -> None:
+        self.anchor.clear()
+
+
 @contextmanager
 def rocks(spark: SparkSession):
     """Streams that start within it keep their state in RocksDB, and take the latest of their sources' watermarks."""
@@ -229,3 +255,9 @@ def floods(stream: DataFrame, keys: list[str], most: int = 3, seconds: int = 300
     """What floods: more than `most` of a key within a window that slides with each row."""
     rows = stream.where(F.coalesce(*keys).isNotNull()).select("ts", "us", "seq", "signal_id", *keys)
     return run(rows, keys, Flood(most, seconds), delay, path, end)
+
+
+def anchored(stream: DataFrame, keys: list[str], seconds: int, delay: str = "1 hour", path: str | None = None, end: str | None = None) -> DataFrame:
+    """Signals that open a window of their key."""
+    rows = stream.where(F.coalesce(*keys).isNotNull()).select("ts", "us", "seq", "signal_id", *keys)
+    return run(rows, keys, Anchored(seconds), delay, path, end)
