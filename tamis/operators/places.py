@@ -30,7 +30,11 @@ def _cut(rows: DataFrame, n: int, level: Column, bins: int = 4_096) -> tuple[flo
     low, high, count = rows.agg(F.min(level), F.max(level), F.count("*")).first()
     below = 0
     while low < high:
-        part = F.least(F.floor((level - F.lit(low)).cast("double") / (float(high - low) / bins)), F.lit(bins - 1))
+        if isinstance(low, int):  # differences of longs may be none
+            off, span = (level.cast("decimal(38,0)") - F.lit(low)).cast("double"), float(high - low)
+        else:
+            off, span = level * 0.5 - F.lit(low * 0.5), high * 0.5 - low * 0.5
+        part = F.least(F.floor(off / span * bins), F.lit(bins - 1))
         inside = rows.where(level.between(F.lit(low), F.lit(high)))
         counts = inside.groupBy(part.alias("p")).agg(F.count("*").alias("c"), F.min(level).alias("low"), F.max(level).alias("high")).orderBy("p").collect()  # at most `bins` rows
         for r in counts:
