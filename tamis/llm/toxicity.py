@@ -73,9 +73,9 @@ def _present(texts: list[str], sizes: tuple[int, ...], bits: int, wanted: np.nda
     return both >> bits, both & ((1 << bits) - 1)
 
 
-def learn(labelled: DataFrame, sizes: tuple[int, ...] = (3, 4, 5, 6), bits: int = 20, features: int = 4_096, evidence: float = 14.0, tasks: int = 16) -> Model:
-    """A model of labelled (text, toxic 0 or 1), a bounded sample. features: the n-grams with the highest log-likelihood
-    ratio of label and presence, of those where it is at least `evidence`."""
+def learn(labelled: DataFrame, sizes: tuple[int, ...] = (3, 4, 5, 6), bits: int = 20, evidence: float = 14.0, tasks: int = 16) -> Model:
+    """A model of labelled (text, toxic 0 or 1), a bounded sample, over all n-grams whose log-likelihood ratio of label and
+    presence is at least `evidence`."""
     labelled = labelled.select(column_or_null(labelled, "text", "string").alias("text"), F.col("toxic").cast("int").alias("toxic")).repartition(tasks)
     slices = 64
     width = (1 << bits) // slices
@@ -108,10 +108,7 @@ def learn(labelled: DataFrame, sizes: tuple[int, ...] = (3, 4, 5, 6), bits: int
     expected = (clean + toxic) / (n0 + n1)
     xlog = lambda a, b: np.where(a > 0, a * np.log(np.maximum(a, 1e-9) / np.maximum(b, 1e-9)), 0)
     gain = 2 * (xlog(toxic, n1 * expected) + xlog(clean, n0 * expected) + xlog(n1 - toxic, n1 * (1 - expected)) + xlog(n0 - clean, n0 * (1 - expected)))
-    best = np.argsort(-gain, kind="stable")[:features]
-    best = best[gain[best] >= evidence]
-    wanted = np.zeros(1 << bits, bool)
-    wanted[best] = True
+    wanted = gain >= evidence
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
