@@ -317,11 +317,11 @@ def _drawn_sql(seed: int, name: str, choices: tuple) -> str:
 
 def _generated(domain: str):
     def run(spark, sf_dir):
-        return synthetic.records(spark, domain, 20_000)
+        return synthetic.records(spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_id").alias("id")), domain)
 
     return run
 
 
 for _domain, _columns in synthetic.DOMAINS.items():
     _made = ", ".join(f"{_drawn_sql(42, n, c)} AS {n}" for n, c in _columns.items())
-    query(f"generated_{_domain}", f"SELECT id, {_made} FROM range(0, 20000) AS r(id)")(_generated(_domain))
+    query(f"generated_{_domain}", f"SELECT id, {_made} FROM (SELECT event_id AS id FROM events)")(_generated(_domain))

@@ -5,7 +5,7 @@ A row's choice in a column is taken from a digest of seed, row and column, so ro
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Columns of a domain: choices, each as likely as often as it is named, or (low, high) of a number.
@@ -53,6 +53,6 @@ def drawn(seed: int, name: str, choices: tuple) -> Column:
     return F.element_at(F.array(*map(F.lit, choices)), (draw % len(choices) + 1).cast("int"))
 
 
-def records(spark: SparkSession, domain: str, rows: int, seed: int = 42) -> DataFrame:
-    """id from 0, and the columns of the domain."""
-    return spark.range(rows).select("id", *(drawn(seed, n, c).alias(n) for n, c in DOMAINS[domain].items()))
+def records(ids: DataFrame, domain: str, seed: int = 42) -> DataFrame:
+    """A record of the domain for each row of ids (id)."""
+    return ids.select("id", *(drawn(seed, n, c).alias(n) for n, c in DOMAINS[domain].items()))
