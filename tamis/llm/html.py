@@ -15,6 +15,7 @@ import re
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 from html import unescape
 
 import pyarrow as pa
@@ -85,12 +86,30 @@ _CLOSES = {
 _PARAGRAPH = (("p",), ("table", "td", "th", "button", "object"))
 
 
+#: Words of readers' comments: outside of articles a class that holds one is no content whatever else it says, unless one of
+#: the others says that it is only about whether there are any.
+COMMENTS = frozenset("comment comments disqus replies".split())
+ABOUT = frozenset("has have no not with without allow allows open opened closed enabled disabled on off".split())
+_NUMBER = re.compile("v?[0-9]+$")
+
+
+@lru_cache(maxsize=1 << 14)
+def _parts(value: str) -> tuple[str, ...]:
+    """Words of a class or id, without the numbers and versions at their ends."""
+    return tuple(p for p in (_NUMBER.sub("", x) for x in re.split(r"[-_]+", value)) if p)
+
+
 def _named_no_content(value: str) -> bool:
     """Whether a class or id holds a word of NAMES and otherwise only words of PLACES."""
-    parts = [p for p in re.split(r"[-_]+", value) if p]
+    parts = _parts(value)
     return any(p in NAMES for p in parts) and all(p in NAMES or p in PLACES for p in parts)
 
 
+def _comments(value: str) -> bool:
+    parts = _parts(value)
+    return any(p in COMMENTS for p in parts) and not any(p in ABOUT for p in parts)
+
+
 def _no_content(tag: str, attributes: str, in_article: bool, in_root: bool) -> bool:
     """in_root: within an article or main, where fewer names decide. Ids of headings are slugs of what they say."""
     if tag in DROPPED or tag == "header" and not in_article:
@@ -101,6 +120,8 @@ def _no_content(tag: str, attributes: str, in_article: bool, in_root: bool) -> b
         name, value = name.lower(), "".join(values).lower()
         if name in ("class", "id"):
             whole = value.split()
+            if name == "class" and not in_article and any(map(_comments, whole)):
+                return True
             if in_root:
                 known = INNER_CLASSES if name == "class" else INNER_IDS
                 if any(x in known for x in whole) or "header" in whole and not in_article:

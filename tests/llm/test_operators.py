@@ -255,6 +255,8 @@ def test_main_text(page, want):
         ("<article><p>a</p><div class='box ad'>b</div><div id='comments'>c</div><div class='share-buttons'>d</div></article>", "a"),
         ("<p>before</p><article><p>a</p></article><div class='share-price'>b</div><div class='related-work'>c</div><div class='main-nav'>d</div>", "before a b c"),
         ("<article>x <math><mi>y</mi> = 2</math> z</article>", "x y = 2 z"), ("<p>&lt;p stays</p>", "<p stays"), ("<p>a<nav>b<p>c</nav>d", "a d"),
+        ("<p>a</p><div class='user-comment'>b</div><ul class='post-comments-2'><li>c</ul><div class='cookie-banner-v2'>d</div><div class='ad-slot-3'>e</div><div class='sidebar-widget2'>f</div><p>g</p>", "a g"),
+        ("<main><div class='reader-comments'>a</div><div class='has-comments'><p>b</p></div></main><div class='comments-open'>c</div><div class='h264-notes'>d</div><article class='comments-open'><p class='comment-culture'>e</p></article>", "b c d e"),
         ('<p title="a > b">c</p><p title="open>d</p>', "c d"), ("<p title='a>b' class=x>c", "c"), ("a < b and </ > c", "a < b and c"),
     ],
 )
