@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import os
 from functools import partial
 
 import numpy as np
@@ -200,7 +201,7 @@ def test_measured_passes_meet_pairs_where_vectors_crowd(crowd):
     """Pairs planted at the threshold among 20,000 vectors whose mean cosine is `crowd`: nine in ten meet in some pass."""
     from tamis.llm import embeddings
 
-    n, dims, window = int(__import__("os").environ.get("CROWD_ROWS", 20_000)), 64, 512
+    n, dims, window = int(os.environ.get("CROWD_ROWS", 20_000)), 64, 512
     rng = np.random.default_rng(int(100 * crowd))
     unit = lambda m: m / np.linalg.norm(m, axis=1, keepdims=True)
     x = unit(math.sqrt(crowd) * unit(rng.standard_normal((1, dims))) + math.sqrt(1 - crowd) * unit(rng.standard_normal((n, dims))))
@@ -217,5 +218,4 @@ def test_measured_passes_meet_pairs_where_vectors_crowd(crowd):
         rank = np.empty(len(x), int)
         rank[order] = np.arange(len(x))
         met |= np.abs(rank[: len(own)] - rank[n:]) <= window
-    print(crowd, passes, met.mean())
     assert met.mean() >= 0.9 and passes < 40
