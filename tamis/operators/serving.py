@@ -230,13 +230,15 @@ def tiers(workloads: DataFrame) -> DataFrame:
 
 
 def owned_cost(split: DataFrame, hardware: DataFrame, years: int = 3, redundancy: float = 1.5, pue: float = 1.4, per_kwh: float = 0.12, hours: int = 8760) -> DataFrame:
-    """Units and cost of each workload on each hardware that has a measured speed for both tiers (micro_tps, macro_tps)."""
+    """Units and cost of each workload on each hardware that has a measured speed for both tiers (micro_tps, macro_tps). A
+    workload without signals costs nothing, and for each signal NaN, as SQL's doubles say it."""
     tokens = F.col("tokens_in") + F.col("tokens_out")
     units = lambda tier: F.when(F.col(tier) * tokens > 0, F.ceil(F.col(tier) * tokens / (F.col(f"{tier}_tps") * 86400))).otherwise(0)
     served = ((F.col("micro") * tokens == 0) | (F.col("micro_tps") > 0)) & ((F.col("macro") * tokens == 0) | (F.col("macro_tps") > 0))
     rows = split.crossJoin(F.broadcast(hardware)).where(served).withColumn("units", F.ceil((units("micro") + units("macro")) * redundancy).cast("long"))
     rows = rows.withColumn("capex", F.col("units") * F.col("unit_cost")).withColumn("power", F.col("units") * F.col("watts") * hours * per_kwh * pue / 1000)
-    return rows.withColumn("tco", F.col("capex") + years * F.col("power")).select("workload", "hardware", "units", F.round("capex", 2).alias("capex"), F.round("power", 2).alias("power"), F.round("tco", 2).alias("tco"), F.round(F.col("tco") / (F.col("daily_volume") * 365 * years), 8).alias("per_signal"))
+    each = F.when(F.col("daily_volume") == 0, F.lit(float("nan"))).otherwise(F.col("tco") / (F.col("daily_volume") * 365 * years))
+    return rows.withColumn("tco", F.col("capex") + years * F.col("power")).select("workload", "hardware", "units", F.round("capex", 2).alias("capex"), F.round("power", 2).alias("power"), F.round("tco", 2).alias("tco"), F.round(each, 8).alias("per_signal"))
 
 
 def rented_cost(split: DataFrame, per_1k_in: float, per_1k_out: float, years: int = 3) -> DataFrame:

@@ -1,5 +1,6 @@
 """The cascade over small literal signals."""
 
+import math
 import random
 
 import pytest
@@ -262,3 +263,10 @@ def test_stream_memory_starts_again_where_it_stopped(spark, tmp_path):
     part.where("event_id % 2 = 1").coalesce(1).write.mode("append").parquet(str(source))
     assert (half, run().agg(F.sum("occurrences")).first()[0]) == (part.where("event_id % 2 = 0").count(), part.count())
     assert run().agg(F.sum("occurrences")).first()[0] == part.count()
+
+
+def test_a_workload_without_signals_has_no_cost_for_each(spark):
+    rows = spark.createDataFrame([(1, 0, 70.0, 10.0, 20.0, 150, 20), (2, 1_000_000, 70.0, 10.0, 20.0, 150, 20)], "workload long, daily_volume long, routine_pct double, ambiguous_pct double, complex_pct double, tokens_in int, tokens_out int")
+    hardware = spark.createDataFrame([("cpu", 12000.0, 700.0, 400.0, 60.0)], "hardware string, unit_cost double, watts double, micro_tps double, macro_tps double")
+    got = {r.workload: r for r in serving.owned_cost(serving.tiers(rows), hardware).collect()}
+    assert (got[1].units, got[1].tco) == (0, 0.0) and math.isnan(got[1].per_signal) and got[2].per_signal > 0
