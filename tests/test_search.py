@@ -176,3 +176,20 @@ def test_merged_days_are_within_their_error(spark):
     assert {(r.kind, r.reason) for r in baselines.compare(halves[0], other).collect()} == {("a", "slower"), ("b", "unexpected")}
     none = baselines.estimates(baselines.daily(rows.limit(5).withColumn("v", F.lit(None).cast("double")), "kind", "us", "who", "v")).first()
     assert none.q50 is None and none.members == 5 and rng is not None
+
+
+def test_a_query_goes_once_to_a_slot_of_cells(spark, monkeypatch):
+    """Where bounds prune nothing, a query's vector isn't sent once for each cell; what is fitted stays out of the driver."""
+    made = {}
+    monkeypatch.setattr(neighbours, "written", lambda df, name, *by, put=neighbours.written: made.setdefault(name, put(df, name, *by)))
+    rng = np.random.default_rng(2)
+    rows = [(k, rng.standard_normal(24).tolist()) for k in range(1_200)]
+    df = spark.createDataFrame(rows, "vec_id long, v array<double>")
+    index = neighbours.Index(df, cells=40, part_rows=400)
+    asked = df.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
+    got = sorted((r.query_id, r.rank, r.vec_id) for r in index.search(asked, 5, 0.1).collect())
+    u = np.array([v for _, v in rows])
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    want = [(k, r, int(j)) for k in range(0, 1_200, 50) for r, j in enumerate(np.lexsort((np.arange(1_200), -np.round(u @ u[k], 6)))[:5], 1)]
+    assert got == want and index.slots < 10
+    assert made["further"].count() <= 24 * index.slots
