@@ -214,3 +214,19 @@ def test_a_scan_of_vectors_is_done_by_products_of_blocks(spark, monkeypatch):
         assert sorted((r.query_id, r.rank, r.vec_id) for r in got.collect()) == sorted(want)
     odd = spark.createDataFrame([(1, [math.nan, 1.0]), (2, [1.0, 1.0])], "vec_id long, v array<double>")
     assert [(r.vec_id, r.rank, math.isnan(r.similarity)) for r in recall.vector_search(odd.where("vec_id = 2").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")), odd, 2, 0.3).orderBy("rank").collect()] == [(1, 1, True), (2, 2, False)]
+
+
+def test_memories_of_a_profile_are_scored_in_blocks(spark, monkeypatch):
+    """Many queries and memories of few profiles: no pair of them is a row, and blocks of any size give the plain rows."""
+    rng = random.Random(7)
+    side = lambda n, at: [(at + k, rng.choice("ab"), [float(rng.randrange(9)), rng.choice([0.0, 1.0, 2.5])] if rng.random() < 0.9 else rng.choice([None, [1.0], [0.0], [1.0, None]]), rng.choice(["disk full", "disk lost"]), rng.choice([0.2, 0.9, 1.0])) for k in range(n)]
+    shape = "id long, t string, f array<double>, x string, s double"
+    none = F.array().cast("array<string>")
+    m = spark.createDataFrame(side(900, 0), shape).select(F.col("id").alias("memory_id"), F.col("t").alias("signal_type"), none.alias("labels"), F.col("f").alias("features"), recall.trigrams(F.col("x")).alias("grams"), F.col("s").alias("strength"))
+    q = spark.createDataFrame(side(200, 5_000), shape).select(F.col("id").alias("query_id"), F.col("t").alias("q_type"), none.alias("q_labels"), F.col("f").alias("q_features"), recall.trigrams(F.col("x")).alias("q_grams"))
+    rows = lambda df: sorted((r.query_id, r.rank, r.memory_id, r.score) for r in df.collect())
+    want = rows(recall.recall(q, m))
+    assert rows(recall.recall_bounded(q, m)) == want and len(want) == 1_000
+    monkeypatch.setattr(recall, "_ASKED", 16)
+    monkeypatch.setattr(recall, "_STORED", 30)
+    assert rows(recall.recall_bounded(q, m)) == want
