@@ -13,6 +13,7 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
@@ -21,6 +22,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from tamis.operators.tables import discard, written
+
+_CLEANED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def shuffles_go(spark: SparkSession):
+    """Within it, what an action has shuffled is deleted at its end, not once the driver collects its garbage."""
+    before = spark.conf.get(_CLEANED, None)
+    spark.conf.set(_CLEANED, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(_CLEANED) if before is None else spark.conf.set(_CLEANED, before)
+
 
 class _Folder:
     """What the driver does in a folder: small files, by Hadoop's file systems."""
@@ -76,9 +92,9 @@ class _Table:
     def bucket(self, *key: str):
         return F.pmod(F.xxhash64(*key), F.lit(self.buckets)).cast("int")
 
-    def write(self, rows: DataFrame, name: str) -> list[int]:
-        """rows by their column _bucket, a folder each; the buckets that have rows."""
-        rows.repartition("_bucket").write.partitionBy("_bucket").parquet(f"{self.folder.path}/{name}")
+    def write(self, rows: DataFrame, name: str, dealt: bool = False) -> list[int]:
+        """rows by their column _bucket, a folder each; the buckets that have rows. dealt: they are dealt by it already."""
+        (rows if dealt else rows.repartition("_bucket")).write.partitionBy("_bucket").parquet(f"{self.folder.path}/{name}")
         return sorted(int(n.split("=")[1]) for n in self.folder.names(name) if n.startswith("_bucket="))
 
     def read_files(self, files: list[str], schema: StructType) -> DataFrame:
@@ -131,6 +147,8 @@ class UpsertTable(_Table):
 
 #: Bits that each key sets in a filter.
 _PROBES = 4
+#: Keys of a bucket that a task looks up at once, and bits that a filter has at most.
+_LOOKED_UP, _MOST_BITS = 200_000, 1 << 26
 
 
 def _bits(keys: pa.Array, size: int) -> np.ndarray:
@@ -145,10 +163,13 @@ class Ledger(_Table):
 
     A batch's keys are checked against what is there: first against Bloom filters, one for each commit and bucket, and where
     a filter has all bits of a key, against that commit's own keys. So a batch of new records reads few of the old keys.
-    size: bits of a filter; a commit's bucket should have a tenth as many keys.
+    size: bits of a filter; None for ten for each key of the commit's largest bucket.
+
+    A batch is dealt to its buckets once, and what its keys are checked by is stored while it is needed; shuffled files go
+    with the action that made them. Files of a job that died go when its batch is committed.
     """
 
-    def __init__(self, spark: SparkSession, path: str, key: str, buckets: int = 16, size: int = 1 << 16):
+    def __init__(self, spark: SparkSession, path: str, key: str, buckets: int = 16, size: int | None = None):
         super().__init__(spark, path, buckets)
         self.key, self.size = key, size
 
@@ -164,26 +185,45 @@ class Ledger(_Table):
             return None
         schema = rows.schema if now["schema"] is None else StructType.fromJson(now["schema"])
         others = [c for c in schema.names if c != self.key]
-        one = rows.where(F.col(self.key).isNotNull()).select(*schema.names)
-        one = one.groupBy(self.key).agg(F.min(F.struct(*others)).alias("_r")).select(self.key, "_r.*").select(*schema.names) if others else one.distinct()
-        new = one.withColumns({"_bucket": self.bucket(self.key), "_h": F.xxhash64(self.key, F.lit(1))})
-        new = new.join(self._known(new, now), self.key, "left_anti")
-        name = f"data/{batch:012d}-{uuid.uuid4().hex}"
-        buckets = self.write(new, name)
-        held = self.read_files([f"{name}/_bucket={b}" for b in buckets], StructType.fromJson(schema.jsonValue()).add("_h", "long"))
-        self._filters(held.select(self.bucket(self.key).alias("_bucket"), "_h")).write.parquet(f"{self.folder.path}/{name}-filters")
-        return now | {"batch": batch, "schema": schema.jsonValue(), "files": now["files"] | {name: buckets}, "added": held.count()}
+        with shuffles_go(self.spark):
+            one = rows.where(F.col(self.key).isNotNull()).select(*schema.names, self.bucket(self.key).alias("_bucket")).repartition("_bucket")
+            one = one.groupBy("_bucket", self.key).agg(F.min(F.struct(*others)).alias("_r")).select(self.key, "_r.*", "_bucket") if others else one.distinct()
+            name = f"data/{batch:012d}-{uuid.uuid4().hex}"
+            buckets = self.write(one.select(*schema.names, "_bucket"), name, dealt=True)
+            held = self._keyed(name, buckets, schema)
+            counts = self._counts(held)
+            known, looked = self._known(held, now, counts)
+            if known is not None:
+                kept = f"{name}-new"
+                buckets = self.write(held.drop("_h").join(known, self.key, "left_anti").select(*schema.names, "_bucket"), kept)
+                self.folder.remove(name)
+                discard(looked)
+                name, held = kept, self._keyed(kept, buckets, schema)
+                counts = self._counts(held)
+            size = self.size or min(_MOST_BITS, max(1 << 10, 1 << (10 * max(counts.values(), default=1)).bit_length()))
+            self._filters(held.select("_bucket", "_h"), size).write.parquet(f"{self.folder.path}/{name}-filters")
+        return now | {"batch": batch, "schema": schema.jsonValue(), "files": now["files"] | {name: buckets}, "added": sum(counts.values())}
+
+    def _keyed(self, name: str, buckets: list[int], schema: StructType) -> DataFrame:
+        rows = self.read_files([f"{name}/_bucket={b}" for b in buckets], schema)
+        return rows.withColumns({"_bucket": self.bucket(self.key), "_h": F.xxhash64(self.key, F.lit(1))})
+
+    @staticmethod
+    def _counts(held: DataFrame) -> dict[int, int]:
+        return {r["_bucket"]: r["count"] for r in held.groupBy("_bucket").count().collect()}  # a row for each bucket
 
     def commit_batch(self, prepared: dict | None) -> int:
         if prepared is None:
             return 0
         added = prepared.pop("added")
         self.commit(prepared)
+        for name in self.folder.names("data"):  # of jobs that died
+            if name.startswith(f"{prepared['batch']:012d}-") and f"data/{name.removesuffix('-filters')}" not in prepared["files"]:
+                self.folder.remove(f"data/{name}")
         return added
 
-    def _filters(self, keys: DataFrame) -> DataFrame:
+    def _filters(self, keys: DataFrame, size: int) -> DataFrame:
         """A filter for each bucket: the bits of its keys, as bytes."""
-        size = self.size
 
         def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held: dict[int, np.ndarray] = {}
@@ -201,33 +241,35 @@ class Ledger(_Table):
         shape = "_bucket int, bits binary"
         return keys.mapInArrow(part, shape).groupBy("_bucket").applyInPandas(whole, shape)
 
-    def _known(self, new: DataFrame, now: dict) -> DataFrame:
-        """Keys of a batch that earlier commits have."""
-        found = self.spark.createDataFrame([], StructType([f for f in new.schema if f.name == self.key]))
-        if not now["files"]:
-            return found
-        size = self.size
+    def _known(self, new: DataFrame, now: dict, counts: dict[int, int]) -> tuple[DataFrame | None, DataFrame | None]:
+        """Keys of a batch that earlier commits have, None if none; and the stored table that they are read by."""
+        if not now["files"] or not counts:
+            return None, None
         schema = "_bucket int, bits binary"
         filters = self.spark.read.schema(schema).parquet(*(f"{self.folder.path}/{n}-filters" for n in now["files"]))
         filters = filters.withColumn("name", F.regexp_extract(F.input_file_name(), r"data/([^/]+)-filters/", 1))
+        shares = -(-max(counts.values()) // _LOOKED_UP)
 
         def test(keys: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
-            places = _bits(pa.array(keys["_h"]), size)
             out = []
             for name, bits in zip(held["name"], held["bits"], strict=True):
                 bits = np.frombuffer(bits, np.uint8)
+                places = _bits(pa.array(keys["_h"]), 8 * len(bits))
                 hit = (bits[places >> 3] >> (7 - (places & 7)) & 1).all(1)
                 out.append(keys.loc[hit, [key, "_bucket"]].assign(name=name))
             return pd.concat(out) if out else keys.head(0)[[key, "_bucket"]].assign(name="")
 
         key, kind = self.key, dict(new.dtypes)[self.key]
-        asked = new.select(key, "_bucket", "_h").groupBy("_bucket")
-        maybe = asked.cogroup(filters.groupBy("_bucket")).applyInPandas(test, f"`{key}` {kind}, _bucket int, name string")
+        asked = new.select(key, "_bucket", "_h", F.pmod(F.xxhash64("_h"), F.lit(shares)).cast("int").alias("_share"))
+        filters = filters.withColumn("_share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))))
+        by = ("_bucket", "_share")
+        maybe = written(asked.groupBy(*by).cogroup(filters.groupBy(*by)).applyInPandas(test, f"`{key}` {kind}, _bucket int, name string"), "maybe")
         read = {(r.name, r._bucket) for r in maybe.select("name", "_bucket").distinct().collect()}  # commits and buckets to look into
         if not read:
-            return found
-        held = self.read_files([f"data/{n}/_bucket={b}" for n, b in sorted(read)], found.schema)
-        return maybe.select(self.key).distinct().join(held, self.key, "left_semi")
+            discard(maybe)
+            return None, None
+        held = self.read_files([f"data/{n}/_bucket={b}" for n, b in sorted(read)], StructType([f for f in new.schema if f.name == key]))
+        return held.join(maybe.select(key), key, "left_semi"), maybe
 
     def read(self) -> DataFrame | None:
         """All records; None before the first commit."""

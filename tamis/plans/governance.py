@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from tamis.functions import claims
 from tamis.operators import contents, governance, memory, packs, pipeline
-from tamis.operators.stores import Ledger
-from tamis.operators.tables import shared_folder, written
+from tamis.operators.stores import Ledger, shuffles_go
+from tamis.operators.tables import discard, shared_folder, written
 from tamis.plans.domains import RECORDS, _pick, _records
 from tamis.plans.recollection import MEMORIES, memories
 from tamis.plans.registry import query
@@ -142,8 +142,9 @@ def ledger_records(spark, sf_dir):
 def ledger_sink(spark, sf_dir):
     """Decisions in a ledger once each: in three batches, of which the second is written twice and once without a commit, and
     the third brings all records of the first again."""
-    made = pipeline.decisions(cascade(spark, sf_dir)).select("signal_id", "agent_name", "outcome")
-    made = made.withColumn("idempotency_key", F.sha2(F.concat_ws(":", "signal_id", "agent_name", "outcome"), 256))
+    with shuffles_go(spark):  # the cascade runs once
+        stored = written(pipeline.decisions(cascade(spark, sf_dir)).select("signal_id", "agent_name", "outcome"), "decisions")
+    made = stored.withColumn("idempotency_key", F.sha2(F.concat_ws(":", "signal_id", "agent_name", "outcome"), 256))
     ledger = Ledger(spark, f"{shared_folder(spark)}/ledgers/{uuid.uuid4().hex}", "idempotency_key")
     part = lambda *k: made.where((F.col("signal_id") % 3).isin(*k))
     ledger.append(part(0), 0)
@@ -151,6 +152,7 @@ def ledger_sink(spark, sf_dir):
     ledger.append(part(1), 1)
     ledger.append(part(1), 1)
     ledger.append(part(0, 2), 2)
+    discard(stored)
     return ledger.read()
 
 

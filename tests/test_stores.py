@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from tamis.operators import stores
 from tamis.operators.stores import Ledger, UpsertTable
 from tamis.sources.collectors import Collected
 from tamis.streaming import stateful
@@ -139,3 +140,25 @@ def test_stream_with_state_starts_again_where_it_stopped(spark, tmp_path):
     got = [r.signal_id for r in stateful.floods(stream, ["source"], 5, 300, "2 minutes", str(tmp_path / "out"), end="2100-01-01").collect()]
     alone = [r.signal_id for r in stateful.floods(stream, ["source"], 5, 300, "2 minutes", str(tmp_path / "out3"), end="2100-01-01").collect()]
     assert sorted(got) == sorted(alone) and first < set(got)
+
+
+def test_ledger_runs_its_rows_once_and_leaves_nothing_behind(spark, tmp_path):
+    """A batch's rows are worked out once however many keys are there already, in blocks of any size; a dead job's files go."""
+    ledger, runs = Ledger(spark, str(tmp_path / "l"), "k", buckets=4), spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            runs.add(len(batch))
+            yield batch
+
+    rows = lambda lo, hi: spark.range(lo, hi).mapInPandas(counted, "id long").selectExpr("concat('k', id) AS k", "id AS v")
+    assert ledger.append(rows(0, 300), 0) == 300 and runs.value == 300
+    ledger.prepare(rows(300, 400), 1)  # killed before the commit
+    assert ledger.append(rows(200, 400), 1) == 100 and runs.value == 600
+    stores._LOOKED_UP, before = 7, stores._LOOKED_UP
+    try:
+        assert ledger.append(rows(100, 450), 2) == 50
+    finally:
+        stores._LOOKED_UP = before
+    assert sorted(r.v for r in ledger.read().collect()) == list(range(450))
+    assert len(list((tmp_path / "l" / "data").iterdir())) == 6  # of each batch its rows and its filters
