@@ -142,6 +142,31 @@ def test_stream_with_state_starts_again_where_it_stopped(spark, tmp_path):
     assert sorted(got) == sorted(alone) and first < set(got)
 
 
+@pytest.mark.parametrize("batches", [1, 3])
+def test_anchored_streams_hold_a_state_for_each_bucket(spark, tmp_path, monkeypatch, batches):
+    """Rows of a walk, null and hot keys, a job that goes on, rows of one time and without one; few states for many keys."""
+    monkeypatch.setattr(stateful, "_HELD", 50)
+    rng, at, rows = random.Random(6), 1_700_000_000_000_000, []
+    for k in range(600):
+        at += rng.choice([0, 1, 400_000, 9_000_000])
+        rows.append((k + 2**60, at, k, rng.choice(["hot", None, *(f"s{j}" for j in range(40))]), rng.choice(["a", "b", None]), 0.0))
+    df = spark.createDataFrame(rows, SIGNALS.replace("a double", "a string")).withColumn("ts", F.timestamp_micros("us"))
+    opened, want = {}, set()
+    for i, us, _, *key, _ in rows:
+        key = tuple(key)
+        if key != (None, None) and (key not in opened or us - opened[key] >= 300_000_000):
+            opened[key] = us
+            want.add(i)
+    half = df.where("seq < 300")
+    stream = folder_stream(spark, half.unionByName(half.limit(1).selectExpr("signal_id - 1 AS signal_id", "CAST(NULL AS LONG) AS us", "-1L AS seq", "'hot' AS source", "a", "b", "ts")) if batches == 1 else half, tmp_path, batches, batches > 1)
+    run = lambda end=None: {r.signal_id for r in stateful.anchored(stream, ["source", "a"], 300, "2 minutes", str(tmp_path / "out"), end, buckets=6).collect()}
+    first = run()
+    held = [spark.read.format("statestore").option("stateVarName", name).load(str(tmp_path / "out" / "checkpoint")).count() for name in ("anchors", "timer")]
+    assert all(0 < n <= 6 for n in held)
+    spark.createDataFrame(df.where("seq >= 300").collect(), df.schema).coalesce(1).write.parquet(str(tmp_path / "b9"))
+    assert run("2100-01-01") == want and first < want
+
+
 def test_ledger_runs_its_rows_once_and_leaves_nothing_behind(spark, tmp_path):
     """A batch's rows are worked out once however many keys are there already, in blocks of any size; a dead job's files go."""
     ledger, runs = Ledger(spark, str(tmp_path / "l"), "k", buckets=4), spark.sparkContext.accumulator(0)
