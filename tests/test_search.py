@@ -230,3 +230,23 @@ def test_memories_of_a_profile_are_scored_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(recall, "_ASKED", 16)
     monkeypatch.setattr(recall, "_STORED", 30)
     assert rows(recall.recall_bounded(q, m)) == want
+
+
+def test_what_is_asked_twice_is_scored_once_and_the_outdone_are_left_out(spark, monkeypatch):
+    """Repeated queries and memories, angles that differ by less than a score shows, texts for trigrams, columns that come along."""
+    made, put = {}, recall.written
+    monkeypatch.setattr(recall, "written", lambda df, name: made.update({name: (table := put(df, name))}) or table)
+    monkeypatch.setattr(recall, "_PAIRS", 64)
+    rng = random.Random(11)
+    some = [[round(rng.expovariate(0.1), 1), float(rng.randrange(20))] for _ in range(12)] + [[-3.0, 1.0], [0.0, 0.0], [5.0, 1e-4], [5.0, 2e-4]]
+    side = lambda n, at: [(at + k, rng.choice("aab"), rng.choice(some), rng.choice(["disk full", "Disk full", "no", None]), rng.choice([0.01, 0.2, 0.9, 1.0, 1.0])) for k in range(n)]
+    shape = "id long, t string, f array<double>, x string, s double"
+    none = F.array().cast("array<string>")
+    m = spark.createDataFrame(side(3_000, 0), shape).select(F.col("id").alias("memory_id"), F.col("t").alias("signal_type"), none.alias("labels"), F.col("f").alias("features"), F.col("x").alias("grams"), F.col("s").alias("strength"), F.concat(F.lit("m"), "id").alias("note"))
+    q = spark.createDataFrame(side(3_000, 5_000), shape).select(F.col("id").alias("query_id"), F.col("t").alias("q_type"), none.alias("q_labels"), F.col("f").alias("q_features"), F.col("x").alias("q_grams"))
+    rows = lambda df: sorted((r.query_id, r.rank, r.memory_id, r.score) for r in df.collect())
+    got = recall.recall_bounded(q, m, carried=("note", "strength")).collect()
+    want = rows(recall.recall(q.withColumn("q_grams", recall.trigrams(F.col("q_grams"))), m.withColumn("grams", recall.trigrams(F.col("grams")))))
+    assert sorted((r.query_id, r.rank, r.memory_id, r.score) for r in got) == want and len(want) == 15_000
+    assert all(r.note == f"m{r.memory_id}" and r.strength >= r.score for r in got)
+    assert made["different"].count() <= 8 * 16 and made["memories"].count() < 1_500
